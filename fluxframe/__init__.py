@@ -1,5 +1,5 @@
 """fluxframe: spectra, catalogues and posterior samples as Spark DataFrames."""
 
-from fluxframe.session import checkpointed, local_session
+from fluxframe.session import local_session, staged
 
-__all__ = ["checkpointed", "local_session"]
+__all__ = ["local_session", "staged"]

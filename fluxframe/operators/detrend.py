@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import sys
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxframe.operators.fits import with_poly_fit
 from fluxframe.operators.groups import quantiles, with_group_stats
-from fluxframe.session import checkpointed
+from fluxframe.session import staged
 
 ROW = ["order_id", "exposure_id"]
 COLUMN = ["order_id", "channel"]
@@ -35,15 +34,15 @@ def mask_noisy_channels(df: DataFrame, factor: float = 3.0, subtract_mean: bool
     df = with_matrix(df)
     # Moments of the order come from those of its channels, so the points are read once.
     per = df.groupBy(*COLUMN).agg(
-        F.stddev_pop("flux").alias("__sd"), F.count("flux").cast("double").alias("__n"), F.avg("flux").alias("__m"))
+        F.stddev_pop("flux").alias("__sd"), F.count("flux").cast("double").alias("__k"), F.avg("flux").alias("__m"))
     total = per.groupBy("order_id").agg(
-        F.sum("__n").alias("__N"), (F.sum(F.col("__n") * F.col("__m")) / F.sum("__n")).alias("__M"))
+        F.sum("__k").alias("__points"), (F.sum(F.col("__k") * F.col("__m")) / F.sum("__k")).alias("__mean"))
     spread = (
         per.join(total, "order_id")
         .groupBy("order_id")
-        .agg(F.sqrt(F.sum(F.col("__n") * (F.pow("__sd", 2) + F.pow(F.col("__m") - F.col("__M"), 2))) / F.max("__N")).alias("__SD"))
+        .agg(F.sqrt(F.sum(F.col("__k") * (F.pow("__sd", 2) + F.pow(F.col("__m") - F.col("__mean"), 2))) / F.max("__points")).alias("__spread"))
     )
-    bad = per.join(spread, "order_id").select(*COLUMN, (F.col("__sd") > F.lit(float(factor)) * F.col("__SD")).alias("__bad"))
+    bad = per.join(spread, "order_id").select(*COLUMN, (F.col("__sd") > F.lit(float(factor)) * F.col("__spread")).alias("__bad"))
     got = df.join(bad, COLUMN).withColumn("flux", F.when(~F.coalesce("__bad", F.lit(False)), F.col("flux"))).drop("__bad")
     if subtract_mean:
         got = with_group_stats(got, ROW, {"__m": F.avg("flux")})
@@ -122,7 +121,11 @@ def remove_tellurics_fit(
     weight = F.when(positive & (sigma != 0), F.abs(F.col("flux") / sigma) if weighted else F.lit(1.0))
     got = with_poly_fit(df, COLUMN, "airmass", F.when(positive, F.log("flux")), weight, degree)
     got = got.withColumn("__fit", F.exp(F.when(F.col("__used") > degree + 1, F.col("__fit")).otherwise(F.lit(0.0))))
-    got = with_group_stats(got, COLUMN, {"__lowest": F.min("__fit")})
+    if degree == 1:  # a straight line is lowest at one end of the unit axis
+        ends = [F.col("__c0") - F.col("__c1"), F.col("__c0") + F.col("__c1")]
+        got = got.withColumn("__lowest", F.exp(F.when(F.col("__used") > 2, F.least(*ends)).otherwise(F.lit(0.0))))
+    else:
+        got = with_group_stats(got, COLUMN, {"__lowest": F.min("__fit")})
     got = got.withColumn("__fit", F.when(positive & (F.col("__lowest") >= threshold), F.col("__fit")))
     got = _divide(got, "__fit")
     return (_shrink_sigma(got, COLUMN, degree + 1) if correct else got).select(*df.columns)
@@ -133,11 +136,16 @@ def polyfit_detrend(
     throughput: bool = True, tellurics: bool = True, correct: bool = True, weighted: bool = False,
     throughput_weights: str | None = None,
 ) -> DataFrame:
-    """Throughput removal (degree-2 fit, or mean without wavelengths), then telluric removal (fit, or mean without airmass)."""
+    """Throughput removal (degree-2 fit, or mean without wavelengths), then telluric removal (fit, or mean without airmass).
+
+    The two fits are separate stages with a written table between them: each
+    reads its input several times, and the second must not repeat the first.
+    """
     if throughput:
         if wavelengths:
             mode = throughput_weights or ("inverse" if weighted else "none")
             df = remove_throughput_fit(df, 2, mode, sys.float_info.min, correct)
+            df = staged(df) if tellurics else df
         else:
             df = remove_throughput_mean(df, weighted)
     if tellurics:
@@ -162,14 +170,15 @@ def trim_spectrum(
     """Mask channels whose time median leaves [low, high] after continuum division, then outliers in two rounds."""
     keys = ["order_id", "exposure_id", "channel"]
     start = with_matrix(df)
-    ref = remove_throughput_fit(start, degree, weights, correct=False) if relative else start
+    ref = staged(remove_throughput_fit(start, degree, weights, correct=False)) if relative else start
     middle = quantiles(ref.filter("flux IS NOT NULL"), COLUMN, "flux", {"__median": 0.5})
     outside = (F.col("__median") < low) | (F.col("__median") > high)
     ref = ref.join(middle, COLUMN, "left").withColumn("flux", F.when(~F.coalesce(outside, F.lit(True)), F.col("flux"))).drop("__median")
     if outlier is not None:
         ref = _outliers(ref, "flux", outlier)
         ref = ref.withColumn("uncertainty", F.when(F.col("flux").isNotNull(), F.col("uncertainty")))
-        ref = _outliers(remove_tellurics_fit(ref, degree, True, correct=False), "flux", outlier)
+        ref = staged(remove_tellurics_fit(staged(ref), degree, True, correct=False))
+        ref = _outliers(ref, "flux", outlier)
     kept = ref.select(*keys, F.col("flux").isNotNull().alias("__ok"))
     return df.join(kept, keys).withColumn("flux", F.when(F.col("__ok"), F.col("flux"))).select(*df.columns)
 
@@ -197,7 +206,7 @@ def sysrem(
     """Iterative removal of rank-one systematics a(exposure) c(channel) per order.
 
     Every alternation is two partial aggregations over the points; only the
-    factor tables change, and they are checkpointed, so the plan of iteration n
+    factor tables change, and they are written out, so the plan of iteration n
     does not contain the n-1 before it. With ``epsilon`` 0 a fixed number of
     iterations runs without any look at the data in between.
     """
@@ -216,13 +225,13 @@ def sysrem(
             "__s": F.when(valid, F.col("flux") / sigma2).otherwise(F.lit(0.0)),
             "__v": F.when(valid, 1 / sigma2).otherwise(F.lit(0.0)),
         })
-        slim = data.select(*ROW, "channel", "__s", "__v").persist(StorageLevel.MEMORY_AND_DISK)
+        slim = staged(data.select(*ROW, "channel", "__s", "__v"))
         rows: DataFrame | None = None
         before: tuple[DataFrame, DataFrame] | None = None
         for i in range(max_iterations):
             rows, columns = _rank_one(slim, rows)
             if epsilon > 0 or i < max_iterations - 1:
-                columns, rows = checkpointed(columns), checkpointed(rows)
+                columns, rows = staged(columns), staged(rows)
             if epsilon > 0:
                 now = _systematics(slim, rows, columns, "__new")
                 if before is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions import orbits, physics
 from fluxframe.functions.expr import ColumnLike, col
+from fluxframe.session import staged
 
 KEYS = ("order_id", "exposure_id", "channel")
 
@@ -58,13 +59,17 @@ STEP_ORDER = ("star", "scale", "shift", "light_loss", "tellurics", "smooth", "re
 
 
 def observe(df: DataFrame, steps: dict[str, Step]) -> DataFrame:
-    """Run the given steps in the fixed order of the chain."""
+    """Run the given steps in the fixed order of the chain.
+
+    Preparation reads its input several times, so the steps before it end in a
+    written table.
+    """
     unknown = set(steps) - set(STEP_ORDER)
     if unknown:
         raise ValueError(f"unknown steps {sorted(unknown)}")
     for name in STEP_ORDER:
         if name in steps:
-            df = steps[name](df)
+            df = steps[name](staged(df) if name == "prepare" else df)
     return df
 
 

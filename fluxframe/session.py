@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,20 +27,25 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; a fresh local one only for a local session without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    else:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the shared checkpoint folder; survives executor loss."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Cuts the lineage between the stages of a chain: later plans start from a
+    columnar table with known size, and losing an executor costs no rework of
+    earlier stages. One folder per application, so it can be dropped afterwards.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/fluxframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
