@@ -59,10 +59,10 @@ QUANTITIES = {
     "snum": ("star_number", None),
     "pnum": ("planet_number", None),
     "mnum": ("moon_number", None),
-    "refname": ("reference", None),
+    "metratio": ("metallicityratio", None),
 }
 PLAIN_NAMES = {"hostname": "host_name", "discoverymethod": "discovery_method", "soltype": "confirmation_status",
-               "pl_controv_flag": "controversy_flag"}
+               "pl_controv_flag": "controversy_flag", "disc_refname": "discovery_reference", "st_refname": "star_reference"}
 MAGNITUDE_BANDS = {"kep": "kepler", "gaia": "gaia"}
 
 
@@ -84,8 +84,6 @@ def _convert(name: str, best_mass: bool) -> tuple[str, object]:
     elif magnitude:
         band = magnitude.group(1)
         new, factor = f"apparent_magnitude_{MAGNITUDE_BANDS.get(band, band)}", None
-    elif tail in ("lim", "str") and core + tail == name[len(head):] and not core.strip("_"):
-        new, factor, new_tail = core + tail, None, ""
     else:
         new, factor = core, None
     if tail in ("lim", "str"):
