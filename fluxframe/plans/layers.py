@@ -416,17 +416,17 @@ def e19_hydrogen_ratios(spark, sf):
 @query("f13_fill_to_one", sql("abundances", """
 SELECT col_id, layer, species, mass_fraction FROM sc WHERE species NOT IN ('H2', 'He') UNION ALL
 SELECT col_id, layer, s, r*w/49 FROM (SELECT col_id, layer, 1 - coalesce(sum(mass_fraction) FILTER (species NOT IN ('H2','He') AND species NOT LIKE '%(s)%'), 0) r FROM sc GROUP BY 1, 2),
-  (VALUES ('H2', 37), ('He', 12)) f(s, w)""", "col_id, layer, species", "mass_fraction",
+  (VALUES ('H2', 37), ('He', 12)) f(s, w)""", "col_id, layer, species", "mass_fraction", 9,
     nm=_NAMED, sc="SELECT * REPLACE (0.9::DOUBLE*mass_fraction AS mass_fraction) FROM nm"))
 def f13_fill_to_one(spark, sf):
     df = named(spark, sf).withColumn("mass_fraction", F.lit(0.9) * F.col("mass_fraction"))
-    return rounded(chemistry.fill_to_one(df, {"H2": 37.0, "He": 12.0}).select("col_id", "layer", "species", "mass_fraction"))
+    return rounded(chemistry.fill_to_one(df, {"H2": 37.0, "He": 12.0}).select("col_id", "layer", "species", "mass_fraction"), 9)
 
 
 @query("d10_override_abundances", sql("abundances", """
 SELECT col_id, layer, species, CASE WHEN NOT imp AND i+t > 1 AND t > 0 THEN x*(1-i)/t ELSE x END mass_fraction FROM (
   SELECT *, coalesce(sum(x) FILTER (imp) OVER w, 0) i, coalesce(sum(x) FILTER (NOT imp) OVER w, 0) t FROM al WINDOW w AS (PARTITION BY col_id, layer))""",
-    "col_id, layer, species", "mass_fraction", nm=_NAMED,
+    "col_id, layer, species", "mass_fraction", 9, nm=_NAMED,
     im="SELECT DISTINCT col_id, layer, 'H2O' species, 0.1::DOUBLE + 0.05::DOUBLE*layer x FROM nm",
     b="SELECT *, true imp FROM im UNION ALL SELECT col_id, layer, species, 1.1::DOUBLE*mass_fraction, false FROM nm WHERE species <> 'H2O'",
     al="""SELECT * FROM b UNION ALL SELECT col_id, layer, s, 2.2250738585072014e-308::DOUBLE, false FROM (SELECT DISTINCT col_id, layer FROM nm), (VALUES ('CO'), ('K')) r(s)
@@ -435,7 +435,7 @@ def d10_override_abundances(spark, sf):
     df = named(spark, sf).withColumn("mass_fraction", F.lit(1.1) * F.col("mass_fraction"))
     imposed = df.select("col_id", "layer").distinct().select("col_id", "layer", F.lit("H2O").alias("species"), (F.lit(0.1) + F.lit(0.05) * F.col("layer")).alias("mass_fraction"))
     got = chemistry.override_abundances(df, imposed, requested=["CO", "K"])
-    return rounded(got.select("col_id", "layer", "species", "mass_fraction"))
+    return rounded(got.select("col_id", "layer", "species", "mass_fraction"), 9)
 
 
 @query("d13_quench", sql("abundances", """
@@ -595,12 +595,12 @@ SELECT {PKEYS}, CASE WHEN lp < -4 THEN t0 + power((lp+6)/al,2) WHEN lp < 1 THEN
     SELECT *, t2 + power(-2.5/0.3::DOUBLE,2) t1 FROM (
       SELECT *, CASE WHEN ps >= 1 THEN ts - power(2.5/0.3::DOUBLE,2) WHEN ps >= -4 THEN ts - power((ps+1.5)/0.3::DOUBLE,2)
          ELSE ts - power((ps+6)/al,2) + power(2/al,2) - power(-2.5/0.3::DOUBLE,2) END t2 FROM (
-        SELECT *, 1000+a ts, 0.5::DOUBLE+0.01::DOUBLE*b al, CASE sample_id % 3 WHEN 0 THEN 2 WHEN 1 THEN -2 ELSE -5 END ps FROM pr))))""", PKEYS, "temperature", 5, **PROFILE))
+        SELECT *, 1000+a ts, 0.5::DOUBLE+0.01::DOUBLE*b al, CASE sample_id % 3 WHEN 0 THEN 2 WHEN 1 THEN -2 ELSE -5 END ps FROM pr))))""", PKEYS, "temperature", 7, **PROFILE))
 def i6_three_region(spark, sf):
     df = profile_samples(spark, sf)
     at = F.when(F.col("sample_id") % 3 == 0, F.lit(2.0)).when(F.col("sample_id") % 3 == 1, F.lit(-2.0)).otherwise(F.lit(-5.0))
     got = profiles.three_region(df, [-6.0, -4.0, -1.5, 1.0, at], F.lit(1000.0) + F.col("a"), (F.lit(0.5) + F.lit(0.01) * F.col("b"), 0.3), by=["run_id", "sample_id"])
-    return rounded(got.select(*PCOLS, "temperature"), 5)
+    return rounded(got.select(*PCOLS, "temperature"), 7)
 
 
 @query("i7_gradient_profile")

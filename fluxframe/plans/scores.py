@@ -219,9 +219,9 @@ def evidence(spark, sf) -> DataFrame:
 @query("e12_run_summary", sql("samples", f"""
 SELECT run_id, param, q16, median, q84, (q84-q16)/2 sigma, greatest(0, -floor(log10((q84-q16)/2)) + 1)::BIGINT digits, ln_z, ln_z/{math.log(10)!r}::DOUBLE log10_z FROM (
 SELECT run_id, param, quantile_cont(value, 0.16) q16, quantile_cont(value, 0.5) median, quantile_cont(value, 0.84) q84 FROM lg GROUP BY 1, 2) JOIN ev USING (run_id)""",
-    "run_id, param, digits", "q16, median, q84, sigma, ln_z, log10_z", 4, lg=_LONG, ev=_EVIDENCE))
+    "run_id, param, digits", "q16, median, q84, sigma, ln_z, log10_z", 6, lg=_LONG, ev=_EVIDENCE))
 def e12_run_summary(spark, sf):
-    return rounded(posterior.run_summary(long_samples(spark, sf), evidence(spark, sf)), 4)
+    return rounded(posterior.run_summary(long_samples(spark, sf), evidence(spark, sf)), 6)
 
 
 @query("e13_bayes_factors", sql("samples", """
@@ -254,9 +254,9 @@ def e14_envelope_rank(spark, sf):
 
 @query("e14_envelope_quantile", sql("layers", """
 SELECT layer, quantile_cont(temperature, 0.159) low, quantile_cont(temperature, 0.5) median, quantile_cont(temperature, 0.841) high FROM layers GROUP BY 1""",
-    "layer", "low, median, high"))
+    "layer", "low, median, high", 8))
 def e14_envelope_quantile(spark, sf):
-    return rounded(posterior.profile_envelope(profiles(spark, sf), ["layer"], mode="quantile"))
+    return rounded(posterior.profile_envelope(profiles(spark, sf), ["layer"], mode="quantile"), 8)
 
 
 @query("e15_logsumexp", sql("loglik_long", "SELECT dataset, point_id, ln(sum(exp(log_lik))) logsumexp FROM loglik_long GROUP BY 1, 2", "dataset, point_id", "logsumexp"))

@@ -27,7 +27,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; a fresh local one only for a local session without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -46,6 +46,6 @@ def staged(df: DataFrame) -> DataFrame:
     earlier stages. One folder per application, so it can be dropped afterwards.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/fluxframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/fluxframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

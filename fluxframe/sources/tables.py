@@ -53,10 +53,10 @@ def ingest_opacities(cross_sections: DataFrame, grid: DataFrame, path: str, mass
 
 
 def write_text(df: DataFrame, path: str, columns: Sequence[str | Column], separator: str = " ", comment: str | None = None) -> None:
-    """Plain text columns, one file per task; ``comment`` heads every file as a comment line."""
+    """Plain text columns, one file per task; ``comment`` goes into a file of its own as a comment line."""
     line = F.concat_ws(separator, *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns])
-    writer = df.select(line.alias("value"))
-    if comment is None:
-        writer.write.text(path)
-    else:
-        writer.withColumnRenamed("value", f"# {comment}").write.option("header", "true").option("quote", "").option("sep", "\u0001").csv(path)
+    lines = df.select(line.alias("value"))
+    if comment is not None:
+        head = df.sparkSession.createDataFrame([(f"# {comment}",)], "value string").coalesce(1)
+        lines = head.union(lines)
+    lines.write.text(path)

@@ -96,13 +96,13 @@ def read_posterior(spark: SparkSession, folder: str, run: str) -> DataFrame:
 
 
 def read_cross_sections(spark: SparkSession, paths: PathLike, pattern: str, spectral: str = "wavenumber") -> DataFrame:
-    """Two-column files, one per (species, temperature, pressure) taken from the file name.
+    """Two-column files, one per (species, temperature, pressure) taken from the path.
 
     ``pattern`` has three groups in that order. The first column is a wavenumber
     (cm^-1), a wavelength in cm or in um.
     """
     f = F.split("line", r"[\s,]+")
-    stem = F.regexp_replace(F.url_decode(F.col("file")), r"^.*/", "")
+    stem = F.url_decode(F.col("file"))
     x = _number(F.get(f, F.lit(0)))
     wavelength = {"wavenumber": 1 / x, "cm": x, "um": x * F.lit(1e-4)}[spectral]
     return _lines(spark, paths).select(
