@@ -20,17 +20,23 @@ ROWS_PER_CHUNK = 1_000_000
 CHUNK = "__chunk"
 
 
-def chunk_span(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> float | None:
-    """Axis width of one chunk, or None if no group exceeds ``rows_per_chunk``."""
+def axis_stats(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[float | None, float | None]:
+    """(chunk width or None, mean step along the axis) in one pass of partial aggregates."""
     sizes = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         (F.max(x).cast("double") - F.min(x).cast("double")).alias("extent"),
     )
     big = F.col("n") > rows_per_chunk
     row = sizes.agg(
-        F.min(F.when(big & (F.col("extent") > 0), F.col("extent") / F.ceil(F.col("n") / F.lit(float(rows_per_chunk))))).alias("span")
+        F.min(F.when(big & (F.col("extent") > 0), F.col("extent") / F.ceil(F.col("n") / F.lit(float(rows_per_chunk))))).alias("span"),
+        (F.sum("extent") / F.sum(F.greatest(F.col("n") - 1, F.lit(1)))).alias("step"),
     ).first()
-    return None if row is None else row["span"]
+    return row["span"], row["step"]
+
+
+def chunk_span(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> float | None:
+    """Axis width of one chunk, or None if no group exceeds ``rows_per_chunk``."""
+    return axis_stats(df, by, x, rows_per_chunk)[0]
 
 
 def resolve_span(df: DataFrame, by: Sequence[str], x: str, span: float | str | None) -> float | None:

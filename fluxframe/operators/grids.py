@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxframe.operators.axis import nearest_known, neighbours, resolve_span, running_total
+from fluxframe.operators.axis import axis_stats, nearest_known, neighbours, resolve_span, running_total
 from fluxframe.operators.groups import with_group_stats
 
 Span = float | str | None
@@ -74,21 +74,26 @@ def rebin(
     """
     by = list(by)
     target_by = by if target_by is None else list(target_by)
+    spec = spec.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    step = None
+    if span == "auto":
+        span, step = axis_stats(spec, by, "__x")
     if widths is None:
-        bins = bin_edges(targets.select(*target_by, F.col(target).alias("__t")), target_by, "__t", span=span)
+        grid = targets.select(*target_by, F.col(target).alias("__t"))
+        grid_span, grid_step = axis_stats(grid, target_by, "__t") if bucket is None or span is not None else (None, None)
+        bins = bin_edges(grid, target_by, "__t", span=grid_span)
     else:
+        grid_step = targets.agg(F.avg(widths).alias("w")).first()["w"] if bucket is None else None
         t, half = F.col(target), F.col(widths) / 2
         bins = targets.select(*target_by, t.alias("__t"), (t - half).alias("bin_low"), (t + half).alias("bin_high"))
 
-    near = neighbours(spec.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")), by, "__x",
-                      {"__x1": ("__x", 1), "__y1": ("__y", 1)}, span=span)
+    near = neighbours(spec, by, "__x", {"__x1": ("__x", 1), "__y1": ("__y", 1)}, span=span)
     segments = near.filter(F.col("__x1").isNotNull())
     if bucket is None:
-        mean = bins.agg(F.avg(F.col("bin_high") - F.col("bin_low")).alias("w")).first()["w"]
-        step = segments.agg(F.avg(F.col("__x1") - F.col("__x")).alias("w")).first()["w"]
-        bucket = max(w for w in (mean, step, 1e-300) if w is not None)
+        step = axis_stats(spec, by, "__x")[1] if step is None else step
+        bucket = max(w for w in (grid_step, step, 1e-300) if w is not None)
 
-    reach = spec.groupBy(*by).agg(F.min(x).alias("__min"), F.max(x).alias("__max"))
+    reach = spec.groupBy(*by).agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"))
     wanted = bins.groupBy(*target_by).agg(
         F.min("bin_low").alias("__low"), F.max("bin_high").alias("__high"), F.count(F.lit(1)).alias("__bins")
     )

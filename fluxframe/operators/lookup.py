@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions import constants as k
 from fluxframe.functions.expr import total
-from fluxframe.operators.grids import interp_join, trapezoid_integral
+from fluxframe.operators.grids import trapezoid_integral
 
 
 @dataclass(frozen=True)
@@ -132,20 +132,31 @@ def cia_opacity(alpha: Column, combined_mass_fraction: Column, weight: Column, m
     return alpha * combined_mass_fraction / weight * density
 
 
-def star_lookup(stars: DataFrame, grid: DataFrame, by: Sequence[str] = ("star_id",), teff: str = "teff",
-                span: float | str | None = "auto") -> DataFrame:
+def star_lookup(stars: DataFrame, grid: DataFrame, teff: str = "teff", span: float | str | None = "auto") -> DataFrame:
     """Blend the two neighbouring template spectra in log T, then scale the total flux to sigma T^4.
 
-    ``grid``: log10_teff, wavelength (cm), flux, radius. Beyond the grid the end template is used.
+    ``grid``: log10_teff, wavelength (cm), flux, radius. Beyond the grid the end
+    template is used. The total of a blend is the blend of the totals, so the
+    integral runs once per template and no star needs one.
     """
     axes = [Axis("log10_teff", "__log_t")]
-    points = stars.withColumn("__log_t", F.log10(teff))
-    flux = grid_lookup(points, grid, axes, "flux", payload=["wavelength"], out="flux")
-    radius = grid_lookup(points.select(*by, "__log_t"), grid.select("log10_teff", "radius").distinct(), axes, "radius", out="radius").select(*by, "radius")
-    flux = flux.withColumn("__nu", F.lit(k.C) / F.col("wavelength"))
-    norm = trapezoid_integral(flux, by, "__nu", "flux", "__norm", span)
-    scaled = F.col("flux") / F.col("__norm") * F.lit(k.SIGMA) * F.pow(F.col(teff), 4)
-    return flux.join(norm, list(by)).join(radius, list(by)).withColumn("flux", scaled).drop("__nu", "__norm", "__log_t")
+    nu = grid.withColumn("__nu", F.lit(k.C) / F.col("wavelength"))
+    totals = trapezoid_integral(nu, ["log10_teff"], "__nu", "flux", "__norm", span)
+    template = grid.groupBy("log10_teff").agg(F.max("radius").alias("radius")).join(totals, "log10_teff")
+    full = grid.select("log10_teff", "wavelength", "flux").join(template, "log10_teff")
+    located = bracket(stars.withColumn("__log_t", F.log10(teff)), template, axes)
+    corners = {name: cells(full, axes, name, ["wavelength"]).withColumnsRenamed({"__v0": f"__{name}0", "__v1": f"__{name}1"}) for name in ("flux", "radius", "__norm")}
+    table = corners["flux"]
+    for name in ("radius", "__norm"):
+        table = table.join(corners[name], ["wavelength", "__i0"])
+
+    def blend(name: str) -> Column:
+        low, high = F.col(f"__{name}0"), F.col(f"__{name}1")
+        return low + (high - low) * F.col("__f0")
+
+    got = located.join(table, "__i0")
+    scaled = blend("flux") / blend("__norm") * F.lit(k.SIGMA) * F.pow(F.col(teff), 4)
+    return got.select(*stars.columns, "wavelength", scaled.alias("flux"), blend("radius").alias("radius"))
 
 
 def quench(layers: DataFrame, by: Sequence[str], p_quench: float, species: Sequence[str] = ("CH4", "CO", "H2O"), name: str = "species",
@@ -167,4 +178,4 @@ def to_mass_opacity(df: DataFrame, masses: DataFrame, cross_section: str = "cros
         out, F.greatest(F.col(cross_section), F.lit(0.0)) / (F.col("molar_mass") * F.lit(k.AMU)))
 
 
-__all__ = ["Axis", "grid_lookup", "cia_lookup", "cia_opacity", "star_lookup", "quench", "to_mass_opacity", "interp_join"]
+__all__ = ["Axis", "grid_lookup", "cia_lookup", "cia_opacity", "star_lookup", "quench", "to_mass_opacity"]

@@ -330,7 +330,7 @@ def d6_star_lookup(spark, sf):
         (F.lit(3.55) + F.lit(0.03) * F.col("order_id")).alias("log10_teff"), ((1 + F.lit(0.01) * F.col("channel")) * F.lit(1e-4)).alias("wavelength"),
         "flux", (1 + F.lit(0.1) * F.col("order_id")).alias("radius"))
     stars = views.planets(spark, sf).select("planet_id", F.col("star_teff").alias("teff"))
-    got = lookup.star_lookup(stars, grid, ["planet_id"])
+    got = lookup.star_lookup(stars, grid)
     channel = F.round((F.col("wavelength") * 1e4 - 1) * 100).cast("bigint")
     return rounded(got.select("planet_id", channel.alias("channel"), (F.col("flux") * 1e6).alias("flux"), "radius"), 5)
 

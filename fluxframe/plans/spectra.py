@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions import constants as k
 from fluxframe.functions import physics
-from fluxframe.operators import correlate, detrend, observe, smooth
+from fluxframe.operators import correlate, detrend, observe, packed, smooth
 from fluxframe.plans import views
 from fluxframe.plans.registry import query, rounded
 from fluxframe.plans.views import sql
@@ -238,11 +238,35 @@ def shifted_templates(df: DataFrame) -> DataFrame:
     return moved.withColumn("channel", F.col("channel") + F.col("v_index"))
 
 
-@query("detrended_ccf_peak", sql("spectra_long", """
+_PEAK = sql("spectra_long", """
 SELECT order_id, max(ccf) peak, arg_max(v_index, (ccf, -v_index)) peak_v_index, count(CASE WHEN ccf >= 0.68*mx THEN 1 END) n_around_peak
 FROM (SELECT *, max(ccf) OVER (PARTITION BY order_id) mx FROM (SELECT order_id, v_index, sum(ccf) ccf FROM cc GROUP BY 1, 2)) GROUP BY 1""",
-    "order_id, peak_v_index, n_around_peak", "peak", 5, **_DETRENDED, tpl=_TEMPLATE, mdl=_SHIFTED, cc=_ccf_sql("g2", "mdl", "order_id, exposure_id")))
+    "order_id, peak_v_index, n_around_peak", "peak", 5, **_DETRENDED, tpl=_TEMPLATE, mdl=_SHIFTED, cc=_ccf_sql("g2", "mdl", "order_id, exposure_id"))
+
+
+def packed_templates(df: DataFrame) -> DataFrame:
+    """Mean spectrum per order as an array, moved by -5..5 channels, NULL where nothing moved in."""
+    mean = packed.channel_table(df, ["order_id"], F.avg("f"), "mean")
+    moved = mean.withColumn("v_index", F.explode(F.sequence(F.lit(-5), F.lit(5))))
+    shift, n = F.col("v_index"), F.size("mean")
+    left = F.array_repeat(F.lit(None).cast("double"), F.greatest(shift, F.lit(0)))
+    right = F.array_repeat(F.lit(None).cast("double"), F.greatest(-shift, F.lit(0)))
+    kept = F.slice("mean", F.greatest(-shift, F.lit(0)) + 1, n - F.abs(shift))
+    return moved.select("order_id", shift.cast("bigint").alias("v_index"), F.concat(left, kept, right).alias("model"))
+
+
+@query("detrended_ccf_peak", _PEAK)
 def detrended_ccf_peak(spark, sf):
+    """The flagship on packed spectra: no point is shuffled, only per-channel and per-velocity partial sums."""
+    df = views.spectra_packed(spark, sf)
+    clean = packed.remove_tellurics_mean(packed.remove_throughput_mean(df))
+    ccf = packed.cross_correlate(clean, packed_templates(df))
+    summed = ccf.groupBy("order_id", "v_index").agg(F.sum("ccf").alias("ccf"))
+    return rounded(correlate.ccf_peak(summed, ["order_id"], ["v_index"], ["v_index"], 0.68), 5)
+
+
+@query("detrended_ccf_peak_long", _PEAK)
+def detrended_ccf_peak_long(spark, sf):
     df = views.spectra_long(spark, sf)
     clean = detrend.remove_tellurics_mean(detrend.remove_throughput_mean(df))
     ccf = correlate.cross_correlate(clean, shifted_templates(df), ["order_id", "channel"], ["order_id", "exposure_id"])
@@ -257,6 +281,20 @@ def e21_cross_correlation(spark, sf):
     return rounded(correlate.cross_correlate(df, shifted_templates(df), ["order_id", "channel"], ["order_id", "exposure_id"]))
 
 
+@query("e21_packed_correlation", sql("spectra_long", "SELECT * FROM cc", "order_id, exposure_id, v_index", "ccf",
+    tpl=_TEMPLATE, mdl=_SHIFTED, cc=_ccf_sql("spectra_long", "mdl", "order_id, exposure_id")))
+def e21_packed_correlation(spark, sf):
+    df = views.spectra_packed(spark, sf)
+    return rounded(packed.cross_correlate(df, packed_templates(df)))
+
+
+@query("g1_g2_packed", sql("spectra_long", "SELECT order_id, exposure_id, channel, flux, uncertainty FROM g2", KEYS, "flux, uncertainty", **_DETRENDED))
+def g1_g2_packed(spark, sf):
+    df = views.spectra_packed(spark, sf)
+    clean = packed.remove_tellurics_mean(packed.remove_throughput_mean(packed.pack(packed.unpack(df))))
+    return rounded(packed.unpack(clean))
+
+
 @query("e21_cross_correlation_normalized", sql("spectra_long", "SELECT * FROM cc", "order_id, exposure_id, v_index", "ccf",
     tpl=_TEMPLATE, mdl=_SHIFTED, dm="SELECT order_id, exposure_id, channel, flux - avg(flux) OVER (PARTITION BY order_id, exposure_id) flux FROM spectra_long",
     mm="SELECT order_id, channel, v_index, flux - avg(flux) OVER (PARTITION BY order_id, v_index) flux FROM mdl",

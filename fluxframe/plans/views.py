@@ -35,6 +35,16 @@ def spectra_long(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def spectra_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same spectra, one row of arrays each."""
+    return table(spark, sf, "embeddings").select(
+        F.col("label").cast("bigint").alias("order_id"),
+        F.col("vec_id").alias("exposure_id"),
+        F.transform("embedding", lambda v: F.lit(1.0) + v.cast("double")).alias("flux"),
+        F.transform("embedding", lambda _, i: F.lit(0.05) + F.lit(0.01) * (i % 5)).alias("uncertainty"),
+    )
+
+
 def series_long(spark: SparkSession, sf: str) -> DataFrame:
     """Irregular series, one per user: x in seconds since 2024, y the event value."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
