@@ -121,15 +121,11 @@ def best_measurement(df: DataFrame, entity: str = "entity_id", parameter: str =
         F.min(first).alias("first"),
         F.count(F.lit(1)).alias("n_sources"),
     )
-    if any(f.name == "value" for f in df.schema.fields):
-        head = got.select(entity, parameter, F.col("first.o").alias("__first"))
-        plain = got.filter(F.col("best").isNull()).select(entity, parameter)
-        rest = (
-            df.join(plain, [entity, parameter], "left_semi").join(head, [entity, parameter])
-            .filter((F.col(order) > F.col("__first")) & F.col("value").isNotNull())
-            .groupBy(entity, parameter).agg(F.min(first).alias("later"))
-        )
-        got = got.join(rest, [entity, parameter], "left")
+    # Only rows without an interval can matter now; where all rows have one, the scan returns nothing.
+    head = got.filter(F.col("best").isNull()).select(entity, parameter, F.col("first.o").alias("__first"))
+    bare = df.filter((F.col("err_upper").isNull() | F.col("err_lower").isNull()) & F.col("value").isNotNull())
+    rest = bare.join(head, [entity, parameter]).filter(F.col(order) > F.col("__first"))
+    got = got.join(rest.groupBy(entity, parameter).agg(F.min(first).alias("later")), [entity, parameter], "left")
     pick = F.coalesce(F.col("best.value"), F.col("later.value"), F.col("first.value"))
     return got.select(entity, parameter, pick.alias("value"), F.col("best.err_upper").alias("err_upper"),
                       F.col("best.err_lower").alias("err_lower"), "n_sources")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxframe.functions import orbits, physics
@@ -115,22 +115,25 @@ def co_add(
 
 
 def ccf_snr(ccf: DataFrame, by: Sequence[str], width: float, v: str = "v_rest", index: str = "vr_index", out: str = "snr") -> DataFrame:
-    """CCF over the scatter of its row (``by``) farther than ``width`` from the row's maximum."""
-    peak = F.max_by(F.col(v), F.struct(F.col("ccf"), -F.col(index)))
-    got = with_group_stats(ccf, by, {"__at": peak})
+    """CCF over the scatter of its row (``by``) farther than ``width`` from the row's maximum.
+
+    A row holds the rest velocities of one Kp, as many as the caller asked for,
+    so a window over it is bounded and the costly map is computed once.
+    """
+    row = Window.partitionBy(*by)
+    peak = F.max_by(F.col(v), F.struct(F.col("ccf"), -F.col(index))).over(row)
     far = F.abs(F.col(v) - F.col("__at")) > F.lit(float(width))
-    got = with_group_stats(got, by, {"__noise": F.stddev_pop(F.when(far, F.col("ccf")))})
+    got = ccf.withColumn("__at", peak).withColumn("__noise", F.stddev_pop(F.when(far, F.col("ccf"))).over(row))
     return got.withColumn(out, F.when(F.col("__noise") > 0, F.col("ccf") / F.col("__noise"))).drop("__at", "__noise")
 
 
 def ccf_peak(ccf: DataFrame, by: Sequence[str], axes: Sequence[str], order: Sequence[str], cutoff: float, y: str = "ccf") -> DataFrame:
-    """Highest value, where it is (first in the order of ``order``) and how many points reach cutoff * highest."""
-    best = F.max(F.struct(F.col(y).alias("v"), *[(-F.col(c)).alias(f"o{i}") for i, c in enumerate(order)], *axes))
-    if by:
-        got = ccf.join(ccf.groupBy(*by).agg(best.alias("__best")), list(by))
-    else:
-        got = with_group_stats(ccf, [], {"__best": best})
-    return got.groupBy(*by).agg(
-        F.max("__best").alias("__b"),
-        F.count_if(F.col(y) >= F.lit(float(cutoff)) * F.col("__best.v")).alias("n_around_peak"),
+    """Highest value, where it is (first in the order of ``order``) and how many points reach cutoff * highest.
+
+    ``by`` keys one co-added map, whose size is the requested grid.
+    """
+    best = F.struct(F.col(y).alias("v"), *[(-F.col(c)).alias(f"o{i}") for i, c in enumerate(order)], *axes)
+    top = ccf.withColumn("__top", F.max(y).over(Window.partitionBy(*by)))
+    return top.groupBy(*by).agg(
+        F.max(best).alias("__b"), F.count_if(F.col(y) >= F.lit(float(cutoff)) * F.col("__top")).alias("n_around_peak"),
     ).select(*by, F.col("__b.v").alias("peak"), *[F.col(f"__b.{a}").alias(f"peak_{a}") for a in axes], "n_around_peak")
