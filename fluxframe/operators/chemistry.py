@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxframe.functions.expr import ColumnLike, col
-from fluxframe.operators.groups import with_group_stats
+from fluxframe.operators.groups import with_scalars
 
 LAYER = ["col_id", "layer"]
 TINY = 2.2250738585072014e-308
@@ -85,8 +86,7 @@ def element_abundances(vmr: DataFrame, elements: DataFrame, by: Sequence[str] =
 def hydrogen_ratios(abundance: DataFrame, solar: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
     """Element/H per layer and relative to the sun. ``solar``: element, abundance."""
     h = abundance.filter(F.col("element") == "H").select(*by, F.col("amount").alias("__h"))
-    sun = solar.withColumn("__one", F.lit(1)).join(
-        solar.filter(F.col("element") == "H").select(F.lit(1).alias("__one"), F.col("abundance").alias("__sh")), "__one")
+    sun = with_scalars(solar, solar, {"__sh": F.max(F.when(F.col("element") == "H", F.col("abundance")))})
     sun = sun.select("element", (F.col("abundance") / F.col("__sh")).alias("__solar"))
     got = abundance.filter(F.col("element") != "H").join(h, list(by)).join(sun, "element", "left")
     ratio = F.col("amount") / F.col("__h")
@@ -108,8 +108,7 @@ def metallicity(abundance: DataFrame, solar: DataFrame, by: Sequence[str] = LAYE
     sun = solar
     if only_present:
         sun = solar.join(abundance.select("element").distinct(), "element", "left_semi")
-    sun = sun.agg(z("abundance").alias("__sun")).withColumn("__one", F.lit(1))
-    got = abundance.groupBy(*by).agg(z("amount").alias("__z")).withColumn("__one", F.lit(1)).join(sun, "__one")
+    got = with_scalars(abundance.groupBy(*by).agg(z("amount").alias("__z")), sun, {"__sun": z("abundance")})
     return got.select(*by, (F.col("__z") / F.col("__sun")).alias(out))
 
 
@@ -118,10 +117,36 @@ def mixing_ratio_sums(vmr: DataFrame, by: Sequence[str] = LAYER, value: str = "v
     return vmr.groupBy(*by).agg(F.sum(value).alias("total")).filter(F.abs(F.col("total") - 1) > 1e-6)
 
 
-def _filling_rows(layers: DataFrame, by: Sequence[str], species: str, filling: dict) -> DataFrame:
-    options = F.array(*[F.struct(F.lit(s).alias(species), F.lit(None if w is None else float(w)).cast("double").alias("__weight"), F.lit(i).alias("__order"))
-                        for i, (s, w) in enumerate(filling.items())])
-    return layers.select(*by, F.inline(options))
+def _gas(name: Column) -> Column:
+    return ~(name.contains("(s)") | name.contains("(l)"))
+
+
+def _total(entries: Column, keep=None) -> Column:
+    """Sum of the values of a layer's (species, value) entries."""
+    chosen = entries if keep is None else F.filter(entries, keep)
+    return F.aggregate(chosen, F.lit(0.0), lambda acc, e: acc + e["value"])
+
+
+def _filled(entries: Column, filling: dict) -> Column:
+    """A layer's entries after the filling species took what is missing to 1."""
+    names = list(filling)
+    others = F.filter(entries, lambda e: ~e["species"].isin(names))
+    rest = 1 - _total(others, lambda e: _gas(e["species"]))
+    if all(w is None for w in filling.values()):
+        weights = [_total(entries, lambda e, s=s: e["species"] == s) for s in names]
+    else:
+        weights = [F.lit(float(w)) for w in filling.values()]
+    sum_weights = reduce(lambda a, b: a + b, weights)
+    shares = [w / sum_weights * rest for w in weights[:-1]]
+    last = reduce(lambda a, b: a - b, shares, rest)
+    new = F.array(*[F.struct(F.lit(s).alias("species"), v.alias("value")) for s, v in zip(names, [*shares, last])])
+    return F.when(rest > 0, F.concat(others, new)).otherwise(entries)
+
+
+def _check_filling(filling: dict) -> None:
+    weighted = [w is not None for w in filling.values()]
+    if any(weighted) and not all(weighted):
+        raise ValueError("weighted and unweighted filling species cannot be mixed")
 
 
 def fill_to_one(df: DataFrame, filling: dict, by: Sequence[str] = LAYER, species: str = "species", value: str = "mass_fraction") -> DataFrame:
@@ -129,28 +154,15 @@ def fill_to_one(df: DataFrame, filling: dict, by: Sequence[str] = LAYER, species
 
     Weights are numbers, or all None to use each species' own value. The last
     species takes the remainder by subtraction. Clouds neither count nor change;
-    a layer without anything missing stays as it is.
+    a layer without anything missing stays as it is. A layer is its short list of
+    species (each once), folded as an array after one shuffle.
     """
     if not filling:
         return df
-    weighted = [w is not None for w in filling.values()]
-    if any(weighted) and not all(weighted):
-        raise ValueError("weighted and unweighted filling species cannot be mixed")
-    by, names = list(by), list(filling)
-    own = F.col(species).isin(names)
-    cloud = is_cloud(species) if dict(df.dtypes)[species] == "string" else F.lit(False)
-    rest = df.groupBy(*by).agg((1 - F.coalesce(F.sum(F.when(~own & ~cloud, F.col(value))), F.lit(0.0))).alias("__rest"))
-    slots = _filling_rows(rest.select(*by), by, species, filling)
-    have = slots.join(df.filter(own).select(*by, species, value), [*by, species], "left").join(rest, by)
-    weight = F.col("__weight") if all(weighted) else F.coalesce(F.col(value), F.lit(0.0))
-    have = with_group_stats(have.withColumn("__w", weight), by, {"__sum": F.sum("__w")})
-    share = F.col("__w") / F.col("__sum") * F.col("__rest")
-    last = F.col("__order") == len(names) - 1
-    have = have.withColumn("__share", share)
-    have = with_group_stats(have, by, {"__given": F.coalesce(F.sum(F.when(~last, F.col("__share"))), F.lit(0.0))})
-    filled = F.when(F.col("__rest") > 0, F.when(last, F.col("__rest") - F.col("__given")).otherwise(F.col("__share"))).otherwise(F.col(value))
-    new = have.select(*by, species, filled.alias(value)).filter(F.col(value).isNotNull())
-    return df.filter(~own).select(*by, species, value).unionByName(new)
+    _check_filling(filling)
+    entries = F.collect_list(F.struct(F.col(species).alias("species"), F.col(value).alias("value")))
+    got = df.groupBy(*by).agg(entries.alias("__e")).select(*by, F.inline(_filled(F.col("__e"), filling)))
+    return got.select(*by, F.col("species").alias(species), F.col("value").alias(value))
 
 
 def override_abundances(table: DataFrame, imposed: DataFrame, by: Sequence[str] = LAYER, species: str = "species", value: str = "mass_fraction",
@@ -160,34 +172,36 @@ def override_abundances(table: DataFrame, imposed: DataFrame, by: Sequence[str]
     Imposed values above a sum of 1 are scaled down. Weighted filling species do
     not come from the table. Requested species that are missing get a tiny value.
     Above a sum of 1 the table species shrink, below it the filling species take the rest.
+    The names of the imposed species (a short list) are read first, so that the
+    table is filtered in its scan; all else is one shuffle by layer.
     """
-    by = list(by)
-    fill = {s: w for s, w in (filling or {}).items()}
-    text = dict(table.dtypes)[species] == "string"
-    gas = ~is_cloud(species) if text else F.lit(True)
-    imp = with_group_stats(imposed, by, {"__s": F.sum(F.when(gas, F.col(value)))})
-    imp = imp.select(*by, species, F.when(gas & (F.col("__s") > 1), F.col(value) / F.col("__s")).otherwise(F.col(value)).alias(value), F.lit(True).alias("__imposed"))
-    taken = imposed.select(species).distinct()
-    fill_weighted = [s for s, w in fill.items() if w is not None]
-    rest = table.select(*by, species, value).join(taken, species, "left_anti")
-    if fill_weighted:
-        rest = rest.filter(~F.col(species).isin(fill_weighted))
-    both = imp.unionByName(rest.withColumn("__imposed", F.lit(False)))
+    _check_filling(filling or {})
+    names = [r[0] for r in imposed.select(species).distinct().collect()]
+    fill = {s: w for s, w in (filling or {}).items() if s not in names}
+    dropped = [*names, *[s for s, w in fill.items() if w is not None]]
+
+    def tagged(df: DataFrame, is_imposed: bool) -> DataFrame:
+        return df.select(*by, F.struct(F.col(species).alias("species"), F.col(value).alias("value"), F.lit(is_imposed).alias("imposed")).alias("e"))
+
+    rest = table.filter(~F.col(species).isin(dropped)) if dropped else table
+    got = tagged(rest, False).unionByName(tagged(imposed, True)).groupBy(*by).agg(F.collect_list("e").alias("__e"))
+    given = F.filter("__e", lambda e: e["imposed"])
+    got = got.withColumn("__raw", _total(given, lambda e: _gas(e["species"])))
+    down = F.when(F.col("__raw") > 1, F.col("__raw")).otherwise(F.lit(1.0))
+
+    def entry(name: Column, v: Column) -> Column:
+        return F.struct(name.alias("species"), v.alias("value"))
+
+    got = got.withColumn("__imp", F.transform(given, lambda e: entry(e["species"], F.when(_gas(e["species"]), e["value"] / down).otherwise(e["value"]))))
+    got = got.withColumn("__tab", F.transform(F.filter("__e", lambda e: ~e["imposed"]), lambda e: entry(e["species"], e["value"])))
     if requested:
-        # The layers come from both inputs, so a species missing everywhere is still added.
-        layers = table.select(*by).unionByName(imposed.select(*by)).distinct()
-        asked = layers.withColumn(species, F.explode(F.array(*[F.lit(s) for s in requested])))
-        missing = asked.join(both.select(*by, species), [*by, species], "left_anti")
-        both = both.unionByName(missing.select(*by, species, F.lit(TINY).alias(value), F.lit(False).alias("__imposed")))
-    sums = {"__imp": F.coalesce(F.sum(F.when(F.col("__imposed"), F.col(value))), F.lit(0.0)),
-            "__tab": F.coalesce(F.sum(F.when(~F.col("__imposed"), F.col(value))), F.lit(0.0))}
-    got = with_group_stats(both, by, sums)
-    total = F.col("__imp") + F.col("__tab")
-    scaled = F.when(~F.col("__imposed") & (total > 1) & (F.col("__tab") > 0), F.col(value) * (1 - F.col("__imp")) / F.col("__tab")).otherwise(F.col(value))
-    got = got.select(*by, species, scaled.alias(value))
-    imposed_names = None
-    if fill:
-        # A filling species that is imposed keeps its imposed value.
-        imposed_names = {r[0] for r in taken.filter(F.col(species).isin(list(fill))).collect()}
-        fill = {s: w for s, w in fill.items() if s not in imposed_names}
-    return fill_to_one(got, fill, by, species, value) if fill else got
+        asked = F.array(*[entry(F.lit(s), F.lit(TINY)) for s in requested])
+        missing = F.filter(asked, lambda a: ~F.exists("__e", lambda e: e["species"] == a["species"]))
+        got = got.withColumn("__tab", F.concat("__tab", missing))
+    got = got.withColumns({"__a": _total(F.col("__imp")), "__b": _total(F.col("__tab"))})
+    shrink = F.when((F.col("__a") + F.col("__b") > 1) & (F.col("__b") > 0), (1 - F.col("__a")) / F.col("__b")).otherwise(F.lit(1.0))
+    got = got.withColumn("__shrink", shrink)
+    entries = F.concat("__imp", F.transform("__tab", lambda e: entry(e["species"], e["value"] * F.col("__shrink"))))
+    out = got.withColumn("__all", entries)
+    result = _filled(F.col("__all"), fill) if fill else F.col("__all")
+    return out.select(*by, F.inline(result)).select(*by, F.col("species").alias(species), F.col("value").alias(value))

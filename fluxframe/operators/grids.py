@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.operators.axis import axis_stats, nearest_known, neighbours, resolve_span, running_total
-from fluxframe.operators.groups import with_group_stats
+from fluxframe.operators.groups import with_group_stats, with_scalars
 
 Span = float | str | None
 
@@ -94,10 +94,11 @@ def rebin(
         bucket = max(w for w in (grid_step, step, 1e-300) if w is not None)
 
     reach = spec.groupBy(*by).agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"))
-    wanted = bins.groupBy(*target_by).agg(
-        F.min("bin_low").alias("__low"), F.max("bin_high").alias("__high"), F.count(F.lit(1)).alias("__bins")
-    )
-    scope = reach.join(wanted, target_by) if target_by else _join_one(reach, wanted)
+    asked = {"__low": F.min("bin_low"), "__high": F.max("bin_high"), "__bins": F.count(F.lit(1))}
+    if target_by:
+        scope = reach.join(bins.groupBy(*target_by).agg(*[c.alias(n) for n, c in asked.items()]), target_by)
+    else:
+        scope = with_scalars(reach, bins, asked)
 
     w = F.lit(float(bucket))
     left = segments.withColumn("__b", _pieces(F.col("__x"), F.col("__x1"), bucket))
@@ -114,27 +115,22 @@ def rebin(
         .groupBy(*by, "__t", "bin_low", "bin_high")
         .agg((F.sum("__a") / F.sum("__l")).alias("__v"))
     )
-    covered = (F.col("__min") < F.col("__low")) & (F.col("__max") > F.col("__high")) & (F.col("__bins") >= 2)
     if strict:
+        # One row per spectrum drives the join, so a spectrum without any overlap fails too.
+        covered = (F.col("__min") < F.col("__low")) & (F.col("__max") > F.col("__high")) & (F.col("__bins") >= 2)
         message = F.lit("rebin: fewer than two bins, or the spectrum does not reach beyond the outer bin edges")
+        checked = scope.select(*by, covered.alias("__ok")).join(sums, by, "left")
         value = F.when(F.col("__ok"), F.col("__v")).otherwise(F.raise_error(message).cast("double"))
-        # Groups without any overlap must fail too, so the grid drives the join.
-        scope = scope.withColumn("__ok", covered)
-        joined = (scope.join(bins, target_by) if target_by else _join_one(scope, bins)).join(
-            sums, [*by, "__t", "bin_low", "bin_high"], "left"
-        )
+        return checked.select(*by, F.col("__t").alias(x), "bin_low", "bin_high", value.alias(y))
+    if target_by:
+        every = scope.join(bins, target_by)
     else:
-        inside = (F.col("__min") < F.col("bin_low")) & (F.col("__max") > F.col("bin_high")) & (F.col("__bins") >= 2)
-        value = F.when(inside, F.col("__v"))
-        joined = (scope.join(bins, target_by) if target_by else _join_one(scope, bins)).join(
-            sums, [*by, "__t", "bin_low", "bin_high"], "left"
-        )
-    return joined.select(*by, F.col("__t").alias(x), "bin_low", "bin_high", value.alias(y))
-
-
-def _join_one(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Equi-join on a constant: for a grid that serves every spectrum."""
-    return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        # The shared grid travels as one array; the result has every bin of every spectrum anyway.
+        grid = bins.agg(F.collect_list(F.struct("__t", "bin_low", "bin_high"))).scalar()
+        every = scope.select("*", F.inline(grid))
+    inside = (F.col("__min") < F.col("bin_low")) & (F.col("__max") > F.col("bin_high")) & (F.col("__bins") >= 2)
+    return every.join(sums, [*by, "__t", "bin_low", "bin_high"], "left").select(
+        *by, F.col("__t").alias(x), "bin_low", "bin_high", F.when(inside, F.col("__v")).alias(y))
 
 
 def band_average(
@@ -213,8 +209,11 @@ def grid_overlap(a: DataFrame, b: DataFrame, by: Sequence[str], x: str = "wavele
     """Rows of ``a`` within the range of ``b`` of the same group (relative tolerance 1e-15)."""
     tiny = 1e-15
     keys = list(by)
-    limits = b.groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    joined = a.join(limits, keys) if keys else _join_one(a, limits)
+    limits = {"__lo": F.min(x), "__hi": F.max(x)}
+    if keys:
+        joined = a.join(b.groupBy(*keys).agg(*[c.alias(n) for n, c in limits.items()]), keys)
+    else:
+        joined = with_scalars(a, b, limits)
     kept = joined.filter((F.col(x) >= F.col("__lo") * F.lit(1 - tiny)) & (F.col(x) <= F.col("__hi") * F.lit(1 + tiny)))
     return kept.select(*a.columns)
 
@@ -222,10 +221,8 @@ def grid_overlap(a: DataFrame, b: DataFrame, by: Sequence[str], x: str = "wavele
 def clip_grid(df: DataFrame, by: Sequence[str], low: float, high: float, x: str = "wavelength", stride: int = 1,
               span: Span = "auto") -> DataFrame:
     """Points whose range fully contains [low, high] (one extra point each side), then every n-th from the low end."""
-    edges = df.groupBy(*by).agg(
-        F.max(F.when(F.col(x) <= low, F.col(x))).alias("__from"), F.min(F.when(F.col(x) >= high, F.col(x))).alias("__to")
-    )
-    joined = df.join(edges, list(by)) if by else _join_one(df, edges)
+    ends = {"__from": F.max(F.when(F.col(x) <= low, F.col(x))), "__to": F.min(F.when(F.col(x) >= high, F.col(x)))}
+    joined = with_group_stats(df, by, ends)
     start, stop = F.coalesce("__from", F.lit(float("-inf"))), F.coalesce("__to", F.lit(float("inf")))
     if stride == 1:
         return joined.filter((F.col(x) >= start) & (F.col(x) <= stop)).select(*df.columns)

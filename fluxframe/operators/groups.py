@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from fluxframe.operators.axis import ROWS_PER_CHUNK, chunk_span, running_total
 
 
+def scalars(df: DataFrame, stats: dict[str, Column]) -> Column:
+    """Aggregates over a whole table as one struct: a scalar subquery, so no join is needed to use them."""
+    return df.agg(F.struct(*[c.alias(n) for n, c in stats.items()])).scalar()
+
+
+def with_scalars(df: DataFrame, source: DataFrame, stats: dict[str, Column]) -> DataFrame:
+    """Add aggregates over all of ``source`` to every row of ``df``."""
+    return df.withColumn("__scalars", scalars(source, stats)).select(*df.columns, *[F.col(f"__scalars.{n}").alias(n) for n in stats])
+
+
 def with_group_stats(df: DataFrame, by: Sequence[str], stats: dict[str, Column]) -> DataFrame:
     """Add per-group aggregates as columns.
 
@@ -18,8 +28,7 @@ def with_group_stats(df: DataFrame, by: Sequence[str], stats: dict[str, Column])
     broadcast by Spark itself when it is small.
     """
     if not by:
-        one = df.withColumn("__one", F.lit(1))
-        return with_group_stats(one, ["__one"], stats).drop("__one")
+        return with_scalars(df, df, stats)
     return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), list(by))
 
 
@@ -37,14 +46,14 @@ def order_statistics(
     values are counted before the sort, and the running count is chunked along
     the value axis, so neither ties nor a huge group end in one task.
     """
-    keys = list(by) or ["__one"]
+    keys = list(by) or ["__one"]  # a constant group, not a join
     base = df.withColumn("__one", F.lit(1)) if not by else df
     counts = base.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("__k"))
     if span == "auto":
         span = chunk_span(counts, keys, value)
     seen = running_total(counts, keys, value, {"__seen": "__k"}, span=span)
     sizes = counts.groupBy(*keys).agg(F.sum("__k").alias("n"))
-    ranked = seen.join(sizes, keys)
+    ranked = seen.join(sizes, keys) if by else with_scalars(seen, counts, {"n": F.sum("__k")})
     out = ranked.groupBy(*keys).agg(
         *[
             F.max(F.when((F.col("__seen") - F.col("__k") <= r) & (r < F.col("__seen")), F.col(value))).alias(name)

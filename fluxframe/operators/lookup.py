@@ -2,7 +2,7 @@
 
 A grid becomes a table of cells, each holding the values of its 2^n corners; a
 point finds its cell by bracketing its coordinates on the axes and takes one
-equi-join. Axes travel as one row of arrays.
+equi-join. Axes travel as arrays in a scalar subquery.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fluxframe.functions import constants as k
 from fluxframe.functions.expr import total
 from fluxframe.operators.grids import trapezoid_integral
+from fluxframe.operators.groups import with_scalars
 
 
 @dataclass(frozen=True)
@@ -29,19 +30,15 @@ class Axis:
     outside: str = "clamp"  # or "null"
 
 
-def axis_row(grid: DataFrame, axes: Sequence[Axis]) -> DataFrame:
-    """One row with the sorted values of every axis."""
-    return grid.agg(*[F.array_sort(F.collect_set(F.col(a.grid).cast("double"))).alias(f"__ax{n}") for n, a in enumerate(axes)])
-
-
-def _with_axes(df: DataFrame, row: DataFrame) -> DataFrame:
-    return df.withColumn("__one", F.lit(1)).join(row.withColumn("__one", F.lit(1)), "__one").drop("__one")
+def _with_axes(df: DataFrame, grid: DataFrame, axes: Sequence[Axis]) -> DataFrame:
+    """Add the sorted values of every axis as arrays ``__ax<n>`` (one scalar subquery)."""
+    return with_scalars(df, grid, {f"__ax{n}": F.array_sort(F.collect_set(F.col(a.grid).cast("double"))) for n, a in enumerate(axes)})
 
 
 def cells(grid: DataFrame, axes: Sequence[Axis], value: str | Column, payload: Sequence[str] = ()) -> DataFrame:
     """(payload, __i0.., __v): the corner values of each cell by corner number (bit n = upper end of axis n)."""
     value = F.col(value) if isinstance(value, str) else value
-    base = _with_axes(grid.withColumn("__val", value), axis_row(grid, axes))
+    base = _with_axes(grid.withColumn("__val", value), grid, axes)
     at = [F.array_position(F.col(f"__ax{n}"), F.col(a.grid).cast("double")) - 1 for n, a in enumerate(axes)]
     corners = list(itertools.product((0, 1), repeat=len(axes)))
     options = F.array(*[
@@ -56,7 +53,7 @@ def cells(grid: DataFrame, axes: Sequence[Axis], value: str | Column, payload: S
 
 def bracket(points: DataFrame, grid: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     """Add the lower cell index ``__i<n>`` and the fraction ``__f<n>`` in the cell per axis."""
-    got = _with_axes(points, axis_row(grid, axes))
+    got = _with_axes(points, grid, axes)
     for n, a in enumerate(axes):
         ax, x = F.col(f"__ax{n}"), F.col(a.point).cast("double")
         low, high = F.element_at(ax, 1), F.element_at(ax, -1)
@@ -145,13 +142,10 @@ def star_lookup(stars: DataFrame, grid: DataFrame, teff: str = "teff", span: flo
     template = grid.groupBy("log10_teff").agg(F.max("radius").alias("radius")).join(totals, "log10_teff")
     full = grid.select("log10_teff", "wavelength", "flux").join(template, "log10_teff")
     located = bracket(stars.withColumn("__log_t", F.log10(teff)), template, axes)
-    corners = {name: cells(full, axes, name, ["wavelength"]).withColumnsRenamed({"__v0": f"__{name}0", "__v1": f"__{name}1"}) for name in ("flux", "radius", "__norm")}
-    table = corners["flux"]
-    for name in ("radius", "__norm"):
-        table = table.join(corners[name], ["wavelength", "__i0"])
+    table = cells(full, axes, F.struct("flux", "radius", "__norm"), ["wavelength"])
 
     def blend(name: str) -> Column:
-        low, high = F.col(f"__{name}0"), F.col(f"__{name}1")
+        low, high = F.col(f"__v0.{name}"), F.col(f"__v1.{name}")
         return low + (high - low) * F.col("__f0")
 
     got = located.join(table, "__i0")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fluxframe.functions.priors import CustomPrior, gamma_function, prior_value
 from fluxframe.functions.stats import bayes_factor_to_sigma, rounding_digits
 from fluxframe.operators.axis import running_total
-from fluxframe.operators.groups import order_statistics, quantiles, with_group_stats
+from fluxframe.operators.groups import order_statistics, quantiles, with_group_stats, with_scalars
 
 RUN = ["run_id"]
 
@@ -42,9 +42,8 @@ def resolve_params(samples_long: DataFrame, parameters: DataFrame, ids: Sequence
     if strange:
         raise ValueError(f"sampled parameters without declaration: {strange}")
     free = samples_long.join(parameters.filter("is_free").select(F.col("name").alias("param")), "param", "left_semi")
-    fixed = parameters.filter("NOT is_free").agg(F.collect_list(F.struct(F.col("name").alias("param"), "value")).alias("__f"))
-    each = samples_long.select(*ids).distinct().withColumn("__one", F.lit(1)).join(fixed.withColumn("__one", F.lit(1)), "__one")
-    rest = each.select(*ids, F.inline("__f"))
+    fixed = parameters.filter("NOT is_free").agg(F.collect_list(F.struct(F.col("name").alias("param"), "value"))).scalar()
+    rest = samples_long.select(*ids).distinct().select(*ids, F.inline(fixed))
     return free.select(*ids, "param", "value").unionByName(rest)
 
 
@@ -164,12 +163,9 @@ def run_summary(samples_long: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def compare_runs(evidence: DataFrame, reference: str | None = None) -> DataFrame:
     """Each run against one reference run (by name, else the highest evidence): Bayes factor and sigma."""
-    if reference is None:
-        ref = evidence.agg(F.max_by(F.struct("run_id", "ln_z"), F.struct("ln_z", "run_id")).alias("r")).select("r.*")
-    else:
-        ref = evidence.filter(F.col("run_id") == reference).select("run_id", "ln_z")
-    ref = ref.select(F.col("run_id").alias("reference_run"), F.col("ln_z").alias("__ref"), F.lit(1).alias("__one"))
-    got = evidence.withColumn("__one", F.lit(1)).join(ref, "__one")
+    pool = evidence if reference is None else evidence.filter(F.col("run_id") == reference)
+    best = F.struct("ln_z", "run_id")
+    got = with_scalars(evidence, pool, {"reference_run": F.max_by("run_id", best), "__ref": F.max_by("ln_z", best)})
     delta = F.col("__ref") - F.col("ln_z")
     return got.select("run_id", "reference_run", delta.alias("delta_ln_z"), F.exp(delta).alias("bayes_factor"),
                       bayes_factor_to_sigma(F.exp(delta)).alias("sigma"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions.expr import ColumnLike, col
 from fluxframe.functions.stats import clean_loglik
+from fluxframe.operators.groups import with_scalars
 
 
 def align(data: DataFrame, model: DataFrame, on: Sequence[str], y: str = "flux", out: str = "model") -> DataFrame:
@@ -47,8 +48,11 @@ def inflate_sigma(df: DataFrame, params: DataFrame, dataset: str = "dataset", si
         "__prefix", F.concat(F.regexp_replace(name, r"_[^_]*$", ""), F.lit("_b")))
     for key, value in (("__own", "__b1"), ("__prefix", "__b2")):
         got = got.join(b.select(*by, F.col("name").alias(key), F.col("value").alias(value)), [*by, key], "left")
-    shared = b.filter(F.col("name") == "uncertainty_scaling_b").select(*by, F.lit("uncertainty_scaling_b").alias("__g"), F.col("value").alias("__b3"))
-    got = got.withColumn("__g", F.lit("uncertainty_scaling_b")).join(shared, [*by, "__g"], "left")
+    shared = b.filter(F.col("name") == "uncertainty_scaling_b")
+    if by:
+        got = got.join(shared.select(*by, F.col("value").alias("__b3")), by, "left")
+    else:
+        got = with_scalars(got, shared, {"__b3": F.max("value")})
     power = F.coalesce("__b1", "__b2", "__b3")
     wide = F.when(power.isNotNull(), F.sqrt(F.pow(F.col(sigma), 2) + F.pow(F.lit(10.0), power))).otherwise(F.col(sigma))
     return got.withColumn(out, wide).select(*df.columns, *([] if out in df.columns else [out]))
@@ -104,20 +108,22 @@ def total_loglik(per_dataset: DataFrame, by: Sequence[str], extra: DataFrame | N
     return got.select(*by, clean_loglik(value).alias(log_l))
 
 
-def chi2_normalisation(data: DataFrame, by: Sequence[str], sigma: ColumnLike = "uncertainty") -> DataFrame:
+def _normalisation(sigma: ColumnLike) -> dict[str, Column]:
     s = col(sigma)
-    return data.groupBy(*by).agg(
-        (F.lit(0.5) * F.sum(F.log(F.lit(2 * math.pi) * s * s))).alias("normalisation"), F.count(F.lit(1)).alias("n_data"))
+    return {"normalisation": F.lit(0.5) * F.sum(F.log(F.lit(2 * math.pi) * s * s)), "n_data": F.count(F.lit(1))}
+
+
+def chi2_normalisation(data: DataFrame, by: Sequence[str], sigma: ColumnLike = "uncertainty") -> DataFrame:
+    return data.groupBy(*by).agg(*[c.alias(n) for n, c in _normalisation(sigma).items()])
 
 
 def chi2_from_loglik(samples: DataFrame, data: DataFrame, n_free: int = 0, sigma: ColumnLike = "uncertainty", log_l: str = "log_l",
                      by: Sequence[str] = ()) -> DataFrame:
     """chi^2 of stored scores by removing the normalisation of the data, and both reduced forms."""
-    norm = chi2_normalisation(data, by, sigma)
     if by:
-        joined = samples.join(norm, list(by))
+        joined = samples.join(chi2_normalisation(data, by, sigma), list(by))
     else:
-        joined = samples.withColumn("__one", F.lit(1)).join(norm.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        joined = with_scalars(samples, data, _normalisation(sigma))
     value = F.lit(2.0) * (-F.col(log_l) - F.col("normalisation"))
     return joined.withColumn("chi2", value).withColumn("chi2_per_point", value / F.col("n_data")).withColumn(
         "chi2_per_dof", value / (F.col("n_data") - n_free)).drop("normalisation", "n_data")
