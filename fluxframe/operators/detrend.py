@@ -82,8 +82,12 @@ def remove_tellurics_mean(df: DataFrame, weighted: bool = True, threshold: float
 
 
 def _shrink_sigma(df: DataFrame, by: list[str], lost: int) -> DataFrame:
+    """Shrink the uncertainties by the points left valid in each group."""
+    return _shrunk(with_group_stats(df, by, {"__valid": F.count("uncertainty"), "__all": F.count(F.lit(1))}), lost)
+
+
+def _shrunk(got: DataFrame, lost: int) -> DataFrame:
     """sigma sqrt(max(valid - lost, 0) / N): the fit took ``lost`` degrees of freedom."""
-    got = with_group_stats(df, by, {"__valid": F.count("uncertainty"), "__all": F.count(F.lit(1))})
     left = F.greatest(F.col("__valid") - lost, F.lit(0))
     return got.withColumn("uncertainty", F.when(left > 0, F.col("uncertainty") * F.sqrt(left / F.col("__all"))))
 
@@ -119,7 +123,9 @@ def remove_tellurics_fit(
     positive = F.col("flux") > 0
     sigma = F.col("uncertainty")
     weight = F.when(positive & (sigma != 0), F.abs(F.col("flux") / sigma) if weighted else F.lit(1.0))
-    got = with_poly_fit(df, COLUMN, "airmass", F.when(positive, F.log("flux")), weight, degree)
+    # A channel is masked as a whole or keeps all positive fluxes, so its valid points are known with the sums.
+    counts = {"__valid": F.count(F.when(positive, sigma)), "__all": F.count(F.lit(1))}
+    got = with_poly_fit(df, COLUMN, "airmass", F.when(positive, F.log("flux")), weight, degree, extra=counts)
     got = got.withColumn("__fit", F.exp(F.when(F.col("__used") > degree + 1, F.col("__fit")).otherwise(F.lit(0.0))))
     if degree == 1:  # a straight line is lowest at one end of the unit axis
         ends = [F.col("__c0") - F.col("__c1"), F.col("__c0") + F.col("__c1")]
@@ -128,7 +134,7 @@ def remove_tellurics_fit(
         got = with_group_stats(got, COLUMN, {"__lowest": F.min("__fit")})
     got = got.withColumn("__fit", F.when(positive & (F.col("__lowest") >= threshold), F.col("__fit")))
     got = _divide(got, "__fit")
-    return (_shrink_sigma(got, COLUMN, degree + 1) if correct else got).select(*df.columns)
+    return (_shrunk(got, degree + 1) if correct else got).select(*df.columns)
 
 
 def polyfit_detrend(

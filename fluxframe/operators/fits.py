@@ -56,11 +56,12 @@ def _solve_many(sums: pd.Series, rights: pd.Series) -> pd.Series:
 
 
 def with_poly_fit(
-    df: DataFrame, by: Sequence[str], x: str, y: Column, weight: Column, degree: int, out: str = "__fit"
+    df: DataFrame, by: Sequence[str], x: str, y: Column, weight: Column, degree: int, out: str = "__fit",
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add the fitted value of each row, the number of weighted points ``__used`` and the unit axis ``__u``.
 
-    ``weight`` multiplies the residual; NULL y or NULL or zero weight leaves a point out.
+    ``extra`` aggregates ride along with the power sums. ``weight`` multiplies the residual; NULL y or NULL or zero weight leaves a point out.
     """
     ends = with_group_stats(df, by, {"__x0": F.min(x), "__x1": F.max(x)})
     half = (F.col("__x1") - F.col("__x0")) / 2
@@ -76,10 +77,11 @@ def with_poly_fit(
     sums = {f"__s{m}": F.sum(w2 * p) for m, p in enumerate(powers)}
     sums |= {f"__t{m}": F.sum(w2 * value * powers[m]) for m in range(degree + 1)}
     sums["__used"] = F.count_if(w2 > 0)
+    sums |= extra or {}
     totals = base.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
     coefficients = _solve([F.col(f"__s{m}") for m in range(2 * degree + 1)], [F.col(f"__t{m}") for m in range(degree + 1)], degree)
     names = [f"__c{m}" for m in range(degree + 1)]
-    small = totals.select(*by, "__used", *[c.alias(n) for n, c in zip(names, coefficients)])
+    small = totals.select(*by, "__used", *(extra or {}), *[c.alias(n) for n, c in zip(names, coefficients)])
     got = base.join(small, list(by)).drop("__w2", "__y")
     return got.withColumn(out, horner([F.col(n) for n in names], F.col("__u")))
 

@@ -282,6 +282,24 @@ def required_range(df: DataFrame, by: Sequence[str], velocity_low: str | Column,
                       doppler("hi", -F.least(F.col("vmin"), F.lit(0.0))).alias("range_high"))
 
 
+def velocity_range(exposures: DataFrame, by: Sequence[str], time: str, system: str, period: float, kp: tuple[float, float],
+                   shift: tuple[float, float] = (0.0, 0.0), mid_transit: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Extreme relative velocities over the prior ranges of Kp, rest-frame shift and mid-transit time.
+
+    The lowest uses the smallest shift and mid-transit time, the highest the largest, both the largest Kp.
+    """
+    from fluxframe.functions import orbits
+
+    top = max(abs(kp[0]), abs(kp[1]))
+
+    def velocity(v: float, t0: float) -> Column:
+        longitude = orbits.phase_to_longitude(orbits.orbital_phase(F.col(time) - F.lit(float(t0)), float(period)))
+        return orbits.relative_velocity(orbits.radial_velocity(top, longitude), system, float(v))
+
+    return exposures.groupBy(*by).agg(
+        F.min(velocity(min(shift), min(mid_transit))).alias("velocity_min"), F.max(velocity(max(shift), max(mid_transit))).alias("velocity_max"))
+
+
 def min_max_scale(df: DataFrame, by: Sequence[str], y: str, low: float = 0.0, high: float = 1.0, out: str = "scaled") -> DataFrame:
     near = with_group_stats(df, by, {"__mn": F.min(y), "__mx": F.max(y)})
     value = F.lit(float(low)) + (F.col(y) - F.col("__mn")) * F.lit(float(high - low)) / (F.col("__mx") - F.col("__mn"))

@@ -461,6 +461,39 @@ def g7_apply_tellurics(spark, sf):
     return rounded(observe.multiply_tellurics(df, scaled, keys).select(*keys, "flux"))
 
 
+_G7_GRID = """SELECT t, coalesce(t - (t - lag(t) OVER w)/2, t - (lead(t) OVER w - t)/2) lo, coalesce(lead(t) OVER w - (lead(t) OVER w - t)/2, t + (t - lag(t) OVER w)/2) hi
+    FROM (SELECT 1.08::DOUBLE*power(1.01::DOUBLE, i) t FROM range(0, 35) r(i) WHERE 1.08::DOUBLE*power(1.01::DOUBLE, i) <= 1.52) WINDOW w AS (ORDER BY t)"""
+_SHARE = "sum((y + (y1-y)/(x1-x)*((greatest(x,lo)+least(x1,hi))/2 - x))*(least(x1,hi)-greatest(x,lo)))/sum(least(x1,hi)-greatest(x,lo))"
+
+
+@query("g7_telluric_model", sql("spectra_long", f"""
+SELECT order_id, exposure_id, t wavelength, f*exp(airmass*ln(tr)) flux FROM (
+  SELECT order_id, exposure_id, t, max(airmass) airmass, {_SHARE} f FROM ss JOIN b ON x1 > lo AND x < hi GROUP BY 1, 2, 3)
+JOIN (SELECT t, {_SHARE} tr FROM st JOIN b ON x1 > lo AND x < hi GROUP BY 1) USING (t)""", "order_id, exposure_id", "wavelength, flux", ex=_EXPOSURES, b=_G7_GRID,
+    ss=f"""SELECT *, lead(x) OVER w x1, lead(y) OVER w y1 FROM (SELECT order_id, exposure_id, airmass, wavelength*sqrt((1+sys/{_C})/(1-sys/{_C})) x, flux y
+      FROM spectra_long JOIN ex USING (order_id, exposure_id)) WINDOW w AS (PARTITION BY order_id, exposure_id ORDER BY x)""",
+    st="""SELECT *, lead(x) OVER w x1, lead(y) OVER w y1 FROM (SELECT wavelength x, 0.8::DOUBLE*avg(flux) y FROM spectra_long GROUP BY 1) WINDOW w AS (ORDER BY x)"""))
+def g7_telluric_model(spark, sf):
+    df = views.spectra_long(spark, sf)
+    moved = observe.shift_spectrum(df.join(exposures_of(df), ["order_id", "exposure_id"]), "system_velocity")
+    sky = df.groupBy("wavelength").agg((F.lit(0.8) * F.avg("flux")).alias("transmittance"))
+    got = observe.apply_tellurics(moved, sky, 1.10, 1.50, 0.02, resolving_power=100.0, bucket=0.02, span=None)
+    return rounded(got)
+
+
+@query("h4_velocity_range", sql("spectra_long", """
+SELECT order_id, min(kp*sin(radians(360*(p0 - floor(p0) - CASE WHEN p0 < 0 THEN 1 ELSE 0 END))) + sys - 100)/1e5 velocity_min,
+  max(kp*sin(radians(360*(p1 - floor(p1) - CASE WHEN p1 < 0 THEN 1 ELSE 0 END))) + sys + 250)/1e5 velocity_max
+FROM (SELECT order_id, 2e7::DOUBLE kp, sys, (exposure_id - 20)/2000::DOUBLE p0, (exposure_id - 40)/2000::DOUBLE p1 FROM ex) GROUP BY 1""",
+    "order_id", "velocity_min, velocity_max", 5, ex=_EXPOSURES))
+def h4_velocity_range(spark, sf):
+    from fluxframe.operators import grids
+
+    ex = exposures_of(views.spectra_long(spark, sf)).withColumn("time", F.col("exposure_id").cast("double"))
+    got = grids.velocity_range(ex, ["order_id"], "time", "system_velocity", 2000.0, (-1e7, 2e7), (-100.0, 250.0), (20.0, 40.0))
+    return rounded(got.select("order_id", *[(F.col(c) / 1e5).alias(c) for c in ("velocity_min", "velocity_max")]), 5)
+
+
 @query("g8_observe")
 def g8_observe(spark, sf):
     """Scale, light loss, tellurics, smoothing, deformation and preparation in the chain's fixed order."""
