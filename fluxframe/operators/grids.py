@@ -93,7 +93,9 @@ def rebin(
         step = axis_stats(spec, by, "__x")[1] if step is None else step
         bucket = max(w for w in (grid_step, step, 1e-300) if w is not None)
 
-    reach = spec.groupBy(*by).agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"))
+    message = F.lit("rebin: fewer than two bins, or the spectrum does not reach beyond the outer bin edges")
+    ends = {"__min": F.min("__x"), "__max": F.max("__x")}
+    reach = spec.groupBy(*by).agg(*[c.alias(n) for n, c in ends.items()])
     asked = {"__low": F.min("bin_low"), "__high": F.max("bin_high"), "__bins": F.count(F.lit(1))}
     if target_by:
         scope = reach.join(bins.groupBy(*target_by).agg(*[c.alias(n) for n, c in asked.items()]), target_by)
@@ -115,22 +117,27 @@ def rebin(
         .groupBy(*by, "__t", "bin_low", "bin_high")
         .agg((F.sum("__a") / F.sum("__l")).alias("__v"))
     )
-    if strict:
+    if not by:
+        # A single spectrum: its limits are scalars, the bins drive the join.
+        every = with_scalars(with_scalars(bins, bins, asked), spec, ends)
+    elif strict:
         # One row per spectrum drives the join, so a spectrum without any overlap fails too.
         covered = (F.col("__min") < F.col("__low")) & (F.col("__max") > F.col("__high")) & (F.col("__bins") >= 2)
-        message = F.lit("rebin: fewer than two bins, or the spectrum does not reach beyond the outer bin edges")
         checked = scope.select(*by, covered.alias("__ok")).join(sums, by, "left")
         value = F.when(F.col("__ok"), F.col("__v")).otherwise(F.raise_error(message).cast("double"))
         return checked.select(*by, F.col("__t").alias(x), "bin_low", "bin_high", value.alias(y))
-    if target_by:
+    elif target_by:
         every = scope.join(bins, target_by)
     else:
         # The shared grid travels as one array; the result has every bin of every spectrum anyway.
         grid = bins.agg(F.collect_list(F.struct("__t", "bin_low", "bin_high"))).scalar()
         every = scope.select("*", F.inline(grid))
     inside = (F.col("__min") < F.col("bin_low")) & (F.col("__max") > F.col("bin_high")) & (F.col("__bins") >= 2)
+    value = F.when(inside, F.col("__v"))
+    if strict:
+        value = F.when(inside, F.col("__v")).otherwise(F.raise_error(message).cast("double"))
     return every.join(sums, [*by, "__t", "bin_low", "bin_high"], "left").select(
-        *by, F.col("__t").alias(x), "bin_low", "bin_high", F.when(inside, F.col("__v")).alias(y))
+        *by, F.col("__t").alias(x), "bin_low", "bin_high", value.alias(y))
 
 
 def band_average(

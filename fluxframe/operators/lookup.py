@@ -35,10 +35,13 @@ def _with_axes(df: DataFrame, grid: DataFrame, axes: Sequence[Axis]) -> DataFram
     return with_scalars(df, grid, {f"__ax{n}": F.array_sort(F.collect_set(F.col(a.grid).cast("double"))) for n, a in enumerate(axes)})
 
 
-def cells(grid: DataFrame, axes: Sequence[Axis], value: str | Column, payload: Sequence[str] = ()) -> DataFrame:
-    """(payload, __i0.., __v): the corner values of each cell by corner number (bit n = upper end of axis n)."""
+def cells(grid: DataFrame, axes: Sequence[Axis], value: str | Column, payload: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
+    """(payload, __i0.., __v): the corner values of each cell by corner number (bit n = upper end of axis n).
+
+    ``source`` may give the axis values where ``grid`` is costly to compute.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    base = _with_axes(grid.withColumn("__val", value), grid, axes)
+    base = _with_axes(grid.withColumn("__val", value), grid if source is None else source, axes)
     at = [F.array_position(F.col(f"__ax{n}"), F.col(a.grid).cast("double")) - 1 for n, a in enumerate(axes)]
     corners = list(itertools.product((0, 1), repeat=len(axes)))
     options = F.array(*[
@@ -141,8 +144,9 @@ def star_lookup(stars: DataFrame, grid: DataFrame, teff: str = "teff", span: flo
     totals = trapezoid_integral(nu, ["log10_teff"], "__nu", "flux", "__norm", span)
     template = grid.groupBy("log10_teff").agg(F.max("radius").alias("radius")).join(totals, "log10_teff")
     full = grid.select("log10_teff", "wavelength", "flux").join(template, "log10_teff")
-    located = bracket(stars.withColumn("__log_t", F.log10(teff)), template, axes)
-    table = cells(full, axes, F.struct("flux", "radius", "__norm"), ["wavelength"])
+    levels = grid.select("log10_teff")
+    located = bracket(stars.withColumn("__log_t", F.log10(teff)), levels, axes)
+    table = cells(full, axes, F.struct("flux", "radius", "__norm"), ["wavelength"], levels)
 
     def blend(name: str) -> Column:
         low, high = F.col(f"__v0.{name}"), F.col(f"__v1.{name}")

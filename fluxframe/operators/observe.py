@@ -108,7 +108,7 @@ def apply_tellurics(
         resolving_power = per.agg(F.avg("resolving_power").alias("r")).first()["r"]
     grid = grids.grid_mul(spectra.sparkSession, low - margin, high + margin, resolving_power).select("wavelength")
     moved = grids.rebin(spectra, grid, by, target_by=[], bucket=bucket, span=span)
-    sky = grids.rebin(template.withColumn("sky_id", F.lit(0)), grid, ["sky_id"], y="transmittance", target_by=[], bucket=bucket, span=span)
+    sky = grids.rebin(template, grid, [], y="transmittance", target_by=[], bucket=bucket, span=span)
     # Both sides carry the very numbers of the grid, so the wavelengths match exactly.
     got = moved.join(sky.select("wavelength", "transmittance"), "wavelength")
     if airmass is not None:

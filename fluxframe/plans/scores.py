@@ -12,6 +12,7 @@ from fluxframe.operators import covariance, loo, posterior, score
 from fluxframe.plans import views
 from fluxframe.plans.registry import query, rounded
 from fluxframe.plans.views import sql
+from fluxframe.session import staged
 
 KEYS = "order_id, exposure_id, channel"
 SPECTRUM = ["order_id", "exposure_id"]
@@ -278,7 +279,7 @@ def e16_psis_loo(spark, sf):
 def e16_elpd_difference(spark, sf):
     """Two models of the same data, scored point by point, summed per dataset."""
     df = views.loglik_long(spark, sf)
-    a, b = loo.psis_loo(df), loo.psis_loo(df.withColumn("log_lik", F.col("log_lik") * 0.5))
+    a, b = staged(loo.psis_loo(df)), loo.psis_loo(df.withColumn("log_lik", F.col("log_lik") * 0.5))
     gain = loo.elpd_difference(a, b).groupBy("dataset").agg(F.sum("delta_elpd").alias("delta_elpd"))
     return rounded(loo.elpd_totals(a).join(gain, "dataset"), 4)
 
