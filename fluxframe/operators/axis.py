@@ -135,27 +135,29 @@ def nearest_known(
 ) -> DataFrame:
     """Last non-NULL value at or before the row along ``x`` (first at or behind it with ``after``)."""
     span = resolve_span(df, by, x, span)
-    order = [x, *ties]
-    pick = F.first if after else F.last
 
-    def frame(w, near: int):
-        return w.rowsBetween(near, Window.unboundedFollowing) if after else w.rowsBetween(Window.unboundedPreceding, near)
+    def seen(w, columns: Sequence[str], near: int):
+        # Both directions look back along their own order: a frame that reaches
+        # forward to the end would be recomputed for every row.
+        order = [F.col(c).desc() if after else F.col(c).asc() for c in columns]
+        return w.orderBy(*order).rowsBetween(Window.unboundedPreceding, near)
+
+    def known(column: str, w):
+        return F.last(column, ignorenulls=True).over(w)
 
     if span is None:
-        w = frame(Window.partitionBy(*by).orderBy(*order), 0)
-        return df.select("*", *[pick(c, ignorenulls=True).over(w).alias(n) for n, c in wanted.items()])
+        w = seen(Window.partitionBy(*by), [x, *ties], 0)
+        return df.select("*", *[known(c, w).alias(n) for n, c in wanted.items()])
 
     cut = with_chunk(df, x, span)
-    inside = frame(Window.partitionBy(*by, CHUNK).orderBy(*order), 0)
-    local = cut.select("*", *[pick(c, ignorenulls=True).over(inside).alias(n) for n, c in wanted.items()])
-    rank = F.struct(*order)
+    inside = seen(Window.partitionBy(*by, CHUNK), [x, *ties], 0)
+    local = cut.select("*", *[known(c, inside).alias(n) for n, c in wanted.items()])
+    rank = F.struct(x, *ties)
     best = F.min_by if after else F.max_by
     ends = cut.groupBy(*by, CHUNK).agg(
         *[best(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"__e_{n}") for n, c in wanted.items()]
     )
-    beyond = frame(Window.partitionBy(*by).orderBy(CHUNK), 1 if after else -1)
-    carry = ends.select(
-        *by, CHUNK, *[pick(f"__e_{n}", ignorenulls=True).over(beyond).alias(f"__c_{n}") for n in wanted]
-    )
+    beyond = seen(Window.partitionBy(*by), [CHUNK], -1)
+    carry = ends.select(*by, CHUNK, *[known(f"__e_{n}", beyond).alias(f"__c_{n}") for n in wanted])
     joined = local.join(carry, [*by, CHUNK])
     return joined.select(*df.columns, *[F.coalesce(n, f"__c_{n}").alias(n) for n in wanted])
