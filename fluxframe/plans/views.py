@@ -47,7 +47,8 @@ def spectra_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 def series_long(spark: SparkSession, sf: str) -> DataFrame:
     """Irregular series, one per user: x in seconds since 2024, y the event value."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    # The wall-clock stamps count as UTC whatever the session's time zone.
+    micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     return table(spark, sf, "events").select(
         F.col("user_id").alias("series_id"),
         (micros / F.lit(1e6) - F.lit(1704067200.0)).alias("x"),
