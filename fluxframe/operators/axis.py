@@ -21,7 +21,11 @@ CHUNK = "__chunk"
 
 
 def axis_stats(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[float | None, float | None]:
-    """(chunk width or None, mean step along the axis) in one pass of partial aggregates."""
+    """(chunk width or None, mean step along the axis) from partial aggregates.
+
+    One pass while all groups are small. Otherwise the width is narrowed until
+    no chunk is much fuller than asked, so a clump on the axis is cut as well.
+    """
     sizes = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         (F.max(x).cast("double") - F.min(x).cast("double")).alias("extent"),
@@ -31,7 +35,16 @@ def axis_stats(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = R
         F.min(F.when(big & (F.col("extent") > 0), F.col("extent") / F.ceil(F.col("n") / F.lit(float(rows_per_chunk))))).alias("span"),
         (F.sum("extent") / F.sum(F.greatest(F.col("n") - 1, F.lit(1)))).alias("step"),
     ).first()
-    return row["span"], row["step"]
+    span, at = row["span"], F.col(x).cast("double")
+    while span is not None:
+        chunks = df.groupBy(*by, F.floor(at / F.lit(float(span))).alias(CHUNK)).agg(
+            F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("extent"))
+        # Equal values cannot be cut, so only chunks with an extent count.
+        full = chunks.filter("extent > 0").agg(F.max(F.struct("n", "extent")).alias("c")).first()["c"]
+        if full is None or full["n"] <= 2 * rows_per_chunk:
+            break
+        span = min(span / 2, full["extent"] / (full["n"] / rows_per_chunk))
+    return span, row["step"]
 
 
 def chunk_span(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> float | None:

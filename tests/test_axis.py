@@ -63,7 +63,16 @@ def test_span_follows_group_size(series):
     assert chunk_span(series, ["k"], "x", rows_per_chunk=1000) is None
     span = chunk_span(series, ["k"], "x", rows_per_chunk=50)
     counts = series.groupBy("k", F.floor(F.col("x") / span)).count().agg(F.max("count")).first()[0]
-    assert counts < 200
+    assert counts <= 100
+
+
+def test_span_cuts_clumps(spark):
+    clump = spark.range(1000).select(F.lit("k").alias("k"), (F.col("id") / 1e6).alias("x"))
+    wide = clump.unionByName(spark.range(100).select(F.lit("k").alias("k"), (F.col("id") * 1e3 + 5).alias("x")))
+    span = chunk_span(wide, ["k"], "x", rows_per_chunk=50)
+    assert wide.groupBy(F.floor(F.col("x") / span)).count().agg(F.max("count")).first()[0] <= 100
+    tied = spark.range(500).select(F.lit("k").alias("k"), F.when(F.col("id") < 400, 1.0).otherwise(F.col("id").cast("double")).alias("x"))
+    assert chunk_span(tied, ["k"], "x", rows_per_chunk=50) > 0
 
 
 @pytest.mark.parametrize("span", [None, 0.3, 5.0])
