@@ -87,7 +87,7 @@ def _bands(n: int) -> list[int]:
     return [k, k - 1] if k and PARTS * ((1 << k) - 1) >= SHARE * n else [k]
 
 
-ROWS = "kind int, key bigint, salt int, node bigint, n int, band int, filled int, doc_id bigint"
+ROWS = "kind int, key bigint, salt int, node bigint, n int, band int, filled int, doc_id bigint, sketch array<bigint>"
 
 
 def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -98,10 +98,11 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
         for b in batches(source):
             ids, out = b.column("doc_id").to_pylist(), []
             nodes, sizes = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int32)
+            sketches = [None] * len(ids)
             for i, s in enumerate(shingle_sets(b.column("text").to_pylist())):
                 if not len(s):
                     continue
-                nodes[i], sizes[i] = _identity(s), len(s)
+                nodes[i], sizes[i], sketches[i] = _identity(s), len(s), bit_sketch(s)
                 if (nodes[i], sizes[i]) in known:
                     continue
                 if len(known) >= REMEMBER:
@@ -129,7 +130,8 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 pa.array(np.concatenate([np.zeros(d, dtype=np.int32), band])),
                 pa.array(np.concatenate([np.zeros(d, dtype=np.int32), np.repeat(np.array(lengths, dtype=np.int32), lengths)])),
                 pa.concat_arrays([b.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())]),
-            ], ["kind", "key", "salt", "node", "n", "band", "filled", "doc_id"])
+                pa.concat_arrays([pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))]),
+            ], ["kind", "key", "salt", "node", "n", "band", "filled", "doc_id", "sketch"])
 
     return docs.mapInArrow(run, ROWS)
 
@@ -149,34 +151,49 @@ def _heavy_keys(docs: DataFrame, sample: int) -> np.ndarray:
     return np.sort(found.select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+#: Slots that ids are hashed to before a join; a broadcast table of them has so many rows at most.
+SLOTS = 1 << 20
+
+
+def _sets(docs: DataFrame, carriers: DataFrame) -> DataFrame:
+    """(node, n, members) of the nodes in ``carriers`` (node, doc_id), hashed anew from the texts of those documents alone.
+
+    The table of occupied slots is bounded, so it is broadcast and keeps most
+    other texts out of the exact join behind it.
+    """
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(source):
             sets = [s for s in shingle_sets(b.column("text").to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([_identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([bit_sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ], ["node", "n", "sketch", "members"])
+                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+            ], ["node", "n", "members"])
 
-    return docs.mapInArrow(run, "node bigint, n int, sketch array<bigint>, members array<bigint>")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    ids = carriers.select("doc_id").distinct()
+    near = docs.withColumn("slot", slot).join(F.broadcast(ids.select(slot).distinct()), "slot", "left_semi")
+    fetched = near.join(ids, near["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("doc_id", "text")
+    return staged(fetched.mapInArrow(run, "node bigint, n int, members array<bigint>").join(carriers.select("node"), "node", "left_semi").dropDuplicates(["node", "n"]))
 
 
 def _size_fits(a: str, b: str) -> Column:
     return (F.least(F.col(a), F.col(b)).cast("bigint") * PARTS) >= (F.greatest(F.col(a), F.col(b)).cast("bigint") * SHARE)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: first by bit sketches, then by the sets of those that are left."""
 
-    def side(name: str, what: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col(what).alias(f"{what}_{name}"))
+    def side(table: DataFrame, name: str, what: str) -> DataFrame:
+        return table.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col(what).alias(f"{what}_{name}"))
 
     apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    near = pairs.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a").filter(
-        F.expr(f"{PARTS + SHARE} * cast({apart} as bigint) <= {PARTS - SHARE} * (cast(n_a as bigint) + n_b)")).select("a", "b")
-    near = staged(near)
-    met = near.join(side("b", "members"), "b").join(side("a", "members"), "a").withColumn("common", F.size(F.array_intersect("members_a", "members_b")).cast("bigint"))
-    return met.filter(F.col("common") * PARTS >= (F.col("n_a") + F.col("n_b") - F.col("common")) * SHARE).select("a", "b")
+    near = staged(pairs.join(side(nodes, "b", "sketch"), "b").join(side(nodes, "a", "sketch"), "a").filter(
+        F.expr(f"{PARTS + SHARE} * cast({apart} as bigint) <= {PARTS - SHARE} * (cast(n_a as bigint) + n_b)")).select("a", "b"))
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = _sets(docs, nodes.join(ends, "node", "left_semi").select("node", "doc_id"))
+    met = near.join(side(sets, "b", "members"), "b").join(side(sets, "a", "members"), "a").withColumn("common", F.size(F.array_intersect("members_a", "members_b")).cast("bigint"))
+    return staged(met.filter(F.col("common") * PARTS >= (F.col("n_a") + F.col("n_b") - F.col("common")) * SHARE).select("a", "b"))
 
 
 def shingle_classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -216,14 +233,12 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("unique", "node", "n")).alias("leader"))
     chosen = staged(chosen.join(sizes.filter("sets > 1"), "key").select("key", "node", "n", "leader"))
 
-    wanted = chosen.select("node").distinct()
-    carrier = documents.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id").distinct()
-    fetched = docs.join(carrier, docs["doc_id"].eqNullSafe(carrier["doc_id"]), "left_semi")
-    sets = staged(_sets(fetched).join(wanted, "node", "left_semi").dropDuplicates(["node", "n"]))
+    carriers = kept.filter("kind = 0").join(chosen.select("node").distinct(), "node", "left_semi")
+    nodes = staged(carriers.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")))
 
     stars = chosen.select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.n").alias("n_a"), F.col("n").alias("n_b"))
     stars = stars.filter((F.col("a") != F.col("b")) & _size_fits("n_a", "n_b")).select("a", "b").distinct()
-    links = staged(_verified(stars, sets))
+    links = _verified(stars, nodes, docs)
     first = components(links, "a", "b")
 
     # Groups whose sets are not yet one component: all pairs of different components, compared once.
@@ -233,7 +248,7 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     other = placed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     mixed = placed.withColumnsRenamed({"node": "a", "n": "n_a", "component": "component_a"}).join(other, "key").filter(
         (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _size_fits("n_a", "n_b"))
-    more = _verified(mixed.select("a", "b").distinct(), sets)
+    more = _verified(mixed.select("a", "b").distinct(), nodes, docs)
     classes = components(links.select("a", "b").union(more), "a", "b")
 
     smallest = documents.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
