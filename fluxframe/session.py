@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster the caller brings its own."""
@@ -43,9 +45,15 @@ def staged(df: DataFrame) -> DataFrame:
 
     Cuts the lineage between the stages of a chain: later plans start from a
     columnar table with known size, and losing an executor costs no rework of
-    earlier stages. One folder per application, so it can be dropped afterwards.
+    earlier stages. Shuffle files of the write, which nothing reads again, go as
+    it ends. One folder per application, so it can be dropped afterwards.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fluxframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
