@@ -163,18 +163,24 @@ def _sets(docs: DataFrame, carriers: DataFrame) -> DataFrame:
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for b in batches(source):
-            sets = [s for s in shingle_sets(b.column("text").to_pylist()) if len(s)]
+            sets = [(i, _identity(s), s) for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist())) if len(s)]
+            sets = [x for x in sets if x[1] not in known and not known.add(x[1])]
+            if len(known) > REMEMBER:
+                known.clear()
             yield pa.RecordBatch.from_arrays([
-                pa.array([_identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ], ["node", "n", "members"])
+                pa.array([i for i, *_ in sets], pa.int64()), pa.array([node for _, node, _ in sets], pa.int64()), pa.array([len(s) for *_, s in sets], pa.int32()),
+                pa.array([s.view(np.int64) for *_, s in sets], pa.list_(pa.int64())),
+            ], ["carrier", "node", "n", "members"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
     ids = carriers.select("doc_id").distinct()
     near = docs.withColumn("slot", slot).join(F.broadcast(ids.select(slot).distinct()), "slot", "left_semi")
     fetched = near.join(ids, near["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("doc_id", "text")
-    return staged(fetched.mapInArrow(run, "node bigint, n int, members array<bigint>").join(carriers.select("node"), "node", "left_semi").dropDuplicates(["node", "n"]))
+    hashed = fetched.mapInArrow(run, "carrier bigint, node bigint, n int, members array<bigint>")
+    mine = (hashed["node"] == carriers["node"]) & hashed["carrier"].eqNullSafe(carriers["doc_id"])
+    return staged(hashed.join(carriers, mine, "left_semi").select("node", "n", "members"))  # repeated rows may come twice, which adds no link
 
 
 def _size_fits(a: str, b: str) -> Column:
