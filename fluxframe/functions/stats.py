@@ -84,6 +84,8 @@ def bayes_factor_to_sigma(bayes: pd.Series) -> pd.Series:
 def sigma_to_bayes_factor(sigma: pd.Series) -> pd.Series:
     def one(s: float) -> float:
         rho = math.erfc(s / math.sqrt(2))
+        if rho == 0.0:  # beyond the smallest probability
+            return math.inf
         return -1 / (math.e * rho * math.log(rho))
 
     return sigma.map(one, na_action="ignore").astype("float64")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 1_000_000
 CHUNK = "__chunk"
+#: Halvings of a chunk's width at most; beyond them values differ by rounding only.
+NARROWINGS = 64
 
 
 def axis_stats(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[float | None, float | None]:
@@ -26,18 +28,19 @@ def axis_stats(df: DataFrame, by: Sequence[str], x: str, rows_per_chunk: int = R
     One pass while all groups are small. Otherwise the width is narrowed until
     no chunk is much fuller than asked, so a clump on the axis is cut as well.
     """
-    sizes = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.max(x).cast("double") - F.min(x).cast("double")).alias("extent"),
-    )
+    at = F.col(x).cast("double")
+    at = F.when(~F.isnan(at) & (F.abs(at) < float("inf")), at)  # infinite and NaN values lie in chunks of their own
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("extent"))
     big = F.col("n") > rows_per_chunk
     row = sizes.agg(
         F.min(F.when(big & (F.col("extent") > 0), F.col("extent") / F.ceil(F.col("n") / F.lit(float(rows_per_chunk))))).alias("span"),
         (F.sum("extent") / F.sum(F.greatest(F.col("n") - 1, F.lit(1)))).alias("step"),
     ).first()
-    span, at = row["span"], F.col(x).cast("double")
-    while span is not None:
-        chunks = df.groupBy(*by, F.floor(at / F.lit(float(span))).alias(CHUNK)).agg(
+    span = row["span"]
+    for _ in range(NARROWINGS):
+        if span is None:
+            break
+        chunks = df.filter(at.isNotNull()).groupBy(*by, F.floor(at / F.lit(float(span))).alias(CHUNK)).agg(
             F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("extent"))
         # Equal values cannot be cut, so only chunks with an extent count.
         full = chunks.filter("extent > 0").agg(F.max(F.struct("n", "extent")).alias("c")).first()["c"]
@@ -58,7 +61,18 @@ def resolve_span(df: DataFrame, by: Sequence[str], x: str, span: float | str | N
 
 
 def with_chunk(df: DataFrame, x: str, span: float) -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(F.col(x).cast("double") / F.lit(float(span))))
+    """Number of the chunk: below all others for -inf, above them for +inf and NaN, NULL for NULL, as values sort."""
+    at = F.col(x).cast("double")
+    return df.withColumn(CHUNK, F.when(F.isnan(at), F.lit((1 << 63) - 1)).otherwise(F.floor(at / F.lit(float(span)))))
+
+
+def rejoin(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join on ``keys`` in which NULL keys meet as well; the keys of ``other`` do not show."""
+    renamed = other.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(renamed, same).drop(*[f"__k_{k}" for k in keys])
 
 
 def _shift(column: str, offset: int) -> Column:
@@ -133,7 +147,7 @@ def running_total(
     carry = totals.select(
         *by, CHUNK, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0.0)).alias(f"__c_{n}") for n in sums]
     )
-    joined = local.join(carry, [*by, CHUNK])
+    joined = rejoin(local, carry, [*by, CHUNK])
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"__c_{n}")).alias(n) for n in sums])
 
 
@@ -172,5 +186,5 @@ def nearest_known(
     )
     beyond = seen(Window.partitionBy(*by), [CHUNK], -1)
     carry = ends.select(*by, CHUNK, *[known(f"__e_{n}", beyond).alias(f"__c_{n}") for n in wanted])
-    joined = local.join(carry, [*by, CHUNK])
+    joined = rejoin(local, carry, [*by, CHUNK])
     return joined.select(*df.columns, *[F.coalesce(n, f"__c_{n}").alias(n) for n in wanted])

@@ -47,11 +47,12 @@ def mean_molar_mass(df: DataFrame, masses: DataFrame, mode: str = "mmr", by: Seq
                     value: str = "mass_fraction", out: str = "mean_molar_mass") -> DataFrame:
     """Mean molar mass of each layer from mass fractions (``mmr``) or volume mixing ratios (``vmr``); clouds do not count.
 
-    A negative sum fails, a sum of 0 counts as tiny.
+    A negative sum fails, and so does a species without a molar mass; a sum of 0 counts as tiny.
     """
     gas = df.filter(~is_cloud(species)).withColumn("__base", base_name(species))
-    joined = gas.join(masses.select(F.col(species).alias("__base"), "molar_mass"), "__base")
-    term = F.col(value) / F.col("molar_mass") if mode == "mmr" else F.col(value) * F.col("molar_mass")
+    joined = gas.join(masses.select(F.col(species).alias("__base"), "molar_mass"), "__base", "left")
+    mass = F.coalesce(F.col("molar_mass"), F.raise_error(F.concat(F.lit("no molar mass of "), F.coalesce("__base", F.lit("NULL")))).cast("double"))
+    term = F.col(value) / mass if mode == "mmr" else F.col(value) * mass
     summed = joined.groupBy(*by).agg(F.sum(term).alias("__s"))
     total = (
         F.when(F.col("__s") < 0, F.raise_error(F.lit("negative mean molar mass")).cast("double"))
@@ -63,24 +64,25 @@ def mean_molar_mass(df: DataFrame, masses: DataFrame, mode: str = "mmr", by: Seq
 def mmr_to_vmr(df: DataFrame, masses: DataFrame, by: Sequence[str] = LAYER, species: str = "species", value: str = "mass_fraction") -> DataFrame:
     """Add volume_mixing_ratio = X / M * mean molar mass."""
     mean = mean_molar_mass(df, masses, "mmr", by, species, value)
-    got = df.withColumn("__base", base_name(species)).join(masses.select(F.col(species).alias("__base"), "molar_mass"), "__base").join(mean, list(by))
+    got = df.withColumn("__base", base_name(species)).join(masses.select(F.col(species).alias("__base"), "molar_mass"), "__base", "left").join(mean, list(by), "left")
     return got.withColumn("volume_mixing_ratio", F.col(value) / F.col("molar_mass") * F.col("mean_molar_mass")).select(*df.columns, "volume_mixing_ratio")
 
 
 def vmr_to_mmr(df: DataFrame, masses: DataFrame, by: Sequence[str] = LAYER, species: str = "species", value: str = "volume_mixing_ratio",
                out: str = "mass_fraction") -> DataFrame:
     mean = mean_molar_mass(df, masses, "vmr", by, species, value)
-    got = df.withColumn("__base", base_name(species)).join(masses.select(F.col(species).alias("__base"), "molar_mass"), "__base").join(mean, list(by))
+    got = df.withColumn("__base", base_name(species)).join(masses.select(F.col(species).alias("__base"), "molar_mass"), "__base", "left").join(mean, list(by), "left")
     return got.withColumn(out, F.col(value) * F.col("molar_mass") / F.col("mean_molar_mass")).select(*[c for c in df.columns if c != out], out)
 
 
 def element_abundances(vmr: DataFrame, elements: DataFrame, by: Sequence[str] = LAYER, species: str = "species", value: str = "volume_mixing_ratio") -> DataFrame:
-    """Amount of each element per layer. ``elements``: species, element, n. Electrons count as hydrogen."""
+    """Amount of each element per layer. ``elements``: species, element, n. Electrons count as hydrogen; an unknown species fails."""
     electron = elements.sparkSession.createDataFrame([(ELECTRON, "H", 1)], f"{species} string, element string, n bigint") if dict(elements.dtypes)[species] == "string" else None
     table = elements.select(species, "element", F.col("n").cast("bigint").alias("n"))
     if electron is not None:
         table = table.filter(F.col(species) != ELECTRON).unionByName(electron)
-    return vmr.join(table, species).groupBy(*by, "element").agg(F.sum(F.col("n") * F.col(value)).alias("amount"))
+    n = F.coalesce(F.col("n"), F.raise_error(F.concat(F.lit("no elements of "), F.coalesce(F.col(species).cast("string"), F.lit("NULL")))).cast("bigint"))
+    return vmr.join(table, species, "left").groupBy(*by, "element").agg(F.sum(n * F.col(value)).alias("amount"))
 
 
 def hydrogen_ratios(abundance: DataFrame, solar: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:

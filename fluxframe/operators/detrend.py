@@ -59,9 +59,9 @@ def _mean_weight(weighted: bool) -> Column:
 def _divide(df: DataFrame, by: str, mask: Column | None = None) -> DataFrame:
     ok = F.col(by).isNotNull() if mask is None else mask
     return df.withColumns({
-        "flux": F.when(ok, F.col("flux") / F.col(by)),
-        "matrix": F.when(ok, F.col("matrix") / F.col(by)),
-        "uncertainty": F.when(ok, F.col("uncertainty") / F.abs(by)),
+        "flux": F.when(ok, F.try_divide("flux", F.col(by))),
+        "matrix": F.when(ok, F.try_divide("matrix", F.col(by))),
+        "uncertainty": F.when(ok, F.try_divide("uncertainty", F.abs(by))),
     })
 
 
@@ -69,7 +69,7 @@ def remove_throughput_mean(df: DataFrame, weighted: bool = True) -> DataFrame:
     """Divide each (order, exposure) by its weighted mean over channels."""
     df = with_matrix(df)
     w = F.when(F.col("flux").isNotNull(), _mean_weight(weighted))
-    got = with_group_stats(df, ROW, {"__mean": F.sum(w * F.col("flux")) / F.sum(w)})
+    got = with_group_stats(df, ROW, {"__mean": F.try_divide(F.sum(w * F.col("flux")), F.sum(w))})
     return _divide(got, "__mean").select(*df.columns)
 
 
@@ -77,7 +77,7 @@ def remove_tellurics_mean(df: DataFrame, weighted: bool = True, threshold: float
     """Divide each (order, channel) by its weighted mean over exposures; mask it if the mean is too low."""
     df = with_matrix(df)
     w = F.when(F.col("flux").isNotNull(), _mean_weight(weighted))
-    got = with_group_stats(df, COLUMN, {"__mean": F.sum(w * F.col("flux")) / F.sum(w)})
+    got = with_group_stats(df, COLUMN, {"__mean": F.try_divide(F.sum(w * F.col("flux")), F.sum(w))})
     return _divide(got, "__mean", F.col("__mean") >= threshold).select(*df.columns)
 
 
@@ -165,7 +165,7 @@ def polyfit_detrend(
 def _outliers(df: DataFrame, ref: str, limit: float) -> DataFrame:
     """Mask ``ref`` farther than ``limit`` standard deviations from the mean of everything."""
     got = with_group_stats(df, [], {"__m": F.avg(ref), "__sd": F.stddev_pop(ref)})
-    far = F.abs(F.col(ref) - F.col("__m")) / F.col("__sd") > limit
+    far = F.try_divide(F.abs(F.col(ref) - F.col("__m")), F.col("__sd")) > limit  # nothing lies far from a constant
     return got.withColumn(ref, F.when(~F.coalesce(far, F.lit(False)), F.col(ref))).drop("__m", "__sd")
 
 
@@ -193,9 +193,9 @@ def _rank_one(data: DataFrame, rows: DataFrame | None) -> tuple[DataFrame, DataF
     """One alternation: column factors from row factors, then row factors from the new column factors."""
     start = data.withColumn("__a", F.lit(1.0)) if rows is None else data.join(rows, ROW)
     a, v, s = F.col("__a"), F.col("__v"), F.col("__s")
-    columns = start.groupBy(*COLUMN).agg((F.sum(a * s) / F.sum(a * a * v)).alias("__c"))
+    columns = start.groupBy(*COLUMN).agg(F.try_divide(F.sum(a * s), F.sum(a * a * v)).alias("__c"))
     c = F.col("__c")
-    new_rows = data.join(columns, COLUMN).groupBy(*ROW).agg((F.sum(c * s) / F.sum(c * c * v)).alias("__a"))
+    new_rows = data.join(columns, COLUMN).groupBy(*ROW).agg(F.try_divide(F.sum(c * s), F.sum(c * c * v)).alias("__a"))
     return new_rows, columns
 
 
@@ -213,7 +213,8 @@ def sysrem(
 
     Every alternation is two partial aggregations over the points; only the
     factor tables change, and they are written out, so the plan of iteration n
-    does not contain the n-1 before it. With ``epsilon`` 0 a fixed number of
+    does not contain the n-1 before it. A channel or exposure that is masked
+    throughout has no systematics. With ``epsilon`` 0 a fixed number of
     iterations runs without any look at the data in between.
     """
     df = with_matrix(df)
@@ -222,7 +223,7 @@ def sysrem(
     if remove_mean and subtract:
         w = F.when(F.col("flux").isNotNull() & F.col("uncertainty").isNotNull(),
                    F.col("uncertainty") if weighted_mean else F.lit(1.0))
-        df = with_group_stats(df, ROW, {"__m": F.sum(w * F.col("flux")) / F.sum(w)})
+        df = with_group_stats(df, ROW, {"__m": F.try_divide(F.sum(w * F.col("flux")), F.sum(w))})
         df = df.withColumn("flux", F.col("flux") - F.col("__m")).drop("__m")
     for _ in range(passes):
         sigma2 = F.pow("uncertainty", 2)

@@ -115,7 +115,7 @@ def rebin(
     sums = (
         pairs.select(*by, "__t", "bin_low", "bin_high", area.alias("__a"), (hi - lo).alias("__l"))
         .groupBy(*by, "__t", "bin_low", "bin_high")
-        .agg((F.sum("__a") / F.sum("__l")).alias("__v"))
+        .agg(F.try_divide(F.sum("__a"), F.sum(F.when(F.col("__a").isNotNull(), F.col("__l")))).alias("__v"))  # over what is not masked
     )
     if not by:
         # A single spectrum: its limits are scalars, the bins drive the join.
@@ -145,7 +145,10 @@ def band_average(
     band: str = "band", low: str = "w_low", high: str = "w_high",
     transform=None, bucket: float | None = None, span: Span = "auto",
 ) -> DataFrame:
-    """Top-hat mean of each spectrum over each band. ``transform(flux, x)`` may weight the flux first."""
+    """Top-hat mean of each spectrum over each band. ``transform(flux, x)`` may weight the flux first.
+
+    A band that the spectrum does not cover, or in which a point is masked, is NULL.
+    """
     flux = F.col(y) if transform is None else transform(F.col(y), F.col(x))
     near = neighbours(spec.select(*by, F.col(x).alias("__x"), flux.alias("__y")), by, "__x",
                       {"__x1": ("__x", 1), "__y1": ("__y", 1)}, span=span)
@@ -163,8 +166,9 @@ def band_average(
     lo, hi = F.greatest("__x", "__low"), F.least("__x1", "__high")
     slope = (F.col("__y1") - F.col("__y")) / (F.col("__x1") - F.col("__x"))
     area = (F.col("__y") + slope * ((lo + hi) / 2 - F.col("__x"))) * (hi - lo)
-    full = F.sum(hi - lo) >= (F.max("__high") - F.max("__low")) * F.lit(1 - 1e-9)
-    return pairs.groupBy(*by, "band").agg(F.when(full, F.sum(area) / F.sum(hi - lo)).alias(y))
+    known = F.sum(F.when(area.isNotNull(), hi - lo))
+    full = known >= (F.max("__high") - F.max("__low")) * F.lit(1 - 1e-9)
+    return pairs.groupBy(*by, "band").agg(F.when(full, F.sum(area) / known).alias(y))
 
 
 def interp_join(
@@ -310,17 +314,19 @@ def velocity_range(exposures: DataFrame, by: Sequence[str], time: str, system: s
 def min_max_scale(df: DataFrame, by: Sequence[str], y: str, low: float = 0.0, high: float = 1.0, out: str = "scaled") -> DataFrame:
     near = with_group_stats(df, by, {"__mn": F.min(y), "__mx": F.max(y)})
     value = F.lit(float(low)) + (F.col(y) - F.col("__mn")) * F.lit(float(high - low)) / (F.col("__mx") - F.col("__mn"))
+    value = F.when(F.col("__mx") == F.col("__mn"), F.when(F.col(y).isNotNull(), F.lit(float(low)))).otherwise(value)  # a constant group lies at the lower end
     return near.withColumn(out, value).drop("__mn", "__mx")
 
 
 def left_integral(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "integral", span: Span = "auto") -> DataFrame:
-    """Left Riemann sum of y dx."""
-    near = neighbours(df, by, x, {"__n": (x, 1)}, span=span)
+    """Left Riemann sum of y dx over the points that are not masked."""
+    near = neighbours(df.filter(F.col(y).isNotNull()), by, x, {"__n": (x, 1)}, span=span)
     return near.groupBy(*by).agg(F.sum(F.col(y) * (F.col("__n") - F.col(x))).alias(out))
 
 
 def trapezoid_integral(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "integral", span: Span = "auto") -> DataFrame:
-    near = neighbours(df, by, x, {"__nx": (x, 1), "__ny": (y, 1)}, span=span)
+    """Trapezoid rule over the points that are not masked."""
+    near = neighbours(df.filter(F.col(y).isNotNull()), by, x, {"__nx": (x, 1), "__ny": (y, 1)}, span=span)
     return near.groupBy(*by).agg(F.sum((F.col(y) + F.col("__ny")) / 2 * (F.col("__nx") - F.col(x))).alias(out))
 
 

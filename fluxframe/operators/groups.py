@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxframe.operators.axis import ROWS_PER_CHUNK, chunk_span, running_total
+from fluxframe.operators.axis import ROWS_PER_CHUNK, chunk_span, rejoin, running_total
 
 
 def scalars(df: DataFrame, stats: dict[str, Column]) -> Column:
@@ -25,11 +25,11 @@ def with_group_stats(df: DataFrame, by: Sequence[str], stats: dict[str, Column])
 
     An aggregate with map-side combine plus an equi-join: unlike an unordered
     window it never gathers a group in one task, and the group side is
-    broadcast by Spark itself when it is small.
+    broadcast by Spark itself when it is small. Rows with a NULL key are a group too.
     """
     if not by:
         return with_scalars(df, df, stats)
-    return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), list(by))
+    return rejoin(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), list(by))
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:

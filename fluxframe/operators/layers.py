@@ -168,7 +168,7 @@ def rosseland_mean(df: DataFrame, by: Sequence[str], temperature: str = "tempera
 
 def contribution_share(df: DataFrame, by: Sequence[str], value: str = "contribution", out: str = "share") -> DataFrame:
     got = with_group_stats(df, by, {"__t": F.sum(value)})
-    return got.withColumn(out, F.col(value) / F.col("__t")).drop("__t")
+    return got.withColumn(out, F.try_divide(value, "__t")).drop("__t")
 
 
 def layer_weights(df: DataFrame, by: Sequence[str], channel: str = "channel", layer: str = "layer", pressure: str = "pressure",

@@ -98,7 +98,7 @@ def grid_lookup(points: DataFrame, grid: DataFrame, axes: Sequence[Axis], value:
         source = F.when(F.isnan(value) | F.col(value).isNull(), F.lit(-50.0)).otherwise(F.col(value))
     table = cells(grid, axes, source, [*on, *payload])
     keys = [*on, *[f"__i{n}" for n in range(len(axes))]]
-    joined = bracket(points, grid, axes).join(table, keys)
+    joined = bracket(points, grid, axes).join(table, keys, "left")  # a point without a cell has no value
     result = multilinear(axes)
     return _drop_work(joined.withColumn(out, F.pow(F.lit(10.0), result) if log10 else result), axes)
 
@@ -171,8 +171,8 @@ def quench(layers: DataFrame, by: Sequence[str], p_quench: float, species: Seque
 
 
 def to_mass_opacity(df: DataFrame, masses: DataFrame, cross_section: str = "cross_section", species: str = "species", out: str = "kappa") -> DataFrame:
-    """Cross-section per particle to opacity per mass; negative values count as 0."""
-    return df.join(masses.select(species, "molar_mass"), species).withColumn(
+    """Cross-section per particle to opacity per mass; negative values count as 0, a species without a molar mass gives NULL."""
+    return df.join(masses.select(species, "molar_mass"), species, "left").withColumn(
         out, F.greatest(F.col(cross_section), F.lit(0.0)) / (F.col("molar_mass") * F.lit(k.AMU)))
 
 

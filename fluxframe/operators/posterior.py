@@ -106,7 +106,8 @@ def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 def hist1d(df: DataFrame, by: Sequence[str], value: str = "value", bins: int = 15) -> DataFrame:
     """Density histogram between the group's extremes."""
-    got = with_group_stats(df, by, {"__lo": F.min(value), "__hi": F.max(value), "__n": F.count(value)})
+    half = F.when(F.min(value) == F.max(value), F.lit(0.5)).otherwise(F.lit(0.0))  # a constant lies in a range of width 1
+    got = with_group_stats(df, by, {"__lo": F.min(value) - half, "__hi": F.max(value) + half, "__n": F.count(value)})
     width = (F.col("__hi") - F.col("__lo")) / bins
     counted = got.filter(F.col(value).isNotNull()).withColumn("bin", _bin(F.col(value), F.col("__lo"), F.col("__hi"), bins))
     return counted.groupBy(*by, "bin", "__lo", "__hi", "__n").agg(F.count(F.lit(1)).alias("n")).select(
@@ -124,7 +125,8 @@ def hist2d(df: DataFrame, by: Sequence[str], pairs: Sequence[tuple[str, str]], b
     names = sorted({n for pair in pairs for n in pair})
     fixed = ranges or {}
     free = [n for n in names if n not in fixed]
-    got = with_group_stats(df, by, {**{f"__lo_{n}": F.min(n) for n in free}, **{f"__hi_{n}": F.max(n) for n in free}}) if free else df
+    half = {n: F.when(F.min(n) == F.max(n), F.lit(0.5)).otherwise(F.lit(0.0)) for n in free}  # a constant lies in a range of width 1
+    got = with_group_stats(df, by, {**{f"__lo_{n}": F.min(n) - half[n] for n in free}, **{f"__hi_{n}": F.max(n) + half[n] for n in free}}) if free else df
     index = {}
     for n in names:
         low = F.lit(float(fixed[n][0])) if n in fixed else F.col(f"__lo_{n}")

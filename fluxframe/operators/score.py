@@ -62,7 +62,7 @@ def chi2(df: DataFrame, by: Sequence[str], data: str = "flux", model: str = "mod
     term = F.pow((F.col(data) - F.col(model)) / F.col(sigma), 2)
     n = F.count(term)
     return df.groupBy(*by).agg(
-        F.sum(term).alias("chi2"), (F.sum(term) / (n - F.lit(dof))).alias("reduced_chi2"), n.alias("n_points"))
+        F.sum(term).alias("chi2"), F.try_divide(F.sum(term), n - F.lit(dof)).alias("reduced_chi2"), n.alias("n_points"))
 
 
 def pointwise_loglik(df: DataFrame, resid: Column | None = None, sigma: ColumnLike = "uncertainty", out: str = "log_lik") -> DataFrame:

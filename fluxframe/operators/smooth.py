@@ -138,33 +138,35 @@ def gauss_smooth_running(
     def weight(e):
         return F.exp(F.lit(-0.5) * F.pow((e["i"] - F.col(index)) / F.col("__sigma"), 2))
 
-    top = F.aggregate("__near", F.lit(0.0), lambda acc, e: acc + weight(e) * e["y"])
-    norm = F.aggregate("__near", F.lit(0.0), lambda acc, e: acc + weight(e))
+    top = F.aggregate("__near", F.lit(0.0), lambda acc, e: acc + F.coalesce(weight(e) * e["y"], F.lit(0.0)))
+    norm = F.aggregate("__near", F.lit(0.0), lambda acc, e: acc + F.when(e["y"].isNotNull(), weight(e)).otherwise(F.lit(0.0)))
     valid = (F.col(index) >= radius) & (F.col(index) < F.col("__len") - radius)
     return (
-        near.filter("__home").withColumn(out, F.when(valid, top / norm).otherwise(F.col(y))).select(*df.columns, out)
+        near.filter("__home").withColumn(out, F.when(valid, F.try_divide(top, norm)).otherwise(F.col(y))).select(*df.columns, out)
     )
 
 
 def gauss_smooth_full(
     df: DataFrame, by: Sequence[str], x: str, y: str, resolving_power: str | Column, fwhm_factor: float = 2.355,
-    out: str = "smooth", bucket: float | None = None,
+    out: str = "smooth", bucket: float | None = None, support: float = FULL_SUPPORT_SIGMAS,
 ) -> DataFrame:
     """Normalised Gaussian over the axis with FWHM x / R of each row.
 
-    Every sample within FULL_SUPPORT_SIGMAS takes part; beyond that a weight is
-    lost in the rounding of the sum, so this equals the full-support sum. Rows
-    meet through axis buckets, never all against all.
+    Every sample within ``support`` sigmas takes part; beyond the default a weight
+    is lost in the rounding of the sum, so this equals the full-support sum. Rows
+    meet through axis buckets, never all against all. Masked samples have no
+    weight; repeated rows stay.
     """
     r = F.col(resolving_power) if isinstance(resolving_power, str) else resolving_power
     base = df.withColumn("__sigma", F.col(x) / r / F.lit(float(fwhm_factor)))
     if bucket is None:
         widest = base.agg(F.avg("__sigma").alias("s")).first()["s"]
-        bucket = 2 * FULL_SUPPORT_SIGMAS * (widest or 1.0)
-    w, reach = F.lit(float(bucket)), F.lit(FULL_SUPPORT_SIGMAS) * F.col("__sigma")
-    targets = base.withColumn("__b", F.explode(F.sequence(F.floor((F.col(x) - reach) / w), F.floor((F.col(x) + reach) / w))))
+        bucket = 2 * support * (widest or 1.0)
+    w, reach = F.lit(float(bucket)), F.lit(float(support)) * F.col("__sigma")
+    targets = base.withColumn("__row", F.monotonically_increasing_id()).withColumn("__b", F.explode(F.sequence(F.floor((F.col(x) - reach) / w), F.floor((F.col(x) + reach) / w))))
     sources = df.select(*by, F.col(x).alias("__sx"), F.col(y).alias("__sy"), F.floor(F.col(x) / w).alias("__b"))
     pairs = targets.join(sources, [*by, "__b"]).filter(F.abs(F.col("__sx") - F.col(x)) <= reach)
     weight = F.exp(-F.pow(F.col("__sx") - F.col(x), 2) / (2 * F.pow(F.col("__sigma"), 2)))
-    summed = pairs.groupBy(*df.columns).agg((F.sum(weight * F.col("__sy")) / F.sum(weight)).alias(out))
-    return summed
+    weight = F.when(F.col("__sy").isNotNull(), weight)
+    summed = pairs.groupBy("__row", *df.columns).agg(F.try_divide(F.sum(weight * F.col("__sy")), F.sum(weight)).alias(out))
+    return summed.drop("__row")

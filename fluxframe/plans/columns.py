@@ -157,13 +157,12 @@ def b10_radial_velocity(spark, sf):
 
 
 @query("b11_impact_t23", sql("planets", """
-SELECT planet_id, b impact, 3::DOUBLE*sqrt((power(1-ratio,2)-power(b,2))/(power(1+ratio,2)-power(b,2))) t23 FROM (
-  SELECT planet_id, axis*cos(radians(inclination))/star_radius*0.05::DOUBLE b, radius/star_radius ratio FROM planets)
-WHERE ratio IS NOT NULL AND abs(b) < 1-ratio""", "planet_id", "impact, t23"))
+SELECT planet_id, b impact, CASE WHEN abs(b) < 1-ratio THEN 3::DOUBLE*sqrt((power(1-ratio,2)-power(b,2))/(power(1+ratio,2)-power(b,2))) END t23 FROM (
+  SELECT planet_id, axis*cos(radians(inclination))/star_radius*0.05::DOUBLE b, radius/star_radius ratio FROM planets)""", "planet_id", "impact, t23"))
 def b11_impact_t23(spark, sf):
     df = views.planets(spark, sf).withColumn("impact", orbits.impact_parameter("axis", "inclination", "star_radius") * 0.05)
-    df = df.filter(F.col("radius").isNotNull() & (F.abs("impact") < 1 - F.col("radius") / F.col("star_radius")))
-    return rounded(df.select("planet_id", "impact", orbits.full_transit_duration(3.0, "radius", "star_radius", "impact").alias("t23")))
+    crosses = F.abs("impact") < 1 - F.col("radius") / F.col("star_radius")
+    return rounded(df.select("planet_id", "impact", F.when(crosses, orbits.full_transit_duration(3.0, "radius", "star_radius", "impact")).alias("t23")))
 
 
 @query("b12_mid_transit", sql("planets", """
@@ -243,7 +242,7 @@ def b13_gravity_conversions(spark, sf):
 
 @query("b13_intrinsic_temperature_errors", None)
 def b13_intrinsic_temperature_errors(spark, sf):
-    df = views.planets(spark, sf).filter("mass IS NOT NULL AND radius IS NOT NULL")
+    df = views.planets(spark, sf)
 
     def err(c):
         return (F.col(c) * F.col("rel_upper"), F.col(c) * F.col("rel_lower"))
@@ -290,10 +289,10 @@ def b18_loglik_to_chi2(spark, sf):
 
 
 @query("b20_scaled_metallicity", sql("planets", f"""
-SELECT planet_id, 7.2::DOUBLE*power(mass/{num(k.M_JUP)},-0.68::DOUBLE)*0.8::DOUBLE metallicity FROM planets WHERE mass IS NOT NULL""",
+SELECT planet_id, 7.2::DOUBLE*power(mass/{num(k.M_JUP)},-0.68::DOUBLE)*0.8::DOUBLE metallicity FROM planets""",
     "planet_id", "metallicity"))
 def b20_scaled_metallicity(spark, sf):
-    df = views.planets(spark, sf).filter("mass IS NOT NULL")
+    df = views.planets(spark, sf)
     return rounded(df.select("planet_id", physics.scaled_metallicity("mass", mixing=0.8).alias("metallicity")))
 
 

@@ -366,7 +366,7 @@ def e17_mean_molar_mass(spark, sf):
 
 @query("e18_mixing_ratios", sql("abundances", """
 SELECT col_id, layer, species, mass_fraction/m*mmw vmr, mass_fraction*m/mmv mmr FROM (SELECT *, split_part(species, '.R', 1) base FROM nm) JOIN ms USING (base)
-JOIN (SELECT col_id, layer, 1/sum(mass_fraction/m) mmw, sum(mass_fraction*m) mmv FROM gas JOIN ms USING (base) GROUP BY 1, 2) USING (col_id, layer)""",
+LEFT JOIN (SELECT col_id, layer, 1/sum(mass_fraction/m) mmw, sum(mass_fraction*m) mmv FROM gas JOIN ms USING (base) GROUP BY 1, 2) USING (col_id, layer)""",
     "col_id, layer, species", "vmr, mmr", **CHEM))
 def e18_mixing_ratios(spark, sf):
     df, m = named(spark, sf), masses(spark)

@@ -185,11 +185,11 @@ def d9_resolve_parameters(spark, sf):
 
 
 @query("a7_union_runs", sql("samples", """
-SELECT run_id, sample_id, p1, CASE WHEN run_id <> '5-LOW' THEN p2 END p2, log_l FROM samples WHERE run_id IN ('1-URGENT', '5-LOW')""",
+SELECT run_id, sample_id, p1, CASE WHEN run_id <> '5-LOW' THEN p2 END p2, log_l FROM samples""",
     "run_id, sample_id", "p1, p2, log_l", 4))
 def a7_union_runs(spark, sf):
     df = views.samples(spark, sf)
-    runs = {r: df.filter(F.col("run_id") == r).drop("run_id", *(["p2"] if r == "5-LOW" else [])) for r in ("1-URGENT", "5-LOW")}
+    runs = {r: df.filter(F.col("run_id") == r).drop("run_id", *(["p2"] if r == "5-LOW" else [])) for r in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}
     return rounded(posterior.union_runs(runs).select("run_id", "sample_id", "p1", "p2", "log_l"), 4)
 
 

@@ -215,13 +215,13 @@ def h9_set_operations(spark, sf):
 
 
 _DATA = """SELECT dataset, w wavelength, 0.04::DOUBLE bin_width, f flux, 0.05::DOUBLE uncertainty, w-0.02::DOUBLE lo, w+0.02::DOUBLE hi FROM (
-    SELECT (order_id % 2)::VARCHAR dataset, 1.04::DOUBLE + 0.04::DOUBLE*(channel // 4) w, avg(flux) f FROM spectra_long WHERE channel // 4 < 13 GROUP BY 1, 2)"""
+    SELECT (order_id % 2)::VARCHAR dataset, 1.04::DOUBLE + 0.04::DOUBLE*(channel // 4) w, avg(flux) f FROM spectra_long GROUP BY 1, 2)"""
 
 
 def _model(df: DataFrame) -> DataFrame:
-    """Straight-line model spectra of the parameters on 65 wavelengths."""
+    """Straight-line model spectra of the parameters on 69 wavelengths."""
     at = F.lit(1.0) + F.lit(0.01) * F.col("i")
-    return df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(64)))).select(
+    return df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(68)))).select(
         "sample_id", at.alias("wavelength"), (F.col("a") + F.col("b") * (at - 1) + F.lit(0.05) * F.sin(F.col("i"))).alias("flux"))
 
 
@@ -231,12 +231,12 @@ SELECT sample_id, sum(-0.5::DOUBLE*power((m-flux)/uncertainty,2) - 0.5::DOUBLE*l
   FROM (SELECT *, lead(x) OVER w x1, lead(y) OVER w y1 FROM mdl WINDOW w AS (PARTITION BY sample_id ORDER BY x)) JOIN dat ON x1 > lo AND x < hi GROUP BY 1, 2, 3, 4, 5) GROUP BY 1""",
     "sample_id", "log_l", 5, dat=_DATA,
     mdl="""SELECT sample_id, 1 + 0.01::DOUBLE*i x, a + b*(1 + 0.01::DOUBLE*i - 1) + 0.05::DOUBLE*sin(i) y FROM (
-      SELECT exposure_id sample_id, avg(flux) a, avg(flux - 1) b FROM spectra_long GROUP BY 1), range(0, 65) r(i)"""))
+      SELECT exposure_id sample_id, avg(flux) a, avg(flux - 1) b FROM spectra_long GROUP BY 1), range(0, 69) r(i)"""))
 def k1_fit_chain(spark, sf):
     """A user model per sample, shared by two datasets, binned, scored and summed."""
     df = views.spectra_long(spark, sf)
     step = F.floor(F.col("channel") / 4)
-    data = df.filter(step < 13).groupBy((F.col("order_id") % 2).cast("string").alias("dataset"), (F.lit(1.04) + F.lit(0.04) * step).alias("wavelength")).agg(F.avg("flux").alias("flux"))
+    data = df.groupBy((F.col("order_id") % 2).cast("string").alias("dataset"), (F.lit(1.04) + F.lit(0.04) * step).alias("wavelength")).agg(F.avg("flux").alias("flux"))
     data = data.withColumns({"bin_width": F.lit(0.04), "uncertainty": F.lit(0.05)})
     parameters = df.groupBy(F.col("exposure_id").alias("sample_id")).agg(F.avg("flux").alias("a"), F.avg(F.col("flux") - 1).alias("b"))
     mapping = spark.createDataFrame([("0", "0"), ("1", "0")], "dataset string, source_dataset string")
