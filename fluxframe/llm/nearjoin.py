@@ -25,7 +25,7 @@ from fluxframe.llm.text import batches, combine, mix, staged, word_hashes
 WIDTH = 5  # words in a shingle
 #: Linked: PARTS * intersection >= SHARE * union.
 SHARE, PARTS = 80, 100
-SKETCH_WORDS = 16  # of 64 bits
+SKETCH_BITS = 512  # at least; a sketch has more bits than its set has members
 #: Documents drawn to find segments that a large share of all documents has. It decides which rows are salted, never a result.
 SAMPLE = 4_000
 #: A segment value in so many of the drawn documents is salted.
@@ -71,8 +71,12 @@ def segment_keys(s: np.ndarray, band: int) -> np.ndarray:
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    """One bit flipped per shingle: bits of two sketches differ in no more places than the sets do in members."""
-    bits = np.bincount((mix(s) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    """One bit flipped per shingle: bits of two sketches differ in no more places than the sets do in members.
+
+    The length is a power of two; the XOR of a sketch's halves is the sketch of half the length.
+    """
+    length = max(SKETCH_BITS, 2 << band_of(len(s)))
+    bits = np.bincount((mix(s) & np.uint64(length - 1)).astype(np.int64), minlength=length) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -193,7 +197,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def side(table: DataFrame, name: str, what: str) -> DataFrame:
         return table.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col(what).alias(f"{what}_{name}"))
 
-    apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    def folded(p: str, q: str) -> str:  # linked sets lie in the same or the next band, so one fold makes lengths equal
+        half = f"CAST(size({p}) div 2 AS int)"
+        return f"CASE WHEN size({p}) > size({q}) THEN zip_with(slice({p}, 1, {half}), slice({p}, {half} + 1, {half}), (x, y) -> x ^ y) ELSE {p} END"
+
+    apart = f"aggregate(zip_with({folded('sketch_a', 'sketch_b')}, {folded('sketch_b', 'sketch_a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     near = staged(pairs.join(side(nodes, "b", "sketch"), "b").join(side(nodes, "a", "sketch"), "a").filter(
         F.expr(f"{PARTS + SHARE} * cast({apart} as bigint) <= {PARTS - SHARE} * (cast(n_a as bigint) + n_b)")).select("a", "b"))
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
