@@ -31,6 +31,8 @@ SAMPLE = 4_000
 #: A segment value in so many of the drawn documents is salted.
 OFTEN = 24
 SALTS = 64
+#: Sets far from a group's leader that are compared with all of the group; with more of them, differences from the leader are joined. Never decides a result.
+FEW = 8
 #: Sets that one task remembers to send repeated ones once.
 REMEMBER = 200_000
 
@@ -210,7 +212,45 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return staged(met.filter(F.col("common") * PARTS >= (F.col("n_a") + F.col("n_b") - F.col("common")) * SHARE).select("a", "b"))
 
 
-def shingle_classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def _ends(sets: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``sets`` as one end of pairs: its columns but ``keys`` get the end's name."""
+    return sets.select(*keys, F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in sets.columns if c not in (*keys, "node")])
+
+
+def _apart() -> Column:
+    """Pairs of a far set and another one that no earlier step has joined, each once, of sizes that can link."""
+    return (F.col("component_a") != F.col("component_b")) & (~F.col("far_b") | (F.col("a") < F.col("b"))) & _size_fits("n_a", "n_b")
+
+
+def _by_differences(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of ``members`` (lead, n_lead, node, n, component, far) with the same lead; a is far.
+
+    What two sets share with their leader cancels: x and y differ where their
+    differences from it, X and Y, do. Were a far x linked with a y and X, Y
+    disjoint, x would differ from the leader in no more than a ninth of the sizes'
+    sum, that is, be linked with it; so X and Y share members, (|X| + |Y| - d) / 2
+    at least. Prefixes of d + 1 members, rarest first, then share one, and behind
+    the first shared one enough must be left on both sides. Members that only one
+    set of the group has come first and need no row. Edits are rare where the text
+    that makes the group large is common to all of it.
+    """
+    named = members.select("node").union(members.select(F.col("lead").alias("node"))).distinct()
+    sets = _sets(docs, nodes.join(named, "node", "left_semi").select("node", "doc_id")).select("node", "members").dropDuplicates(["node"])
+    leads = sets.select(F.col("node").alias("lead"), F.col("members").alias("of_lead"))
+    differs = staged(members.join(sets, "node").join(leads, "lead").select(
+        "lead", "node", "n", "component", "far", F.concat(F.array_except("members", "of_lead"), F.array_except("of_lead", "members")).alias("difference")))
+    often = differs.select("lead", F.explode("difference").alias("e")).groupBy("lead", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    each = differs.select("lead", "node", "n", "component", "far", F.size("difference").alias("size"), F.explode("difference").alias("e")).join(often, ["lead", "e"])
+    own = Window.partitionBy("lead", "node")
+    at = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "e")) - 1
+    prefix = staged(each.withColumn("at", at).filter(F.col("at") <= _most_apart(F.col("n"))).drop("times"))
+    apart = F.floor((F.col("n_a") + F.col("n_b")) * (PARTS - SHARE) / (PARTS + SHARE) + 1e-9)
+    enough = 2 * F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= F.col("size_a") + F.col("size_b") - apart
+    met = _ends(prefix.filter("far"), "a", "lead", "e").join(_ends(prefix, "b", "lead", "e"), ["lead", "e"])
+    return met.filter(_apart() & enough).select("a", "b").distinct()
+
+
+def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) for documents (doc_id, text), one row per input row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; the set holds distinct
@@ -224,8 +264,10 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Equal sets are one node, whatever number of documents has it, so copies cost
     nothing after the first step. No cap is set on partners: segments shared by
     many sets are ordered last (exact counts), and in each group left over every
-    set is compared with one leader first, then only sets of different components
-    with each other.
+    set is compared with one leader first. Sets of other components than their
+    leader's are compared with the whole group where there are at most ``few``;
+    in other groups only with sets that differ from the leader in the same
+    shingles. Both ways are exact.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = _rows(docs, _heavy_keys(docs, sample))
@@ -255,14 +297,16 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     links = _verified(stars, nodes, docs)
     first = components(links, "a", "b")
 
-    # Groups whose sets are not yet one component: all pairs of different components, compared once.
-    placed = chosen.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    placed = staged(placed.join(split, "key", "left_semi"))
-    other = placed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    mixed = placed.withColumnsRenamed({"node": "a", "n": "n_a", "component": "component_a"}).join(other, "key").filter(
-        (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _size_fits("n_a", "n_b"))
-    more = _verified(mixed.select("a", "b").distinct(), nodes, docs)
+    # Far sets: not of their leader's component. In a group with few of them each is compared with all of the group; other groups go by differences.
+    root = first.select(F.col("node").alias("lead"), F.col("component").alias("root"))
+    placed = chosen.select("key", "node", "n", F.col("leader.node").alias("lead"), F.col("leader.n").alias("n_lead")).join(first, "node", "left").join(root, "lead", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node")).withColumn("far", F.col("component") != F.coalesce("root", "lead")).drop("root")
+    split = placed.filter("far").groupBy("key").agg(F.count(F.lit(1)).alias("far_sets"))
+    placed = staged(placed.join(split, "key"))
+    light = placed.filter(F.col("far_sets") <= few)
+    met = _ends(light.filter("far"), "a", "key").join(_ends(light, "b", "key"), "key").filter(_apart()).select("a", "b").distinct()
+    heavy = placed.filter((F.col("far_sets") > few) & (F.col("node") != F.col("lead"))).select("lead", "n_lead", "node", "n", "component", "far").distinct()
+    more = _verified(met.union(_by_differences(heavy, nodes, docs)).distinct(), nodes, docs)
     classes = components(links.select("a", "b").union(more), "a", "b")
 
     smallest = documents.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -107,6 +107,24 @@ def test_shingle_classes_by_brute_force(spark, texts):
         assert got[d]["n_shingles"] == len(s) and got[d]["component_id"] == (want if s else d)
 
 
+@pytest.mark.parametrize("few", [0, nearjoin.FEW, 10**9])
+def test_far_sets_of_a_group(spark, few):
+    """Families that differ from a common core in the same places, so that links lie between sets far from any leader."""
+    rng = random.Random(5)
+    core, docs = [f"c{i}" for i in range(200)], []
+    for family in range(25):
+        places = rng.sample(range(200), 12)
+        for _ in range(rng.randrange(1, 5)):
+            w = list(core)
+            for p in rng.sample(places, rng.randrange(6, 13)):
+                w[p] = f"f{family}_{p}"
+            docs.append((len(docs), " ".join(w[: rng.randrange(170, 201)])))
+    docs += [(len(docs), " ".join(core)), (len(docs) + 1, " ".join(core[:-3]))]
+    got = {r.doc_id: r.component_id for r in nearjoin.shingle_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), few=few).collect()}
+    want = classes([(d, shingles(t)) for d, t in docs])
+    assert [got[d] for d, _ in docs] == want and 5 < len(set(want)) < len(docs)
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(20):
