@@ -122,15 +122,26 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.own = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.cuts = self.model.cuts_at_blanks() and self.model.dummy_prefix
-        self.known: dict[str, tuple[list[int], bool]] = {}
+        self.known: dict[str, tuple[list[int], bool, bool]] = {}
 
     def _learn(self, texts: list[str]) -> None:
-        """Ids of texts from the rebuilt tokenizer, and whether the sentencepiece library gives the same."""
-        for t, e, own in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), self.own.encode(texts, num_threads=1)):
-            self.known[t] = (e.ids, e.ids == own) if e.ids == own else (own, False)
+        """Ids of texts from the rebuilt tokenizer, whether the sentencepiece library gives the same, and whether they decode to the text."""
+        own = self.own.encode(texts, num_threads=1)
+        same = [e.ids == o for e, o in zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), own)]
+        # One sequence of all pieces costs far less than one call each; only if it differs are they decoded one by one.
+        if self.cuts and "" not in texts and self.tokenizer.decode([i for ids in own for i in ids], skip_special_tokens=False) == " ".join(texts):
+            back = texts
+        else:
+            back = self.tokenizer.decode_batch(own, skip_special_tokens=False)
+        self.known.update(zip(texts, zip(own, same, (b == t for b, t in zip(back, texts)))))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """Ids of each text, whether both libraries agree on all of its pieces, and whether all decode to what they were.
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Ids of each text, and whether both libraries agree on all of its pieces. Where they do not, sentencepiece's ids count."""
+        Where the libraries differ, sentencepiece's ids count. Every piece begins with
+        the marker, so decoding, which works token by token but for runs of bytes,
+        never joins two pieces: a text is decoded to itself where its pieces are.
+        """
         if len(self.known) > REMEMBER:
             self.known.clear()
         # The marker in front of a text stands for a blank, so pieces between single blanks are texts of their own.
@@ -142,8 +153,8 @@ class Codec:
         out = []
         for pieces in split:
             found = [self.known[p] for p in pieces]
-            ids = [i for part, _ in found for i in part]
-            out.append((np.array(ids, dtype=np.uint32), all(ok for _, ok in found)))
+            ids = [i for part, *_ in found for i in part]
+            out.append((np.array(ids, dtype=np.uint32), all(ok for _, ok, _ in found), all(back for *_, back in found)))
         for p, t in zip(plain, texts):
             if not p:
                 self.known.pop(t, None)
@@ -176,11 +187,10 @@ def encode_documents(docs: DataFrame, model: str, verify: bool = True) -> DataFr
         for b in batches(source, most=1 << 20):
             texts = b.column("text").to_pylist()
             found = codec.encode(texts)
-            ids = [i for i, _ in found]
-            back = [x == t for x, t in zip(codec.decode(ids), texts)] if verify else [None] * len(texts)
+            ids = [i for i, *_ in found]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
-                pa.array([ok for _, ok in found], pa.bool_()), pa.array(back, pa.bool_()),
+                pa.array([ok for _, ok, _ in found], pa.bool_()), pa.array([back if verify else None for *_, back in found], pa.bool_()),
             ], ["doc_id", "n_tokens", "ids", "parity", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

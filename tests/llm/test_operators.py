@@ -325,8 +325,8 @@ def test_sentencepiece_parity_and_round_trip(spark, texts, awkward, empty):
     own = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
     codec = spm.Codec(path("piece_bpe_32k.model"))
     sample = [t for t in ODD if "\0" not in t] + list(texts.values())[:80] + ["▁ a", "a ▁b", "emoji \U0001F600 x"]
-    for t, (ids, _) in zip(sample, codec.encode(sample)):
-        assert ids.tolist() == own.encode(t)
+    for t, (ids, _, back) in zip(sample, codec.encode(sample)):
+        assert ids.tolist() == own.encode(t) and back == (codec.decode([ids]) == [t])
     got = run(spark, "op9_sentencepiece")
     assert len(got) == len(texts) and all(r["parity"] and r["round_trip"] for r in got)
     assert spm.encode_documents(awkward, path("piece_bpe_32k.model")).count() == awkward.count() and spm.encode_documents(empty, path("piece_bpe_32k.model")).count() == 0
