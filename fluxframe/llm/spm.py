@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from types import ModuleType
@@ -122,7 +123,7 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.own = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.cuts = self.model.cuts_at_blanks() and self.model.dummy_prefix
-        self.known: dict[str, tuple[list[int], bool, bool]] = {}
+        self.known: dict[str, tuple[bytes, bool, bool]] = {}
 
     def _learn(self, texts: list[str]) -> None:
         """Ids of texts from the rebuilt tokenizer, whether the sentencepiece library gives the same, and whether they decode to the text."""
@@ -133,7 +134,7 @@ class Codec:
             back = texts
         else:
             back = self.tokenizer.decode_batch(own, skip_special_tokens=False)
-        self.known.update(zip(texts, zip(own, same, (b == t for b, t in zip(back, texts)))))
+        self.known.update(zip(texts, zip((array("I", ids).tobytes() for ids in own), same, (b == t for b, t in zip(back, texts)))))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """Ids of each text, whether both libraries agree on all of its pieces, and whether all decode to what they were.
@@ -152,9 +153,8 @@ class Codec:
             self._learn(new)
         out = []
         for pieces in split:
-            found = [self.known[p] for p in pieces]
-            ids = [i for part, *_ in found for i in part]
-            out.append((np.array(ids, dtype=np.uint32), all(ok for _, ok, _ in found), all(back for *_, back in found)))
+            parts, same, back = zip(*[self.known[p] for p in pieces])
+            out.append((np.frombuffer(b"".join(parts), dtype=np.uint32), all(same), all(back)))
         for p, t in zip(plain, texts):
             if not p:
                 self.known.pop(t, None)
