@@ -169,10 +169,10 @@ def _sets(docs: DataFrame, carriers: DataFrame) -> DataFrame:
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
+        known: set[tuple[int | None, int]] = set()  # with the id: the same set under another id may not be its node's carrier
         for b in batches(source):
             sets = [(i, _identity(s), s) for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist())) if len(s)]
-            sets = [x for x in sets if x[1] not in known and not known.add(x[1])]
+            sets = [x for x in sets if x[:2] not in known and not known.add(x[:2])]
             if len(known) > REMEMBER:
                 known.clear()
             yield pa.RecordBatch.from_arrays([

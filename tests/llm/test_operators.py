@@ -125,6 +125,15 @@ def test_far_sets_of_a_group(spark, few):
     assert [got[d] for d, _ in docs] == want and 5 < len(set(want)) < len(docs)
 
 
+@pytest.mark.parametrize("few", [0, nearjoin.FEW])
+@pytest.mark.parametrize("other", [None, 5])
+def test_carrier_behind_a_copy_under_another_id(spark, few, other):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join([*words, "end"])
+    docs = spark.createDataFrame([(other, a), (other, b), (3, a)], "doc_id long, text string").coalesce(1)
+    assert [r.component_id for r in nearjoin.shingle_classes(docs, few=few).collect()] == [3, 3, 3]
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(20):
