@@ -20,7 +20,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of a repeated id, one row. Rows without an id stay."""
+    """One row of each group of near duplicates, that of the smallest id. Different texts under one id are judged apart; texts without words all stay."""
     return nearjoin.one_per_class(docs)
 
 

@@ -320,18 +320,24 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> Da
 def one_per_class(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of its smallest doc_id; all columns stay.
 
-    Rows without an id take part under a number made of their text, larger than
-    any id, so an id comes first. Of rows with the same id (or the same text and
-    no id) one stays. The texts are exchanged once, in the join that drops rows,
-    or not at all where Spark can broadcast the dropped ids.
+    Rows are kept or dropped each by its own text, so different texts under one
+    id both stay unless they are linked. Rows without an id come after all ids.
+    Of rows of a class with the same smallest id one stays. Texts without words
+    are in no class, and all of their rows stay. Where ids are unique they name
+    the rows; else the rows are numbered in a written copy. The texts are
+    exchanged once, in the join that drops rows, or not at all where Spark can
+    broadcast the dropped ids.
     """
-    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
-    key = F.coalesce(F.col("doc_id").cast("bigint"), unnamed, F.lit(1 << 62))
-    classes = staged(shingle_classes(docs.select(key.alias("doc_id"), "text")))
-    dropped = staged(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct())
-    repeated = staged(classes.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
-    kept = docs.withColumn("__key", key).join(dropped, F.col("__key") == F.col("__drop"), "left_anti")
-    if not repeated.isEmpty():
-        again = F.col("__key") == F.col("__again")
-        kept = kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["__key"]))
-    return kept.drop("__key")
+    own = F.col("doc_id").cast("bigint")
+    shared = docs.groupBy(own.alias("id")).count().filter("id IS NULL OR count > 1")
+    if shared.isEmpty():
+        rows = docs.withColumn("__row", own)
+        classes = shingle_classes(rows.select(F.col("__row").alias("doc_id"), "text"))
+        dropped = staged(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")))
+    else:
+        rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+        classes = shingle_classes(rows.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+        classes = staged(classes.join(rows.select("__row", own.alias("id")), "__row").select("component_id", F.struct(F.col("id").isNull().alias("unnamed"), "id", "__row").alias("place")))
+        first = classes.groupBy("component_id").agg(F.min("place").alias("first"))
+        dropped = staged(classes.join(first, "component_id").filter("place.__row <> first.__row").select(F.col("place.__row").alias("__drop")))
+    return rows.join(dropped, F.col("__row") == F.col("__drop"), "left_anti").drop("__row")

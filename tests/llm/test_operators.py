@@ -152,6 +152,13 @@ def test_one_per_class(spark, awkward, empty):
     assert nearjoin.one_per_class(empty).count() == 0 and nearjoin.shingle_classes(empty).count() == 0
 
 
+def test_one_per_class_goes_by_row(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), "quite another text with no word in common"
+    rows = [(5, b), (5, a), (3, a), (None, a + " end"), (None, None), (None, None), (None, " "), (None, "a third text of six words"), (6, "")]
+    got = nearjoin.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(3, a), (5, b), (None, None), (None, None), (None, " "), (None, "a third text of six words"), (6, "")]))
+
+
 def test_lm_scores_by_brute_force(spark, texts):
     got = {r["doc_id"]: r for r in run(spark, "op4_lm_scores")}
     tokens = {d: [*t.encode().lower().split(), b""] for d, t in texts.items()}
