@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fluxframe.llm.text import over_batches
+from fluxframe.llm.text import over_batches, staged
 
-#: Expected number of documents in the sample that the model is fitted on. Drawn by a hash of the id; nothing else is bounded.
+#: Expected number of documents drawn from the whole corpus as unlabelled text, by a hash of the id.
 SAMPLE = 24_000
+#: Expected number of trusted documents drawn as positives, by the same hash but with a share of their own. Nothing else is bounded.
+POSITIVES = 24_000
+#: Rows of either kind that a fit needs.
+LEAST = 8
 PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 
 
@@ -114,7 +118,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = N
     fit unlabelled positives as negatives. With fewer than 8 rows of either kind
     nothing is fitted and all scores are the prior (0.5 unless given).
     """
-    if min(len(positive), len(unlabelled)) < 8:
+    if min(len(positive), len(unlabelled)) < LEAST:
         return Model(0.5 if prior is None else prior)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
     p, u = _design((positive - mean) / scale), _design((unlabelled - mean) / scale)
@@ -133,31 +137,43 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = N
 def _with_features(docs: DataFrame) -> DataFrame:
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good"), b.column("drawn"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "good", "drawn", "x"])
 
-    return docs.mapInArrow(over_batches(work), "doc_id bigint, x array<double>")
+    return docs.mapInArrow(over_batches(work), "doc_id bigint, good boolean, drawn boolean, x array<double>")
 
 
-def fit_quality(docs: DataFrame, trusted: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> Model:
+def _share(expected: int, total: int) -> Column:
+    """Whether a doc_id lies in a draw of about ``expected`` of ``total`` rows."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, expected / max(1, total)) * (1 << 30)))
+
+
+def fit_quality(docs: DataFrame, trusted: DataFrame, usable: Column | None = None, sample: int = SAMPLE, positives: int = POSITIVES) -> Model:
     """Model from documents (doc_id, text) and ``trusted``, a table of the doc_ids known to be good.
 
-    Only rows where ``usable`` (an expression of doc_id) holds take part. The fit
-    uses about ``sample`` documents, drawn by a hash of doc_id: all of them as
-    unlabelled web text, the trusted ones among them also as positives. Only the
-    sample's features travel, and they alone reach the driver.
+    Only rows where ``usable`` (an expression of doc_id) holds take part. About
+    ``sample`` of all documents are unlabelled web text, and about ``positives``
+    of the trusted documents are positives, however small their share of the
+    corpus. Both are drawn by a hash of doc_id. Only their features travel, and
+    they alone reach the driver. Trusted documents that are too few for a fit are
+    an error; without any, or in a corpus of fewer than LEAST documents, every
+    score is 0.5.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     rows = rows if usable is None else rows.filter(usable)
-    share = min(1.0, sample / max(1, rows.select("doc_id").count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     good = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    table = _with_features(drawn).join(good, "doc_id", "left").toArrow()
-    if not table.num_rows:
+    named = staged(rows.select("doc_id").join(good, "doc_id", "left"))
+    total, known = named.agg(F.count("doc_id"), F.count("good")).first()
+    if not known or total < LEAST:
         return Model(0.5)
+    picked = named.filter(F.col("good") & _share(positives, known)).distinct()  # bounded, so it is broadcast
+    drawn = rows.join(F.broadcast(picked), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))).withColumn("drawn", _share(sample, total))
+    table = _with_features(drawn.filter("good OR drawn")).toArrow()
     order = np.lexsort((table["doc_id"].to_numpy(),))
+    is_good, is_drawn = (table[c].to_numpy()[order].astype(bool) for c in ("good", "drawn"))
+    if min(is_good.sum(), is_drawn.sum()) < LEAST:
+        raise ValueError(f"{is_good.sum()} of {known} trusted documents and {is_drawn.sum()} of all {total} were drawn; a fit needs {LEAST} of each")
     x = np.stack(table["x"].to_numpy())[order]
-    is_good = table["good"].fill_null(False).to_numpy(zero_copy_only=False)[order]
-    return fit_pu(x[is_good], x)
+    return fit_pu(x[is_good], x[is_drawn])
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -66,6 +66,16 @@ def test_non_negative_risk_finds_the_prior():
     assert (quality.fit_pu(positive[:3], mixed).score(mixed) == 0.5).all()
 
 
+def test_few_trusted_documents_of_many(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN concat('$$ ### buy ', id) ELSE concat('A plain sentence of words, number ', id, '.') END AS text")
+    trusted = docs.filter("doc_id % 60 = 1").select("doc_id")
+    model = quality.fit_quality(docs, trusted, sample=300)
+    assert model.weights is not None
+    assert quality.score_quality(docs, model).filter("(predicted = 1) = (doc_id % 3 > 0)").count() > 0.9 * 9000
+    with pytest.raises(ValueError, match="trusted"):
+        quality.fit_quality(docs, trusted.limit(3), sample=300)
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
