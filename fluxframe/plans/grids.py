@@ -65,6 +65,13 @@ _DAYS = """SELECT series_id, (d + 0.5::DOUBLE)*86400 t, d*86400::DOUBLE lo, (d+1
     FROM (SELECT DISTINCT series_id FROM series_long), range(0, 30) r(d)"""
 
 
+def _steps(df, size, first, last, closed):
+    """Numbers of steps of ``size`` for every series: ``first`` to ``last``, and further where some x lies outside. With ``closed`` 1 the last step is the one that ends behind all x, with 0 the one that begins there."""
+    x = F.col("x") / F.lit(size)
+    low, high = F.least(F.lit(first).cast("bigint"), F.min(F.floor(x))), F.greatest(F.lit(last).cast("bigint"), F.max(F.ceil(x)) - closed)
+    return df.select("series_id").distinct().withColumn("i", F.explode(df.agg(F.sequence(low, high)).scalar()))
+
+
 @query("d1_rebin_daily", sql("series_long", f"""
 SELECT series_id, t x, CASE WHEN mn < lo AND mx > hi THEN v END y FROM days LEFT JOIN (
   SELECT series_id, t, {_AREA} v FROM seg JOIN days USING (series_id) WHERE x1 > lo AND x < hi GROUP BY series_id, t
@@ -72,8 +79,8 @@ SELECT series_id, t x, CASE WHEN mn < lo AND mx > hi THEN v END y FROM days LEFT
     "series_id", "x, y", seg=_SEGMENTS.format("series_long", "series_id"), days=_DAYS))
 def d1_rebin_daily(spark, sf):
     df = views.series_long(spark, sf)
-    days = df.select("series_id").distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(29))))
-    days = days.select("series_id", ((F.col("d") + F.lit(0.5)) * F.lit(k.DAY)).alias("x"), F.lit(k.DAY).alias("w"))
+    days = _steps(df, k.DAY, 0, 29, 1)
+    days = days.select("series_id", ((F.col("i") + F.lit(0.5)) * F.lit(k.DAY)).alias("x"), F.lit(k.DAY).alias("w"))
     got = grids.rebin(df, days, ["series_id"], "x", "y", target="x", widths="w", strict=False)
     return rounded(got.select("series_id", "x", "y"))
 
@@ -88,7 +95,7 @@ ASOF LEFT JOIN series_long up ON g.series_id = up.series_id AND g.x <= up.x""",
     pts="""SELECT series_id, i*21600::DOUBLE x FROM (SELECT DISTINCT series_id FROM series_long), range(0, 121) r(i)"""))
 def d2_interpolation_join(spark, sf):
     knots = views.series_long(spark, sf)
-    points = knots.select("series_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(120))))
+    points = _steps(knots, 21600.0, 0, 120, 0)
     points = points.select("series_id", (F.col("i") * F.lit(21600.0)).alias("x"))
     span = grids.resolve_span(knots, ["series_id"], "x", "auto")
     first = grids.interp_join(points, knots, ["series_id"], "x", "y", outside="clamp", span=span)
