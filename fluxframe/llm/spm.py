@@ -127,19 +127,19 @@ class Codec:
 
     def _learn(self, texts: list[str]) -> None:
         """Ids of texts from the rebuilt tokenizer, whether the sentencepiece library gives the same, and whether they decode to the text."""
-        own = self.own.encode(texts, num_threads=1)
-        same = [e.ids == o for e, o in zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), own)]
+        built = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        same = [ids == own for ids, own in zip(built, self.own.encode(texts, num_threads=1))]
         # One sequence of all pieces costs far less than one call each; only if it differs are they decoded one by one.
-        if self.cuts and "" not in texts and self.tokenizer.decode([i for ids in own for i in ids], skip_special_tokens=False) == " ".join(texts):
+        if self.cuts and "" not in texts and self.tokenizer.decode([i for ids in built for i in ids], skip_special_tokens=False) == " ".join(texts):
             back = texts
         else:
-            back = self.tokenizer.decode_batch(own, skip_special_tokens=False)
-        self.known.update(zip(texts, zip((array("I", ids).tobytes() for ids in own), same, (b == t for b, t in zip(back, texts)))))
+            back = self.tokenizer.decode_batch(built, skip_special_tokens=False)
+        self.known.update(zip(texts, zip((array("I", ids).tobytes() for ids in built), same, (b == t for b, t in zip(back, texts)))))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """Ids of each text, whether both libraries agree on all of its pieces, and whether all decode to what they were.
 
-        Where the libraries differ, sentencepiece's ids count. Every piece begins with
+        The ids are the rebuilt tokenizer's; sentencepiece is only compared with. Every piece begins with
         the marker, so decoding, which works token by token but for runs of bytes,
         never joins two pieces: a text is decoded to itself where its pieces are.
         """

@@ -345,6 +345,16 @@ def test_order_counts_in_a_fingerprint():
     assert ordermin.occurrence_kmers(np.array([1, 1, 1, 1], dtype=np.uint64)).size == len(set(ordermin.occurrence_kmers(np.array([1, 1, 1, 1], dtype=np.uint64)).tolist()))
 
 
+def test_ids_are_the_rebuilt_tokenizers(texts):
+    codec = spm.Codec(path("piece_bpe_32k.model"))
+    wrong = type("Wrong", (), {"encode": staticmethod(lambda ts, num_threads=1: [[0]] * len(ts))})
+    sample = [t for t in list(texts.values())[:5] if t]
+    right = [ids.tolist() for ids, *_ in codec.encode(sample)]
+    codec.known.clear()
+    codec.own = wrong
+    assert [(ids.tolist(), same, back) for ids, same, back in codec.encode(sample)] == [(r, False, True) for r in right]
+
+
 def test_sentencepiece_parity_and_round_trip(spark, texts, awkward, empty):
     import sentencepiece
 
