@@ -13,8 +13,8 @@ from fluxframe.llm.text import staged
 
 #: Vectors in a block of candidates and of queries; dimensions that are added at a time.
 CANDIDATES, QUERIES, DIMENSIONS = 1024, 256, 16
-#: Scaled components are cut to this size, so that no score overflows.
-LARGEST = 1 << 24
+#: Products of norms from here on are an error: their score could overflow a 64-bit integer.
+LARGEST = 2.0**63 * (1 - 1e-9)
 
 BLOCK = "ids binary, cells binary, width int"
 
@@ -22,7 +22,7 @@ BLOCK = "ids binary, cells binary, width int"
 def scaled(vector: str = "embedding", scale: float = 256.0) -> Column:
     """floor(scale * component) as integers; NULL for a vector that is NULL or has a NULL or non-finite component."""
     bad = f"exists({vector}, x -> x IS NULL OR isnan(CAST(x AS double)) OR abs(CAST(x AS double)) = double('infinity'))"
-    cell = f"CAST(greatest(least(floor({scale}D * CAST(x AS double)), {LARGEST}D), -{LARGEST}D) AS int)"
+    cell = f"floor({scale}D * CAST(x AS double))"  # a bigint; what does not fit is its largest value, which search takes for an overflow
     return F.expr(f"CASE WHEN {vector} IS NULL OR {bad} THEN NULL ELSE transform({vector}, x -> {cell}) END")
 
 
@@ -35,7 +35,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                 part = b.slice(at, size)
                 vectors = part.column("vector")
                 lengths = np.diff(vectors.offsets.to_numpy())
-                cells = np.zeros((max(1, int(lengths.max())), part.num_rows), dtype=np.int32)
+                cells = np.zeros((max(1, int(lengths.max())), part.num_rows), dtype=np.int64)
                 flat = vectors.flatten().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(part.num_rows), lengths)
                 cells[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), row] = flat
@@ -67,6 +67,8 @@ def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarr
     out = []
     for i in range(len(q)):
         score, alive, low = partial[i], np.flatnonzero(ids != query_ids[i]), floor[i]
+        if c_mass[0, alive].max(initial=0) * q_mass[i, 0] >= LARGEST:
+            raise OverflowError(f"scores of vector {query_ids[i]} could overflow 64 bits")
         slack = 1 + 1e-9 * c_mass[0] * q_mass[i, 0]  # for rounding
         score = score[alive]
         for s in starts[1:] + [width]:
@@ -93,7 +95,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, groups: int | None =
     ``is_query`` picks the queries among the rows. Components are
     floor(256 * x); vectors that are NULL or hold a NULL or non-finite component,
     and rows with a NULL id, take no part. Shorter vectors count as filled with
-    zeros. Components beyond 2^16 count as that. A row is no candidate of its own
+    zeros. Where the
+    product of two norms shows that a score could overflow 64 bits, the search is
+    an error. A row is no candidate of its own
     id; repeated rows are candidates like others, and an id asks once, with its
     smallest vector. A query with fewer than k candidates gets all of them. An empty table
     gives an empty result. Other columns are not read.
@@ -119,7 +123,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, groups: int | None =
         for b in source:
             for ids, raw, width, block, q_ids, q_raw, q_width in zip(*(b.column(c).to_pylist() for c in ("ids", "cells", "width", "block", "q_ids", "q_cells", "q_width"))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                c, q = np.frombuffer(raw, np.int32).reshape(width, -1), np.frombuffer(q_raw, np.int32).reshape(q_width, -1).T
+                c, q = np.frombuffer(raw, np.int64).reshape(width, -1), np.frombuffer(q_raw, np.int64).reshape(q_width, -1).T
                 if len(floors) > 64:
                     floors.clear()
                 best = floors.setdefault(block, np.full((len(q_ids), k), np.iinfo(np.int64).min))

@@ -391,6 +391,18 @@ def test_top_k_on_awkward_vectors(spark):
     assert topk.top_k(df.filter("false"), df["vec_id"] % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [100000.5, 1.0]), (1, [70000.0, 0.0]), (2, [90000.0, -3.0]), (3, [1.3e6] * 64), (4, [-1e5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = sorted(((sum(x * y for x, y in zip(cells[0], cells[i])), i) for i in range(1, 5)), reverse=True)
+    assert [(r.score, r.vec_id) for r in topk.top_k(df, df["vec_id"] == 0, 5).orderBy("rank").collect()] == want
+    big = np.full((64, 1), 2**31, dtype=np.int64)
+    with pytest.raises(OverflowError):
+        topk.branch_and_bound(big.T, np.array([0]), big, np.array([1]), 5, np.full(1, -np.inf))
+    assert len(topk.branch_and_bound(big.T, np.array([0]), big, np.array([0]), 5, np.full(1, -np.inf))[0][0]) == 0
+
+
 def test_branch_and_bound_by_brute_force():
     rng = np.random.default_rng(2)
     c, q = rng.integers(-300, 300, (40, 700)).astype(np.int32), rng.integers(-300, 300, (9, 40)).astype(np.int32)
