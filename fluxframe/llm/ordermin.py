@@ -22,13 +22,13 @@ CELLS = 1 << 21
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes per text; letters count as written."""
+    """Word hashes per text; letters count as written, white space only parts words."""
     spaced = []
     for t in texts:
         if len(t) > LONG_WORD and max(map(len, t.split()), default=0) > LONG_WORD:
             t = " ".join(" ".join(w) if len(w) > LONG_WORD else w for w in t.split())
         spaced.append(t)
-    return word_hashes(spaced)
+    return word_hashes(spaced, lower=False)
 
 
 def occurrence_kmers(words: np.ndarray, k: int = K) -> np.ndarray:

@@ -48,8 +48,8 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and the offset at which each text's words begin (one more at the end)."""
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, A-Z lower-cased or as written, and the offset at which each text's words begin (one more at the end)."""
     hashes, counts, pending, size = [], np.zeros(len(texts) + 1, dtype=np.int64), [], 0
 
     def flush():
@@ -58,7 +58,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             pending.clear()
 
     for i, t in enumerate(texts):
-        raw = t.encode("utf-8", "surrogatepass").lower() if t else b""
+        raw = t.encode("utf-8", "surrogatepass") if t else b""
+        raw = raw.lower() if lower else raw
         at = 0
         while at < len(raw):
             to = len(raw)

@@ -345,6 +345,11 @@ def test_order_counts_in_a_fingerprint():
     assert ordermin.occurrence_kmers(np.array([1, 1, 1, 1], dtype=np.uint64)).size == len(set(ordermin.occurrence_kmers(np.array([1, 1, 1, 1], dtype=np.uint64)).tolist()))
 
 
+def test_case_counts_in_a_fingerprint():
+    a, b, c = ordermin.fingerprints(["Some Words as They were written", "some words as they were written", "Some  Words as\nThey were written"])
+    assert ordermin.likeness(a, b) < 0.5 and ordermin.likeness(a, c) == 1.0
+
+
 def test_ids_are_the_rebuilt_tokenizers(texts):
     codec = spm.Codec(path("piece_bpe_32k.model"))
     wrong = type("Wrong", (), {"encode": staticmethod(lambda ts, num_threads=1: [[0]] * len(ts))})
