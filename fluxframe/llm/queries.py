@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from fluxframe.llm import lm, nearjoin, ordermin, packing, pii, quality, spm, tokenio, topk, urls
+from fluxframe.llm import align, lm, nearjoin, ordermin, packing, pii, quality, repair, spm, tokenio, topk, urls, warc
 from fluxframe.llm.text import fold
 from fluxframe.session import shared_folder
 
@@ -124,3 +124,28 @@ SELECT * FROM ranked WHERE rank <= 5
 def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     encoded = spm.encode_documents(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return encoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(read(spark, sf, "conversations")))
+
+
+@query
+def op12_legacy_archives(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op12_legacy_archives"] = """
+WITH payloads AS (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS payload FROM pages
+), kept AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS last FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last > page_id THEN last END AS refers_to FROM kept
+"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align.align_documents(read(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
