@@ -31,6 +31,9 @@ from fluxframe.llm.text import batches, staged
 
 #: A single blank between two of these characters begins a new token of either kind.
 _CUT = re.compile(f"(?<=[{SAFE}]) (?=[{SAFE}])")
+_SAFE = {chr(c) for c in range(0x250) if re.match(f"[{SAFE}]", chr(c))}
+#: Pieces that are encoded in one text.
+TOGETHER = 400
 #: Pieces that one task remembers before it forgets them all, and bytes of text aligned at a time. Neither decides a result.
 REMEMBER, SLICE_BYTES = 300_000, 1 << 20
 #: Links and distinct id pairs in that memory, likewise.
@@ -87,8 +90,8 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.cuts = model.cuts_at_blanks() and model.dummy_prefix
         # Ids as text behind each mark that can stand in front of them.
-        size = max(len(self.a_bytes), len(self.b_bytes))
-        self.marked = {mark: [f"{mark}{i}" for i in range(size)] for mark in (";", "|", ",", "\n")}
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.marked = [f"{mark}{i}" for mark in ("\n", ";", "|", ",") for i in range(self.width)]
         self._forget_pairs()
 
     def _forget_pairs(self) -> None:
@@ -103,46 +106,53 @@ class Aligner:
         self.first = np.zeros(1 << 12, dtype=np.int64)
         self.links, self.used = np.zeros(1 << 16, dtype=np.int32), 0
 
+    def _encoded(self, units: list[list[str]]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of A and B for pieces joined by blanks, and whether they give the bytes back."""
+        texts = [" ".join(u) for u in units]
+        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        raw = [b" " + t.encode("utf-8") for t in texts]
+        return a, b, [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw)]
+
     def _learn(self, pieces: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
-        b = self.b.encode(pieces, num_threads=1)
-        raw = [b" " + p.encode("utf-8") for p in pieces]
-        good = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw)]
+        # What may be cut at a blank may be joined by one: many pieces are encoded in one text, and told apart by their bytes.
+        inner = [p for p in pieces if self.cuts and p[0] in _SAFE and p[-1] in _SAFE]
+        joined = set(inner)
+        units = [inner[i : i + TOGETHER] for i in range(0, len(inner), TOGETHER)] + [[p] for p in pieces if p not in joined]
+        a, b, good = self._encoded(units)
+        broken = [i for i, (u, g) in enumerate(zip(units, good)) if not g and len(u) > 1]
+        if broken:
+            alone = [[p] for i in broken for p in units[i]]
+            units, a, b, good = ([x for i, x in enumerate(old) if i not in set(broken)] + new for old, new in zip((units, a, b, good), (alone, *self._encoded(alone))))
+        pieces = list(chain.from_iterable(units))
         k, n = len(self.known), len(pieces)
         self.known.update(zip(pieces, range(k, k + n)))
         self.figures, self.first = _grown(self.figures, k + n), _grown(self.first, k + n)
         figures = np.zeros((n, 5), dtype=np.int64)
-        figures[:, 0] = good
-        a, b = ([x if g else [] for x, g in zip(s, good)] for s in (a, b))
-        owner = [np.repeat(np.arange(n), [len(x) for x in s]) for s in (a, b)]
-        a, b = (np.fromiter(chain.from_iterable(s), dtype=np.int64) for s in (a, b))
+        figures[:, 0] = np.repeat(good, [len(u) for u in units])
+        a, b = (np.fromiter(chain.from_iterable(x for x, g in zip(s, good) if g), dtype=np.int64) for s in (a, b))
         # Right pieces follow each other without gaps in one run of bytes, the same for both sides.
+        behind = np.cumsum(figures[:, 0] * np.array([len(p.encode("utf-8")) + 1 for p in pieces], dtype=np.int64))
         ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         sides = np.repeat([0, 1], [len(a), len(b)])
         starts = np.concatenate([ends[0] - self.a_size[a], ends[1] - self.b_size[b]])
         group = coalesce(starts, np.concatenate(ends), sides)
-        of = np.concatenate(owner)
-        figures[:, 1], figures[:, 2] = np.bincount(owner[0], minlength=n), np.bincount(owner[1], minlength=n)
+        of = np.searchsorted(behind, starts, side="right")
+        figures[:, 1], figures[:, 2] = np.bincount(of[: len(a)], minlength=n), np.bincount(of[len(a) :], minlength=n)
         order = np.lexsort((starts, sides, group))
         g, s, o, ids = group[order], sides[order], of[order], np.concatenate([a, b])[order]
-        new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, dtype=bool)
-        figures[:, 3] = np.bincount(o[new], minlength=n)
-        marks = np.where(new, ";", np.where(np.concatenate([[0], s[1:] != s[:-1]]) == 1, "|", ",")) if len(g) else np.zeros(0, dtype="<U1")
-        if len(o):
-            marks[np.concatenate([[True], o[1:] != o[:-1]])] = "\n"
-        tables = self.marked
-        written = iter("".join([tables[m][i] for m, i in zip(marks.tolist(), ids.tolist())]).split("\n")[1:])
+        change = [np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=bool) for x in (o, g, s)]
+        figures[:, 3] = np.bincount(o[change[1]], minlength=n)
+        mark = np.select(change, [0, 1, 2], 3)
+        written = iter("".join(map(self.marked.__getitem__, (mark * self.width + ids).tolist())).split("\n")[1:])
         self.text += [next(written) if f else "" for f in (figures[:, 1] > 0).tolist()]
         i, j = overlaps(*ends)
         code = (a[i] << 32) | b[j]
         distinct, back = np.unique(code, return_inverse=True)
-        self.codes = _grown(self.codes, len(self.numbers) + len(distinct))
-        number = np.empty(len(distinct), dtype=np.int32)
-        for x, c in enumerate(distinct.tolist()):
-            at = self.numbers.setdefault(c, len(self.numbers))
-            number[x] = at
-            self.codes[at] = c
-        figures[:, 4] = np.bincount(owner[0][i], minlength=n)
+        number = np.fromiter((self.numbers.setdefault(c, len(self.numbers)) for c in distinct.tolist()), dtype=np.int32, count=len(distinct))
+        self.codes = _grown(self.codes, len(self.numbers))
+        self.codes[number] = distinct
+        figures[:, 4] = np.bincount(of[: len(a)][i], minlength=n)
         self.links = _grown(self.links, self.used + len(code))
         self.links[self.used : self.used + len(code)] = number[back]
         self.figures[k : k + n] = figures
