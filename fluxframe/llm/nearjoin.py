@@ -60,7 +60,7 @@ def band_of(n: int) -> int:
 
 def segments_in(band: int) -> int:
     """More segments than a linked pair whose smaller set lies in the band can differ in, with room for empty ones."""
-    return max(64, (11 << (band + 1)) // 40 + 16)
+    return max(64, (5 << band) // 8 + 16)
 
 
 def segment_keys(s: np.ndarray, band: int) -> np.ndarray:
@@ -83,8 +83,9 @@ def bit_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _identity(s: np.ndarray) -> int:
-    """64 bits that name a set, used together with its size."""
-    return int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
+    """64 bits that name a set, made of its members and its size. Like the shingles' own hashes they are taken as exact; of a billion different sets any two share a name with odds of 3 %."""
+    parity = np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
+    return int(combine([parity, np.array([len(s)], dtype=np.uint64)])[0].view(np.int64))
 
 
 def _bands(n: int) -> list[int]:
@@ -116,7 +117,7 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 known.add((nodes[i], sizes[i]))
                 for band in _bands(len(s)):
                     keys = segment_keys(s, band)
-                    if len(keys) <= int(_most_apart(len(s))):
+                    if len(keys) <= int(_most_apart(len(s), band)):
                         # Too few filled segments for the pigeonhole; such sets meet each other under a key of their band.
                         keys = np.append(keys, mix(np.array([band], dtype=np.uint64)))
                     out.append((keys, nodes[i], len(s), band))
@@ -142,10 +143,18 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, ROWS)
 
 
-def _most_apart(n):
-    """Largest symmetric difference of a set of ``n`` with a linked one; a number or a Column."""
+def _most_apart(n, band=None):
+    """Largest symmetric difference of a set of ``n`` with a linked one; numbers or Columns.
+
+    Sets meet in the band of the smaller one: in a band below its own, a set's partner ends with that band.
+    """
     floor = F.floor if isinstance(n, Column) else np.floor
     most = floor(n * (PARTS / SHARE) + 1e-9)
+    if isinstance(n, Column) and band is not None:
+        end = F.pow(F.lit(2.0), band + 1)
+        most = F.when(n < end, most).otherwise(end - 1)
+    elif band is not None:
+        most = most if n < 2 << band else (2 << band) - 1
     return floor((n + most) * ((PARTS - SHARE) / (PARTS + SHARE)) + 1e-9)
 
 
@@ -285,12 +294,13 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> Da
     own = Window.partitionBy("node", "n", "band")
     ranked = shared.withColumn("live", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("sets", "key")))
     unique = F.col("filled") - F.col("live")
-    chosen = ranked.filter(F.col("rank") <= _most_apart(F.col("n")) + 1 - unique).select("key", "node", "n", unique.alias("unique"))
+    chosen = ranked.filter(F.col("rank") <= _most_apart(F.col("n"), F.col("band")) + 1 - unique).select("key", "node", "n", unique.alias("unique"))
     sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("unique", "node", "n")).alias("leader"))
     chosen = staged(chosen.join(sizes.filter("sets > 1"), "key").select("key", "node", "n", "leader"))
 
-    carriers = kept.filter("kind = 0").join(chosen.select("node").distinct(), "node", "left_semi")
-    nodes = staged(carriers.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")))
+    # Copies of a text are added up before they meet, so a text that a third of all documents has is one row per task.
+    carriers = kept.filter("kind = 0 AND n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
+    nodes = staged(carriers.join(chosen.select("node").distinct(), "node", "left_semi"))
 
     stars = chosen.select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.n").alias("n_a"), F.col("n").alias("n_b"))
     stars = stars.filter((F.col("a") != F.col("b")) & _size_fits("n_a", "n_b")).select("a", "b").distinct()
@@ -328,16 +338,17 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     exchanged once, in the join that drops rows, or not at all where Spark can
     broadcast the dropped ids.
     """
-    own = F.col("doc_id").cast("bigint")
-    shared = docs.groupBy(own.alias("id")).count().filter("id IS NULL OR count > 1")
+    # The row travels as one struct, so its columns may have any names.
+    held = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text"), F.struct("*").alias("row"))
+    shared = held.groupBy("id").count().filter("id IS NULL OR count > 1")
     if shared.isEmpty():
-        rows = docs.withColumn("__row", own)
-        classes = shingle_classes(rows.select(F.col("__row").alias("doc_id"), "text"))
-        dropped = staged(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")))
+        rows = held.select("row", "text", F.col("id").alias("number"))
+        classes = shingle_classes(rows.select(F.col("number").alias("doc_id"), "text"))
+        dropped = staged(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
     else:
-        rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
-        classes = shingle_classes(rows.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
-        classes = staged(classes.join(rows.select("__row", own.alias("id")), "__row").select("component_id", F.struct(F.col("id").isNull().alias("unnamed"), "id", "__row").alias("place")))
+        rows = staged(held.withColumn("number", F.monotonically_increasing_id()))
+        classes = shingle_classes(rows.select(F.col("number").alias("doc_id"), "text")).withColumnRenamed("doc_id", "number")
+        classes = staged(classes.join(rows.select("number", "id"), "number").select("component_id", F.struct(F.col("id").isNull().alias("unnamed"), "id", "number").alias("place")))
         first = classes.groupBy("component_id").agg(F.min("place").alias("first"))
-        dropped = staged(classes.join(first, "component_id").filter("place.__row <> first.__row").select(F.col("place.__row").alias("__drop")))
-    return rows.join(dropped, F.col("__row") == F.col("__drop"), "left_anti").drop("__row")
+        dropped = staged(classes.join(first, "component_id").filter("place.number <> first.number").select(F.col("place.number").alias("gone")))
+    return rows.join(dropped, F.col("number") == F.col("gone"), "left_anti").select("row.*")

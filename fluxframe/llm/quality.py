@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from fluxframe.llm.text import over_batches, staged
+from fluxframe.llm.text import batches, over_batches, staged
 
 #: Expected number of documents drawn from the whole corpus as unlabelled text, by a hash of the id.
 SAMPLE = 24_000
@@ -197,9 +196,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model does not reject, with their columns; the text is judged in place, so nothing is shuffled."""
-    @pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([features(t) for t in text])) if len(text) else [], dtype="float64")
+    """The documents that the model does not reject, with all their columns, whatever their names.
 
-    return docs.filter(score(F.col("text")) >= 0.5)
+    Texts are judged where they lie, in slices of bounded size, so nothing is
+    shuffled. NULL and empty texts are judged by an empty text's features; rows
+    with repeated or NULL ids are judged each by its own text.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(source):
+            x = np.stack([features(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()])
+            yield b.filter(pa.array(model.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -155,6 +155,50 @@ def test_sketch_bounds_the_difference():
         assert len(np.setdiff1d(nearjoin.segment_keys(a, band), nearjoin.segment_keys(b, band))) <= apart
 
 
+def test_sets_of_all_sizes_have_segments_enough():
+    """Beyond very short ones, no set needs the key that all sets of its band share."""
+    rng = np.random.default_rng(1)
+    for n in [*range(64, 700, 7), *range(700, 11000, 90)]:
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        for band in nearjoin._bands(len(s)):
+            assert len(nearjoin.segment_keys(s, band)) > nearjoin._most_apart(len(s), band), (n, band)
+
+
+def test_long_sets_beside_band_borders(spark):
+    """Sets of 600-1,300 and 2,300-2,560 shingles, their partners just inside and outside of the similarity."""
+    rng, docs = random.Random(9), []
+    for n in [600, 640, 700, 800, 1000, 1023, 1025, 1170, 1270, 1300, 2300, 2400, 2500, 2560]:
+        base = [f"b{n}_{i}" for i in range(n + 4)]
+        for size in (1.0, 0.79, 0.801, 0.85, 0.95):  # parts in front
+            docs.append((len(docs), " ".join(base[: int(n * size) + 4])))
+        for edits in (n // 45, n // 46, n // 50, n // 60):
+            w = list(base)
+            for p in rng.sample(range(0, n, 6), edits):
+                w[p] = f"e{p}"
+            docs.append((len(docs), " ".join(w)))
+    rng.shuffle(docs)
+    want = classes([(d, shingles(t)) for d, t in docs])
+    for few in (0, nearjoin.FEW):
+        got = {r.doc_id: r.component_id for r in nearjoin.shingle_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), few=few).collect()}
+        assert [got[d] for d, _ in docs] == want
+
+
+def test_one_per_class_keeps_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", "x"), (2, "one two three four five six", "y"), (3, "another text of some six words", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").selectExpr(
+        "doc_id", "text", "key AS __row", "key AS __drop", "key AS row", "key AS number", "key AS gone", "key AS id", "key AS component_id")
+    for table in (docs, docs.union(docs.filter("doc_id = 3"))):
+        got = nearjoin.one_per_class(table)
+        assert got.columns == docs.columns and sorted((r["doc_id"], r["__row"], r["gone"]) for r in got.collect()) == [(1, "x", "x"), (3, "z", "z")]
+
+
+def test_keep_good_judges_each_row(spark, awkward, empty):
+    model = quality.fit_quality(spark.read.parquet(f"{SF}/documents.parquet"), quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet")))
+    good = [r.predicted for r in quality.score_quality(awkward, model).collect()]
+    kept = quality.keep_good(awkward, model)
+    assert kept.columns == awkward.columns and kept.count() == sum(good) and quality.keep_good(empty, model).count() == 0
+
+
 def test_one_per_class(spark, awkward, empty):
     rows = nearjoin.one_per_class(awkward).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, range(1, 11)))
