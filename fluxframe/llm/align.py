@@ -11,10 +11,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import sys
 from collections.abc import Iterator
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,7 @@ from tokenizers import Tokenizer
 
 from fluxframe.llm.encode import SAFE
 from fluxframe.llm.spm import MARKER, SentencePieceModel
-from fluxframe.llm.text import batches, staged
+from fluxframe.llm.text import batches, staged, worker_state
 
 #: A single blank between two of these characters begins a new token of either kind.
 _CUT = re.compile(f"(?<=[{SAFE}]) (?=[{SAFE}])")
@@ -224,11 +222,7 @@ class Aligner:
 
 def worker_aligner(a_path: str, b_path: str) -> Aligner:
     """The aligner of this Python worker, kept between tasks."""
-    kept = sys.modules.setdefault("_worker_aligners", ModuleType("_worker_aligners")).__dict__.setdefault("by_path", {})
-    if (a_path, b_path) not in kept:
-        kept.clear()
-        kept[a_path, b_path] = Aligner(a_path, b_path)
-    return kept[a_path, b_path]
+    return worker_state(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def _shut(numbers: np.ndarray) -> bytes:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 from itertools import chain, repeat
-from types import ModuleType
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from fluxframe.llm.text import worker_state
+
 #: Characters that no Unicode version counts as white space, as a class: printable ASCII and Latin letters.
 SAFE = "!-~À-ɏ"
 _CUT = re.compile(f"(?<=[{SAFE}])(?=[ \\n][{SAFE}])")
@@ -165,9 +165,4 @@ class PieceEncoder:
 
 def worker_encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker, which outlives its tasks: words learned in one serve the next."""
-    state = sys.modules.setdefault("_worker_encoders", ModuleType("_worker_encoders"))
-    encoders = state.__dict__.setdefault("by_path", {})
-    if path not in encoders:
-        encoders.clear()
-        encoders[path] = PieceEncoder(path)
-    return encoders[path]
+    return worker_state(("encoder", path), lambda: PieceEncoder(path))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxframe.llm.graph import components
-from fluxframe.llm.text import batches, combine, mix, staged, word_hashes
+from fluxframe.llm.text import batches, combine, mix, staged, word_hashes, worker_state
 
 WIDTH = 5  # words in a shingle
 #: Linked: PARTS * intersection >= SHARE * union.
@@ -32,9 +32,9 @@ SAMPLE = 4_000
 OFTEN = 24
 SALTS = 64
 #: Sets far from a group's leader that are compared with all of the group; with more of them, differences from the leader are joined. Never decides a result.
-FEW = 8
+FEW = 1
 #: Sets that one task remembers to send repeated ones once.
-REMEMBER = 200_000
+REMEMBER = 100_000
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -101,6 +101,7 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     """Rows of kind 0 for documents (node 0: no words) and of kind 1 for the filled segments of their sets, the latter once per task and set."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None)
         known: set[tuple[int, int]] = set()
         for b in batches(source):
             ids, out = b.column("doc_id").to_pylist(), []
@@ -241,24 +242,41 @@ def _by_differences(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> Da
     at least. Prefixes of d + 1 members, rarest first, then share one, and behind
     the first shared one enough must be left on both sides. Members that only one
     set of the group has come first and need no row. Edits are rare where the text
-    that makes the group large is common to all of it.
+    that makes the group large is common to all of it. Groups that share a name of
+    their holders by chance only add candidates.
     """
     named = members.select("node").union(members.select(F.col("lead").alias("node"))).distinct()
     sets = _sets(docs, nodes.join(named, "node", "left_semi").select("node", "doc_id")).select("node", "members").dropDuplicates(["node"])
     leads = sets.select(F.col("node").alias("lead"), F.col("members").alias("of_lead"))
     differs = staged(members.join(sets, "node").join(leads, "lead").select(
         "lead", "node", "n", "component", "far", F.concat(F.array_except("members", "of_lead"), F.array_except("of_lead", "members")).alias("difference")))
-    often = differs.select("lead", F.explode("difference").alias("e")).groupBy("lead", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    each = differs.select("lead", "node", "n", "component", "far", F.size("difference").alias("size"), F.explode("difference").alias("e")).join(often, ["lead", "e"])
+    often = differs.select("lead", F.explode("difference").alias("e"), "node").groupBy("lead", "e").agg(F.count(F.lit(1)).alias("times"), F.bit_xor(F.xxhash64("node")).alias("holders"))
+    each = differs.select("lead", "node", "n", "component", "far", F.size("difference").alias("size"), F.explode("difference").alias("e")).join(often.filter("times > 1"), ["lead", "e"])
+    # Members that the same sets have, as the leader's own ones, stand together in the order and are one row with a weight.
+    each = each.groupBy("lead", "node", "n", "component", "far", "size", "times", "holders").agg(F.count(F.lit(1)).alias("weight"))
     own = Window.partitionBy("lead", "node")
-    at = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "e")) - 1
-    prefix = staged(each.withColumn("at", at).filter(F.col("at") <= _most_apart(F.col("n"))).drop("times"))
+    before = F.coalesce(F.sum("weight").over(own.orderBy("times", "holders").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.col("size") - F.sum("weight").over(own) + before
+    prefix = staged(each.withColumn("at", at).filter(F.col("at") <= _most_apart(F.col("n"))).drop("weight"))
     apart = F.floor((F.col("n_a") + F.col("n_b")) * (PARTS - SHARE) / (PARTS + SHARE) + 1e-9)
     enough = 2 * F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= F.col("size_a") + F.col("size_b") - apart
-    met = _ends(prefix.filter("far"), "a", "lead", "e").join(_ends(prefix, "b", "lead", "e"), ["lead", "e"])
+    met = _ends(prefix.filter("far"), "a", "lead", "times", "holders").join(_ends(prefix, "b", "lead", "times", "holders"), ["lead", "times", "holders"])
     return met.filter(_apart() & enough).select("a", "b").distinct()
 
 
+def _stars(grouped: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each row's head and the row's set where their sizes can link."""
+    pairs = grouped.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
+    return pairs.filter((F.col("a") != F.col("b")) & _size_fits("n_a", "n_b")).select("a", "b").distinct()
+
+
+def _placed(chosen: DataFrame, found: DataFrame) -> DataFrame:
+    """``chosen`` with each set's component, and whether it is another one than that of the group's leader."""
+    root = found.select(F.col("node").alias("lead"), F.col("component").alias("root"))
+    rows = chosen.select("key", "unique", "node", "n", F.col("leader.node").alias("lead"), F.col("leader.n").alias("n_lead")).join(found, "node", "left").join(root, "lead", "left")
+    return rows.withColumn("component", F.coalesce("component", "node")).withColumn("far", F.col("component") != F.coalesce("root", "lead")).drop("root")
+
+
 def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) for documents (doc_id, text), one row per input row.
 
@@ -273,10 +291,11 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> Da
     Equal sets are one node, whatever number of documents has it, so copies cost
     nothing after the first step. No cap is set on partners: segments shared by
     many sets are ordered last (exact counts), and in each group left over every
-    set is compared with one leader first. Sets of other components than their
-    leader's are compared with the whole group where there are at most ``few``;
-    in other groups only with sets that differ from the leader in the same
-    shingles. Both ways are exact.
+    set is compared with one leader first, and with one set that is not of the
+    leader's component second. Sets still of other components than their leader's
+    are compared with the whole group where there are at most ``few``; in other
+    groups only with sets that differ from the leader in the same shingles. Both
+    ways are exact.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = _rows(docs, _heavy_keys(docs, sample))
@@ -296,28 +315,28 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> Da
     unique = F.col("filled") - F.col("live")
     chosen = ranked.filter(F.col("rank") <= _most_apart(F.col("n"), F.col("band")) + 1 - unique).select("key", "node", "n", unique.alias("unique"))
     sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("unique", "node", "n")).alias("leader"))
-    chosen = staged(chosen.join(sizes.filter("sets > 1"), "key").select("key", "node", "n", "leader"))
+    chosen = staged(chosen.join(sizes.filter("sets > 1"), "key").select("key", "unique", "node", "n", "leader"))
 
     # Copies of a text are added up before they meet, so a text that a third of all documents has is one row per task.
     carriers = kept.filter("kind = 0 AND n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
     nodes = staged(carriers.join(chosen.select("node").distinct(), "node", "left_semi"))
 
-    stars = chosen.select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.n").alias("n_a"), F.col("n").alias("n_b"))
-    stars = stars.filter((F.col("a") != F.col("b")) & _size_fits("n_a", "n_b")).select("a", "b").distinct()
-    links = _verified(stars, nodes, docs)
-    first = components(links, "a", "b")
+    links = _verified(_stars(chosen.withColumnRenamed("leader", "head")), nodes, docs)
+    # Sets far from the leader, that is, not of its component, meet around one of them: all of the group is compared with that one too.
+    placed = staged(_placed(chosen, components(links, "a", "b")))
+    heads = placed.filter("far").groupBy("key").agg(F.min(F.struct("unique", "node", "n", "component")).alias("head"))
+    more = _verified(_stars(placed.join(heads, "key").filter("component <> head.component")), nodes, docs)
+    links = staged(links.union(more).distinct())
 
-    # Far sets: not of their leader's component. In a group with few of them each is compared with all of the group; other groups go by differences.
-    root = first.select(F.col("node").alias("lead"), F.col("component").alias("root"))
-    placed = chosen.select("key", "node", "n", F.col("leader.node").alias("lead"), F.col("leader.n").alias("n_lead")).join(first, "node", "left").join(root, "lead", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node")).withColumn("far", F.col("component") != F.coalesce("root", "lead")).drop("root")
+    # In a group with few sets still far each is compared with all of the group; other groups go by differences.
+    placed = staged(_placed(chosen, components(links, "a", "b")))
     split = placed.filter("far").groupBy("key").agg(F.count(F.lit(1)).alias("far_sets"))
     placed = staged(placed.join(split, "key"))
     light = placed.filter(F.col("far_sets") <= few)
     met = _ends(light.filter("far"), "a", "key").join(_ends(light, "b", "key"), "key").filter(_apart()).select("a", "b").distinct()
     heavy = placed.filter((F.col("far_sets") > few) & (F.col("node") != F.col("lead"))).select("lead", "n_lead", "node", "n", "component", "far").distinct()
     more = _verified(met.union(_by_differences(heavy, nodes, docs)).distinct(), nodes, docs)
-    classes = components(links.select("a", "b").union(more), "a", "b")
+    classes = components(links.union(more), "a", "b")
 
     smallest = documents.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = smallest.join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

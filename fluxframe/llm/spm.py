@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import struct
-import sys
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from fluxframe.llm.text import batches
+from fluxframe.llm.text import batches, worker_state
 
 # Fixed values of the model format: kinds of models and of pieces, and the marker for a blank.
 UNIGRAM, BPE = 1, 2
@@ -166,10 +164,7 @@ class Codec:
 
 def worker_codec(path: str) -> Codec:
     """The codec of this Python worker, kept between tasks."""
-    state = sys.modules.setdefault("_worker_codecs", ModuleType("_worker_codecs")).__dict__.setdefault("by_path", {})
-    if path not in state:
-        state[path] = Codec(path)
-    return state[path]
+    return worker_state(("codec", path), lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fluxframe.session import staged
 
-__all__ = ["END", "batches", "combine", "fold", "mix", "staged", "word_hashes", "words"]
+__all__ = ["END", "batches", "combine", "fold", "mix", "staged", "word_hashes", "words", "worker_state"]
 
 #: Texts longer than this are hashed piece by piece, cut at white space.
 PIECE_BYTES = 4 << 20
@@ -98,12 +101,19 @@ def over_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "
     """``mapInArrow`` function that applies ``work`` to slices of bounded text size."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None)
         for b in batches(source, text):
             yield work(b)
 
     return run
 
 
-def text_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and text (NULL as empty) alone; other columns, whatever their names, are never read."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def worker_state(key: Any, make: Callable[[], Any] | None = None) -> Any:
+    """What this Python worker keeps between tasks under ``key``. A worker serves many stages, so another operator's state goes before; without ``make`` nothing is kept."""
+    kept = sys.modules.setdefault("_worker_state", ModuleType("_worker_state")).__dict__.setdefault("by_key", {})
+    if key not in kept:
+        kept.clear()
+        if make is not None:
+            kept[key] = make()
+    return kept.get(key)
+
