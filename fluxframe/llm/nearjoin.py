@@ -35,6 +35,8 @@ SALTS = 64
 FEW = 1
 #: Sets that one task remembers to send repeated ones once.
 REMEMBER = 100_000
+#: Bytes of text that a task hashes at a time.
+SLICE = 1 << 20
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -103,7 +105,7 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(None)
         known: set[tuple[int, int]] = set()
-        for b in batches(source):
+        for b in batches(source, most=SLICE):
             ids, out = b.column("doc_id").to_pylist(), []
             nodes, sizes = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int32)
             sketches = [None] * len(ids)
@@ -180,7 +182,7 @@ def _sets(docs: DataFrame, carriers: DataFrame) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int | None, int]] = set()  # with the id: the same set under another id may not be its node's carrier
-        for b in batches(source):
+        for b in batches(source, most=SLICE):
             sets = [(i, _identity(s), s) for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist())) if len(s)]
             sets = [x for x in sets if x[:2] not in known and not known.add(x[:2])]
             if len(known) > REMEMBER:
