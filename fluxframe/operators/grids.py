@@ -143,24 +143,26 @@ def rebin(
 def band_average(
     spec: DataFrame, bands: DataFrame, by: Sequence[str], x: str = "wavelength", y: str = "flux",
     band: str = "band", low: str = "w_low", high: str = "w_high",
-    transform=None, bucket: float | None = None, span: Span = "auto",
+    transform=None, bucket: float | None = None, span: Span = "auto", band_by: Sequence[str] = (),
 ) -> DataFrame:
     """Top-hat mean of each spectrum over each band. ``transform(flux, x)`` may weight the flux first.
 
+    Bands hold for all spectra, or for those with the same values of ``band_by``, columns of both.
+
     A band that the spectrum does not cover, or in which a point is masked, is NULL.
     """
     flux = F.col(y) if transform is None else transform(F.col(y), F.col(x))
     near = neighbours(spec.select(*by, F.col(x).alias("__x"), flux.alias("__y")), by, "__x",
                       {"__x1": ("__x", 1), "__y1": ("__y", 1)}, span=span)
     segments = near.filter(F.col("__x1").isNotNull())
-    shared = bands.select(F.col(band).alias("band"), F.col(low).alias("__low"), F.col(high).alias("__high"))
+    shared = bands.select(*band_by, F.col(band).alias("band"), F.col(low).alias("__low"), F.col(high).alias("__high"))
     if bucket is None:
         bucket = shared.agg(F.avg(F.col("__high") - F.col("__low")).alias("w")).first()["w"] or 1.0
     w = F.lit(float(bucket))
     left = segments.withColumn("__b", _pieces(F.col("__x"), F.col("__x1"), bucket))
     right = shared.withColumn("__b", _pieces(F.col("__low"), F.col("__high"), bucket))
     first = F.greatest(F.floor(F.col("__x") / w), F.floor(F.col("__low") / w))
-    pairs = left.join(right, "__b").filter(
+    pairs = left.join(right, [*band_by, "__b"]).filter(
         (F.col("__x1") > F.col("__low")) & (F.col("__x") < F.col("__high")) & (F.col("__b") == first)
     )
     lo, hi = F.greatest("__x", "__low"), F.least("__x1", "__high")

@@ -53,7 +53,7 @@ def order_statistics(
         span = chunk_span(counts, keys, value)
     seen = running_total(counts, keys, value, {"__seen": "__k"}, span=span)
     sizes = counts.groupBy(*keys).agg(F.sum("__k").alias("n"))
-    ranked = seen.join(sizes, keys) if by else with_scalars(seen, counts, {"n": F.sum("__k")})
+    ranked = rejoin(seen, sizes, keys) if by else with_scalars(seen, counts, {"n": F.sum("__k")})
     out = ranked.groupBy(*keys).agg(
         *[
             F.max(F.when((F.col("__seen") - F.col("__k") <= r) & (r < F.col("__seen")), F.col(value))).alias(name)
@@ -82,6 +82,7 @@ def quantiles(
     out = []
     for name, q in qs.items():
         at = (F.col("n") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        lo, hi, part = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), at - F.floor(at)
+        # As ``percentile`` does it: a rank, or a stretch between equal values, needs no arithmetic, which infinite values would not survive.
+        out.append(F.when((part == 0) | (lo == hi), lo).otherwise((1 - part) * lo + part * hi).cast("double").alias(name))
     return found.select(*by, *out)

@@ -193,13 +193,12 @@ def layer_weights(df: DataFrame, by: Sequence[str], channel: str = "channel", la
     return contribution_share(summed, by, "__c", out).drop("__c")
 
 
-# A further distribution counts only if its top quantile reaches this share of the largest bottom quantile.
-NEGLIGIBLE = 0.01
-
-
-def combine_quantiles(df: DataFrame, column: str, nodes: Sequence[float], weights: Sequence[float], out: str = "combined") -> DataFrame:
+def combine_quantiles(df: DataFrame, column: str, nodes: Sequence[float], weights: Sequence[float], out: str = "combined", negligible: float = 0.01) -> DataFrame:
     """Quantiles of the sum of independent distributions, each given by its quantiles at ``nodes``.
 
+    A further distribution counts only if its top quantile reaches the share
+    ``negligible`` of the largest bottom quantile; with 0 all non-negative ones do.
+
     ``column`` holds one array of quantile arrays per row. Two distributions are
     added by all pairs of their nodes (as many as the nodes squared, a fixed
     number), sorted; the cumulative weights at mid-points are read at the nodes.
@@ -230,7 +229,7 @@ def combine_quantiles(df: DataFrame, column: str, nodes: Sequence[float], weight
             sizes.setdefault(len(s), []).append(i)
         for index in sizes.values():
             stack = np.array([[np.asarray(q, dtype=float) for q in series.iloc[i]] for i in index])  # rows, species, nodes
-            threshold = stack[:, :, 0].max(axis=1) * NEGLIGIBLE
+            threshold = stack[:, :, 0].max(axis=1) * negligible
             total = stack[:, 0, :]
             for s in range(1, stack.shape[1]):
                 counts = stack[:, s, -1] >= threshold

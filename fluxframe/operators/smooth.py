@@ -10,9 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
+from fluxframe.functions.expr import ColumnLike, col
+from fluxframe.operators.axis import neighbours, rejoin, running_total
 from fluxframe.operators.groups import with_group_stats
 
 BLOCK = 8192
@@ -45,7 +50,7 @@ def running_mean(df: DataFrame, by: Sequence[str], index: str, y: str, n: int, o
 
 
 def boxcar(df: DataFrame, by: Sequence[str], index: str, y: str, n: int, out: str = "smooth", block: int = BLOCK) -> DataFrame:
-    """Box-car [i-h, i+h) with h = n // 2; at the edges the window shrinks to stay symmetric."""
+    """Box-car [i-h, i+h) with h = n // 2; at the edges the window shrinks to stay symmetric. Masked points are left out of their windows."""
     half = n // 2
     base = with_group_stats(df, by, {"__len": F.max(index) + 1})
     i, size = F.col(index), F.col("__len")
@@ -58,65 +63,92 @@ def boxcar(df: DataFrame, by: Sequence[str], index: str, y: str, n: int, out: st
         "*", F.collect_list(F.struct(i.alias("i"), F.col(y).alias("y"))).over(w).alias("__near")
     )
     used = F.filter("__near", lambda e: (e["i"] >= F.col("__reach")["a"]) & (e["i"] < F.col("__reach")["b"]))
-    value = F.aggregate(used, F.lit(0.0), lambda acc, e: acc + e["y"]) / F.size(used)
+    known = F.filter(used, lambda e: e["y"].isNotNull())
+    value = F.try_divide(F.aggregate(known, F.lit(0.0), lambda acc, e: acc + e["y"]), F.size(known))
     home = near.filter("__home").withColumn("__reach", reach)
     return home.withColumn(out, value).select(*df.columns, out)
 
 
-def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
-    radius = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    norm = sum(raw)
-    return [v / norm for v in raw]
-
-
-def sigma_from_resolving_power(r_in: float, r_out: float) -> float:
-    return r_in / r_out / FWHM
-
-
-def sigma_from_spacing(r_out: float, log_spacing: float) -> float:
-    """Kernel width in samples on a grid with this mean relative step."""
-    return 1.0 / r_out / FWHM / log_spacing
-
-
-def _edge_copies(base: DataFrame, index: str, radius: int, edge: str) -> DataFrame:
-    """Rows standing in for the indices beyond both ends (``__at``), beside the rows themselves."""
-    i, n = F.col(index).cast("bigint"), F.col("__len")
+def _edge_copies(base: DataFrame, i: Column, n: Column, radius: Column, edge: str) -> DataFrame:
+    """Rows standing in for the indices beyond both ends (``__at``), beside the rows themselves (``__real``)."""
     if edge == "nearest":
-        left = F.when(i == 0, F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda k: -k.cast("bigint")))
-        right = F.when(i == n - 1, F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda k: n - 1 + k.cast("bigint")))
         none = F.array().cast("array<bigint>")
+        beyond = F.when(radius > 0, F.sequence(F.lit(1).cast("bigint"), radius)).otherwise(none)
+        left, right = F.when(i == 0, F.transform(beyond, lambda k: -k)), F.when(i == n - 1, F.transform(beyond, lambda k: n - 1 + k))
         at = F.concat(F.array(i), F.coalesce(left, none), F.coalesce(right, none))
     elif edge == "reflect":
         # Mirrored with the end sample repeated: period 2n, images of i at 2nk + i and 2nk - 1 - i.
-        turns = F.ceil(F.lit(radius) / (2 * n)).cast("bigint") + 1
-        images = F.flatten(
-            F.transform(F.sequence(-turns, turns), lambda k: F.array(2 * n * k + i, 2 * n * k - 1 - i))
-        )
+        turns = F.ceil(radius / (2 * n)).cast("bigint") + 1
+        images = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(2 * n * k + i, 2 * n * k - 1 - i)))
         at = F.filter(images, lambda j: (j >= -radius) & (j <= n - 1 + radius))
     else:
         raise ValueError(f"edge must be nearest or reflect, not {edge!r}")
     return base.withColumn("__at", F.explode(at)).withColumn("__real", F.col("__at") == i)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _convolved(at: pd.Series, y: pd.Series, sigma: pd.Series, radius: pd.Series) -> pd.Series:
+    """Weighted means around each position of one block; masked samples (NaN) have no weight, repeated positions count each."""
+    out = []
+    for places, values, s, r in zip(at, y, sigma, radius):
+        places, values = np.asarray(places, dtype=np.int64), np.asarray(values, dtype=float)
+        places = places - places.min()
+        known = ~np.isnan(values)
+        top, weight = (np.bincount(places, weights=w) for w in (np.where(known, values, 0.0), known.astype(float)))
+        kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / s) ** 2) if r else np.ones(1)
+        sums, norms = (np.convolve(v, kernel)[r : r + len(v)] for v in (top, weight))
+        near = np.divide(sums, norms, out=np.full(len(sums), np.nan), where=norms > 0)[places]
+        out.append([None if math.isnan(v) else v for v in near.tolist()])
+    return pd.Series(out, dtype=object)
+
+
 def gauss_smooth(
-    df: DataFrame, by: Sequence[str], index: str, y: str, sigma: float, edge: str = "reflect",
+    df: DataFrame, by: Sequence[str], index: str, y: str, sigma: ColumnLike, edge: str = "reflect",
     truncate: float = 4.0, out: str = "smooth", block: int = BLOCK,
 ) -> DataFrame:
-    """Gaussian of constant width in samples along a gap-free index 0..n-1 per group."""
-    kernel = gaussian_kernel(sigma, truncate)
-    radius = len(kernel) // 2
-    if radius == 0:
-        return df.withColumn(out, F.col(y))
-    base = with_group_stats(df, by, {"__len": (F.max(index) + 1).cast("bigint")})
-    padded = _haloed(_edge_copies(base, index, radius, edge), "__at", radius, radius, block)
-    w = _window(by, "__at", radius, radius)
-    near = padded.select("*", F.collect_list(F.struct(F.col("__at").alias("i"), F.col(y).alias("y"))).over(w).alias("__near"))
-    weights = F.array(*[F.lit(v) for v in kernel])
-    value = F.aggregate(
-        "__near", F.lit(0.0), lambda acc, e: acc + e["y"] * F.element_at(weights, (e["i"] - F.col("__at") + radius + 1).cast("int"))
-    )
-    return near.filter(F.col("__home") & F.col("__real")).withColumn(out, value).select(*df.columns, out)
+    """Gaussian in samples along a gap-free index 0..n-1 per group, of one width for all groups or one per group.
+
+    ``sigma`` is a number, a column or an expression that is constant in a group;
+    where it is NULL or gives no neighbour, values stay as they are. The radius,
+    and so the halo of a block, is the group's own. A block of samples travels as
+    one array row and is convolved as one. Masked samples (NULL or NaN) are left
+    out of the means of their neighbours, and take the mean of theirs.
+    """
+    keys, i = list(by), F.col("__i")
+    value = F.when(~F.isnan(F.col(y).cast("double")), F.col(y).cast("double"))
+    rows = df.select(*keys, F.col(index).cast("bigint").alias("__i"), value.alias("__y"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"),
+                     (F.lit(float(sigma)) if isinstance(sigma, (int, float)) else col(sigma)).cast("double").alias("__width"))
+    base = with_group_stats(rows, keys, {"__len": F.max("__i") + 1, "__sigma": F.max("__width")})
+    radius = F.coalesce(F.floor(F.lit(truncate) * F.col("__sigma") + F.lit(0.5)), F.lit(0)).cast("bigint")
+    padded = _edge_copies(base.withColumn("__radius", radius), i, F.col("__len"), F.col("__radius"), edge)
+    reach, at = F.col("__radius"), F.col("__at")
+    size = F.greatest(F.lit(block).cast("bigint"), 2 * reach + 1)
+    spread = padded.withColumn("__block", F.explode(F.sequence(F.floor((at - reach) / size), F.floor((at + reach) / size))))
+    home = F.col("__real") & (F.col("__block") == F.floor(at / size))
+    cells = F.collect_list(F.struct(at.alias("at"), F.col("__y").alias("y"), F.when(home, F.col("__row")).alias("row")))
+    blocks = spread.groupBy(*keys, "__block", "__sigma", "__radius").agg(cells.alias("__cells"), F.max(home).alias("__any")).filter("__any")
+    smooth = _convolved(F.col("__cells.at"), F.col("__cells.y"), F.coalesce("__sigma", F.lit(1.0)), F.col("__radius"))
+    pairs = blocks.select("__cells", smooth.alias("__smooth")).select(F.explode(F.arrays_zip(F.col("__cells.row").alias("row"), F.col("__smooth").alias("value"))).alias("__pair"))
+    names = [F.col(f"__pair.row.`{c}`").alias(c) for c in df.columns if c != out]
+    return pairs.filter("__pair.row IS NOT NULL").select(*names, F.col("__pair.value").alias(out))
+
+
+def convolve_to_resolution(
+    df: DataFrame, by: Sequence[str], resolving_power: ColumnLike, x: str = "wavelength", y: str = "flux", edge: str = "nearest",
+    truncate: float = 4.0, block: int = BLOCK,
+) -> DataFrame:
+    """``y`` seen by an instrument of the given resolving power, which each group may have of its own; NULL leaves the group as it is.
+
+    The kernel has a FWHM of x / R; its width in samples comes from the group's
+    mean relative step, as on a grid of even logarithmic steps.
+    """
+    keys = list(by)
+    ranked = running_total(df.withColumn("__one", F.lit(1.0)), keys, x, {"__rank": "__one"}).drop("__one")
+    steps = neighbours(df.select(*keys, F.col(x).alias("__x")), keys, "__x", {"__x1": ("__x", 1)})
+    spacing = steps.groupBy(*keys).agg(F.avg(2 * (F.col("__x1") - F.col("__x")) / (F.col("__x1") + F.col("__x"))).alias("__step"))
+    placed = rejoin(ranked, spacing, keys).withColumn("__index", (F.col("__rank") - 1).cast("bigint"))
+    sigma = 1 / col(resolving_power) / F.lit(FWHM) / F.col("__step")
+    return gauss_smooth(placed, keys, "__index", y, sigma, edge, truncate, "__smooth", block).withColumn(y, F.col("__smooth")).select(*df.columns)
 
 
 def gauss_smooth_running(

@@ -202,24 +202,33 @@ def e30_mean_opacities(spark, sf):
 _Q16 = [(i + 0.5) / 16 for i in range(16)]
 
 
-@query("e31_combine_quantiles", sql("", """
-SELECT vec_id, j node, y0 + (y1-y0)/(x1-x0)*((j+0.5::DOUBLE)/16 - x0) AS value FROM (
+def _summed(pair: str) -> str:
+    """Quantiles (vec_id, node, value) of the sums of two lists a and b of 16 quantiles each."""
+    return f"""SELECT vec_id, j node, y0 + (y1-y0)/(x1-x0)*((j+0.5::DOUBLE)/16 - x0) AS value FROM (
   SELECT vec_id, j, arg_max(m, rn) FILTER (m <= (j+0.5::DOUBLE)/16 OR rn = 1) x0, arg_max(s, rn) FILTER (m <= (j+0.5::DOUBLE)/16 OR rn = 1) y0,
     arg_max(nm, rn) FILTER (m <= (j+0.5::DOUBLE)/16 OR rn = 1) x1, arg_max(ns, rn) FILTER (m <= (j+0.5::DOUBLE)/16 OR rn = 1) y1 FROM (
     SELECT *, lead(m) OVER w nm, lead(s) OVER w ns FROM (
       SELECT vec_id, s, (rn - 0.5::DOUBLE)/256 m, rn FROM (SELECT vec_id, x + y s, row_number() OVER (PARTITION BY vec_id ORDER BY x + y) rn
-        FROM (SELECT vec_id, unnest(a) x, b FROM ab), unnest(b) u(y))
-      UNION ALL SELECT vec_id, a[16] + b[16], 1, 257 FROM ab) WINDOW w AS (PARTITION BY vec_id ORDER BY rn)), range(0, 16) r(j) WHERE rn < 257 GROUP BY 1, 2)""",
-    "vec_id, node", "value", ab="""SELECT vec_id, list_sort(list_transform(embedding[1:16], lambda v: 1 + v::DOUBLE)) a,
-      list_sort(list_transform(embedding[17:32], lambda v: 1 + v::DOUBLE)) b FROM embeddings"""))
-def e31_combine_quantiles(spark, sf):
-    emb = views.table(spark, sf, "embeddings")
+        FROM (SELECT vec_id, unnest(a) x, b FROM {pair}), unnest(b) u(y))
+      UNION ALL SELECT vec_id, a[16] + b[16], 1, 257 FROM {pair}) WINDOW w AS (PARTITION BY vec_id ORDER BY rn)), range(0, 16) r(j) WHERE rn < 257 GROUP BY 1, 2)"""
+
+
+def _part(k: int) -> str:
+    return f"list_sort(list_transform(embedding[{16 * k + 1}:{16 * k + 16}], lambda v: 1 + v::DOUBLE))"
 
-    def part(start):
-        return F.array_sort(F.transform(F.slice("embedding", start, 16), lambda v: 1 + v.cast("double")))
 
-    df = emb.select("vec_id", F.array(part(1), part(17)).alias("parts"))
-    got = layers.combine_quantiles(df, "parts", _Q16, [1 / 16] * 16)
+_SUMS = {"ab0": f"SELECT vec_id, {_part(0)} a, {_part(1)} b FROM embeddings"}
+for _k in (2, 3):
+    _SUMS[f"t{_k}"] = f"SELECT vec_id, list(value ORDER BY node) a FROM ({_summed('ab0' if _k == 2 else 'ab2')}) GROUP BY 1"
+    _SUMS[f"ab{_k}"] = f"SELECT vec_id, a, {_part(_k)} b FROM t{_k} JOIN embeddings USING (vec_id)"
+
+
+@query("e31_combine_quantiles", sql("", _summed("ab3"), "vec_id, node", "value", **_SUMS))
+def e31_combine_quantiles(spark, sf):
+    """The sum of four distributions, the quarters of each vector."""
+    emb = views.table(spark, sf, "embeddings")
+    parts = [F.array_sort(F.transform(F.slice("embedding", start, 16), lambda v: 1 + v.cast("double"))) for start in (1, 17, 33, 49)]
+    got = layers.combine_quantiles(emb.select("vec_id", F.array(*parts).alias("parts")), "parts", _Q16, [1 / 16] * 16)
     return rounded(got.select("vec_id", F.posexplode("combined").alias("node", "value")).withColumn("node", F.col("node").cast("bigint")))
 
 

@@ -189,7 +189,8 @@ SELECT run_id, sample_id, p1, CASE WHEN run_id <> '5-LOW' THEN p2 END p2, log_l
     "run_id, sample_id", "p1, p2, log_l", 4))
 def a7_union_runs(spark, sf):
     df = views.samples(spark, sf)
-    runs = {r: df.filter(F.col("run_id") == r).drop("run_id", *(["p2"] if r == "5-LOW" else [])) for r in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}
+    names = [r.run_id for r in df.select("run_id").distinct().collect()]  # one table per run, as they are stored
+    runs = {r: df.filter(F.col("run_id").eqNullSafe(F.lit(r))).drop("run_id", *(["p2"] if r == "5-LOW" else [])) for r in names}
     return rounded(posterior.union_runs(runs).select("run_id", "sample_id", "p1", "p2", "log_l"), 4)
 
 
