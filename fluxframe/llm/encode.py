@@ -18,7 +18,7 @@ _IS_SAFE = re.compile(f"[{SAFE}]").match
 #: Marks that may close a word; none of them begins an English contraction.
 MARKS = ".,;:!?#$%&*+=|\"()[]{}<>/-"
 #: Pieces and words that one encoder remembers before it forgets them all.
-PIECES, WORDS = 500_000, 1_000_000
+PIECES, WORDS = 200_000, 400_000
 
 
 class PieceEncoder:
@@ -38,6 +38,9 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         same = lambda a, b: self._plain([a])[0] == self._plain([b])[0]
         self.folds, self.blanks = same("Ab", "ab"), not same(" ab", "ab")
+        # Letters of a byte-level entry are its bytes.
+        entries = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.sizes = np.array([len(e) for e in entries], dtype=np.int64) if "Ġ" in entries else None
         self.check = check
         self._forget_words()
         self._forget_pieces()
@@ -61,25 +64,47 @@ class PieceEncoder:
         new = [w for w in dict.fromkeys(wanted) if w not in self.words]
         if not new:
             return
+        flat, length = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        if self.blanks and not self.folds and self.sizes is not None:
+            # Words of letters with a blank in front are parted there by the tokenizer itself, so many are encoded in one text and told apart by their bytes.
+            plain = [w for w in new if w[:1] == " " and w[1:].isalpha()]
+            new = plain + [w for w in new if not (w[:1] == " " and w[1:].isalpha())]
+            flat, length = self._together(plain)
+            rest = new[len(plain) :]
+        else:
+            rest = new
         if self.folds and not self.blanks:  # such a model takes a folded ASCII word as it is
             tokenize = self.tokenizer.model.tokenize
-            found: list = [[t.id for t in tokenize(w)] if w.isascii() and w.islower() and w.isalpha() else None for w in new]
-            rest = iter(self._plain([w for w, x in zip(new, found) if x is None]))
-            found = [next(rest) if x is None else x for x in found]
+            found: list = [[t.id for t in tokenize(w)] if w.isascii() and w.islower() and w.isalpha() else None for w in rest]
+            other = iter(self._plain([w for w, x in zip(rest, found) if x is None]))
+            found = [next(other) if x is None else x for x in found]
         else:
-            found = self._plain(new)
+            found = self._plain(rest)
         n, k = len(new), len(self.words)
         while k + n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        length = np.fromiter(map(len, found), dtype=np.int64, count=n)
-        total = int(length.sum())
+        length = np.concatenate([length, np.fromiter(map(len, found), dtype=np.int64, count=len(found))])
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), dtype=np.uint32)])
+        total = len(flat)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=total)
+        self.ids[self.used : self.used + total] = flat
         self.start[k : k + n], self.length[k : k + n] = self.used + np.cumsum(length) - length, length
         self.words.update(zip(new, range(k, k + n)))
         self.used += total
 
+    def _together(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        if not plain:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        texts = ["".join(plain[i : i + 400]) for i in range(0, len(plain), 400)]
+        flat = np.fromiter(chain.from_iterable(self._plain(texts)), dtype=np.uint32)
+        ends, borders = np.cumsum(self.sizes[flat]), np.cumsum([len(w.encode("utf-8")) for w in plain])
+        behind = np.searchsorted(ends, borders, side="right")
+        if behind[-1] != len(flat) or (ends[behind - 1] != borders).any():
+            raise ValueError("this tokenizer does not split texts at blanks")
+        return flat, np.diff(behind, prepend=0)
+
     def _learn_pieces(self, keys: list[str]) -> None:
         """A key is a piece without the blank in front; one that begins with a line end, or with NUL for a text's head, stands for itself."""
         lines, cores, marks, safe = [], [], [], []
