@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxframe.llm.graph import components
-from fluxframe.llm.text import batches, combine, mix, staged, word_hashes, worker_state
+from fluxframe.llm.text import batches, combine, mix, released, staged, word_hashes, worker_state
 
 WIDTH = 5  # words in a shingle
 #: Linked: PARTS * intersection >= SHARE * union.
@@ -34,7 +34,7 @@ SALTS = 64
 #: Sets far from a group's leader that are compared with all of the group; with more of them, differences from the leader are joined. Never decides a result.
 FEW = 1
 #: Sets that one task remembers to send repeated ones once.
-REMEMBER = 100_000
+REMEMBER = 50_000
 #: Bytes of text that a task hashes at a time.
 SLICE = 1 << 20
 
@@ -142,6 +142,8 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 pa.concat_arrays([b.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())]),
                 pa.concat_arrays([pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))]),
             ], ["kind", "key", "salt", "node", "n", "band", "filled", "doc_id", "sketch"])
+        known.clear()
+        released()
 
     return docs.mapInArrow(run, ROWS)
 
@@ -191,6 +193,8 @@ def _sets(docs: DataFrame, carriers: DataFrame) -> DataFrame:
                 pa.array([i for i, *_ in sets], pa.int64()), pa.array([node for _, node, _ in sets], pa.int64()), pa.array([len(s) for *_, s in sets], pa.int32()),
                 pa.array([s.view(np.int64) for *_, s in sets], pa.list_(pa.int64())),
             ], ["carrier", "node", "n", "members"])
+        known.clear()
+        released()
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
     ids = carriers.select("doc_id").distinct()

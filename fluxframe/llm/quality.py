@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxframe.llm.text import batches, over_batches, staged, worker_state
+from fluxframe.llm.text import batches, over_batches, released, staged, worker_state
 
 #: Expected number of documents drawn from the whole corpus as unlabelled text, by a hash of the id.
 SAMPLE = 24_000
@@ -208,5 +208,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches(source, most=1 << 20):
             x = np.stack([features(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield b.filter(pa.array(model.score(x) >= 0.5))
+        released()
 
     return docs.mapInArrow(run, docs.schema)

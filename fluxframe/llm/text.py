@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.session import staged
 
-__all__ = ["END", "batches", "combine", "fold", "mix", "staged", "word_hashes", "words", "worker_state"]
+__all__ = ["END", "batches", "combine", "fold", "mix", "released", "staged", "word_hashes", "words", "worker_state"]
 
 #: Texts longer than this are hashed piece by piece, cut at white space.
 PIECE_BYTES = 4 << 20
@@ -104,15 +106,26 @@ def over_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "
         worker_state(None)
         for b in batches(source, text):
             yield work(b)
+        released()
 
     return run
 
 
+def released() -> None:
+    """Give memory that this Python worker no longer uses back to the system: workers outlive their tasks and sit beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def worker_state(key: Any, make: Callable[[], Any] | None = None) -> Any:
     """What this Python worker keeps between tasks under ``key``. A worker serves many stages, so another operator's state goes before; without ``make`` nothing is kept."""
     kept = sys.modules.setdefault("_worker_state", ModuleType("_worker_state")).__dict__.setdefault("by_key", {})
     if key not in kept:
         kept.clear()
+        released()
         if make is not None:
             kept[key] = make()
     return kept.get(key)
