@@ -116,7 +116,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: Sequ
         encoder, packer = worker_encoder(tokenizer), Packer(tiers, step_tokens)
         for b in _groups(source):
             doc_ids = b.column("doc_id").cast(pa.int64())
-            ids, at = encoder.encode_closed(b.column("text").to_pylist(), end_id)
+            # A group is packed as one, but encoded a little at a time.
+            parts = [encoder.encode_closed(s.column("text").to_pylist(), end_id) for s in batches(iter([b]), most=1 << 19)]
+            ids, at = np.concatenate([p for p, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
             doc, start, length, number, offset, size, step = np.array(packer.pack(np.diff(at).tolist()), dtype=np.int64).T
             raw, a = ids.astype("<u4", copy=False), at[doc] + start
             yield pa.RecordBatch.from_arrays([
