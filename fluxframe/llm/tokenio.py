@@ -194,4 +194,6 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
     behind = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     listed = files.select("path", F.coalesce(F.sum("tokens").over(behind), F.lit(0)).alias("before"))
-    return listed.repartition("path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    # A number of tasks of its own: the list is tiny, and Spark would make one task of it.
+    n, cores = files.count(), files.sparkSession.sparkContext.defaultParallelism
+    return listed.repartitionByRange(max(1, min(n, max(cores, n // 4))), "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -301,3 +301,15 @@ def test_coalescing_of_ranges():
     assert align.coalesce(np.array([0, 3, 5, 0, 1, 6]), np.array([3, 5, 9, 1, 5, 9]), np.array([0, 0, 0, 1, 1, 1])).tolist() == [0, 0, 1, 0, 0, 1]
     a, b = align.overlaps(np.array([3, 5, 9]), np.array([1, 5, 9]))
     assert list(zip(a.tolist(), b.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 2)]
+
+
+def test_token_files_are_read_in_many_tasks(spark):
+    from fluxframe.llm import tokenio
+    from fluxframe.session import shared_folder
+
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 3000) AS text")
+    files = tokenio.write_token_files(docs, path("word_bpe_49k.json"), file_bytes=500)
+    got = tokenio.read_token_files(files, shared_folder(spark))
+    assert files.count() > 8 and got.rdd.getNumPartitions() >= 8
+    rows = sorted((r.doc_id, r.start, r.n_tokens) for r in got.select("doc_id", "start", "n_tokens").collect())
+    assert [r[0] for r in rows] == list(range(400)) and all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:]))
