@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxframe.operators.axis import ROWS_PER_CHUNK, chunk_span, rejoin, running_total
+from fluxframe.operators.axis import chunk_span, rejoin, running_total
+from fluxframe.operators.ranks import KINDS, values_at_ranks
 
 
 def scalars(df: DataFrame, stats: dict[str, Column]) -> Column:
@@ -32,20 +33,18 @@ def with_group_stats(df: DataFrame, by: Sequence[str], stats: dict[str, Column])
     return rejoin(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), list(by))
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    row = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def order_statistics(
     df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column], span: float | str | None = "auto"
 ) -> DataFrame:
     """Values at 0-based ranks of the sorted non-NULL values of each group.
 
-    Each rank is an expression of ``n``, the group's number of values. Equal
-    values are counted before the sort, and the running count is chunked along
-    the value axis, so neither ties nor a huge group end in one task.
+    Each rank is an expression of ``n``, the group's number of values. Large
+    groups are narrowed to the stretches that hold the ranks (``ranks``). For
+    types that doubles do not hold, and with a ``span``, all distinct values are counted and summed up in chunks of that
+    width along the value axis instead, which gives the same values.
     """
+    if span == "auto" and dict(df.dtypes)[value] in KINDS:
+        return values_at_ranks(df, by, value, ranks)
     keys = list(by) or ["__one"]  # a constant group, not a join
     base = df.withColumn("__one", F.lit(1)) if not by else df
     counts = base.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("__k"))
@@ -69,11 +68,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics.
 
-    Groups within ROWS_PER_CHUNK use the built-in exact ``percentile``; larger
-    ones (its buffer would hold the group) go through ``order_statistics``.
+    The values are those of the built-in ``percentile``, whose buffer would hold
+    all distinct values of a group.
     """
-    if span == "auto" and largest_group(df, by) <= ROWS_PER_CHUNK:
-        return df.groupBy(*by).agg(*[F.percentile(F.col(value), F.lit(q)).alias(n) for n, q in qs.items()])
     ranks = {}
     for name, q in qs.items():
         at = (F.col("n") - 1) * F.lit(float(q))
