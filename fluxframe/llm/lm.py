@@ -110,15 +110,19 @@ def blocks(docs: DataFrame) -> DataFrame:
 RUN = "place int, block bigint, grams int, train binary, hashes binary"
 
 
-def _low(g: np.ndarray) -> bytes:
-    """Their lower 48 bits, which with the hash range tell n-grams apart: about one confusion in a thousand ranges."""
-    return g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _ascending(g: np.ndarray) -> bytes:
+    """Ascending hashes, all 64 bits of them: the first one, then the steps between them in the fewest bytes that hold every step; the first byte says how many."""
+    steps = np.diff(g)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + g[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _high(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _hashes(blob: bytes) -> np.ndarray:
+    raw, width = np.frombuffer(blob, dtype=np.uint8), blob[0]
+    out = np.zeros((1 + (len(raw) - 9) // width, 8), dtype=np.uint8)
+    out[0] = raw[1:9]
+    out[1:, :width] = raw[9:].reshape(-1, width)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -147,7 +151,7 @@ def _runs(table: DataFrame, places: int) -> DataFrame:
                     g = g[first]
                     at = ((g >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
                     cut = np.append(np.flatnonzero(np.diff(at, prepend=np.uint64(places))), len(g))
-                    rows = [(int(at[i]) * 2 + order, block, int(j - i), _small(train[i:j]), _low(g[i:j])) for i, j in zip(cut[:-1], cut[1:])]
+                    rows = [(int(at[i]) * 2 + order, block, int(j - i), _small(train[i:j]), _ascending(g[i:j])) for i, j in zip(cut[:-1], cut[1:])]
                     names = ["place", "block", "grams", "train", "hashes"]
                     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                     for k in range(0, len(rows), 512):
@@ -159,7 +163,7 @@ def _runs(table: DataFrame, places: int) -> DataFrame:
 def _add_up(group: pa.Table) -> pa.Table:
     """Totals of one hash range: for each block, the totals of its n-grams in its order; and, as block -1, the range's own figures."""
     sizes = group["grams"].to_numpy()
-    g = np.concatenate([_high(x) for x in group["hashes"].to_pylist()])
+    g = np.concatenate([_hashes(x) for x in group["hashes"].to_pylist()])
     train = np.concatenate([_large(x) for x in group["train"].to_pylist()])
     sort = np.argsort(g)
     first = np.flatnonzero(np.diff(g[sort], prepend=~g[sort[:1]]))

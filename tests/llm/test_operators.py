@@ -227,6 +227,23 @@ def test_lm_scores_by_brute_force(spark, texts):
     assert sum(got[d]["score"] for d in held) > sum(got[d]["base_score"] for d in held)
 
 
+def test_hashes_travel_whole():
+    """All 64 bits of ascending hashes come back, for one hash, for steps of any width and for the ends of the range."""
+    rng = np.random.default_rng(5)
+    for g in ([7], [0, 2**64 - 1], [3, 4, 5], rng.integers(0, 2**64, 5000, dtype=np.uint64, endpoint=False), 2**63 + rng.integers(0, 2**46, 900, dtype=np.uint64)):
+        g = np.unique(np.array(g, dtype=np.uint64))
+        assert lm._hashes(lm._ascending(g)).tolist() == g.tolist()
+
+
+def test_url_prefixes_are_confirmed(spark):
+    """With prefixes of one digit, or none at all, nearly all rules share theirs; verdicts are those of full digests."""
+    rules = spark.createDataFrame([(f"h{i}.com", f"/{j}", "block") for i in range(40) for j in range(3)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.com/{i % 5}/x") for i in range(60)], "page_id long, url string")
+    want = {(i, f"h{i}.com/{i % 5}" if i < 40 and i % 5 < 3 else None) for i in range(60)}
+    for digits in (8, 1, 0):
+        assert {(r.page_id, r.rule) for r in urls.url_verdicts(pages, rules, prefix_digits=digits).collect()} == want
+
+
 def test_mixture_weight():
     w = lm.em_weight(np.array([1.0, 1.0]), np.array([2.0, 0.1]), steps=5000)
     grid = np.linspace(0, 0.999, 1000)
