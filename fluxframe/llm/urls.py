@@ -24,7 +24,7 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*+([^?#]*+)", 1), F.lit(""))
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", prefix_digits: int = PREFIX_DIGITS) -> DataFrame:
     """Judge every url by rules (host, path, verdict): [key, host, path, rule, verdict].
 
     A rule fits its host and all subdomains if the url's path starts with the
@@ -36,8 +36,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
 
     Every url is expanded only at the label counts and path lengths that occur
     among the rules, so a host of thousands of labels costs no more than others.
-    Rules meet expressions in an equi-join on the first digits of SHA-256; full
-    digests decide. Spark broadcasts small rule tables by their size and splits
+    Rules meet expressions in an equi-join on the first ``prefix_digits`` digits
+    of SHA-256 alone; behind it the full digests confirm, so a rule that shares
+    only the prefix of a digest does not count. Spark broadcasts small rule tables by their size and splits
     skewed prefixes of large ones, as nothing above the join needs its keys
     together. Each input row is judged on its own, so repeated rows and NULL
     keys stay; other columns of ``pages`` are not read.
@@ -51,7 +52,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
     )).scalar()
     text = F.concat("host", "path")
     hashed = listed.select(
-        F.substr(F.sha2(text, 256), F.lit(1), F.lit(PREFIX_DIGITS)).alias("prefix"), F.sha2(text, 256).alias("digest"), text.alias("rule"),
+        F.substr(F.sha2(text, 256), F.lit(1), F.lit(prefix_digits)).alias("prefix"), F.sha2(text, 256).alias("digest"), text.alias("rule"),
         F.length("host").alias("host_length"), F.col("verdict").alias("said"),
     )
 
@@ -63,8 +64,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
     expanded = rows.withColumn("suffixes", suffixes).withColumn("prefixes", prefixes).select(
         "row", key, "host", "path",
         F.explode_outer(F.expr("flatten(transform(suffixes, s -> transform(prefixes, p -> sha2(concat(s, p), 256))))")).alias("full"),
-    ).withColumn("short", F.substr("full", F.lit(1), F.lit(PREFIX_DIGITS)))
-    met = expanded.join(hashed, (F.col("short") == F.col("prefix")) & (F.col("full") == F.col("digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "host_length", F.col("said"), "rule")))
+    ).withColumn("short", F.substr("full", F.lit(1), F.lit(prefix_digits)))
+    met = expanded.join(hashed, F.col("short") == F.col("prefix"), "left")
+    best = F.max(F.when(F.col("full") == F.col("digest"), F.struct(F.length("rule").alias("n"), "host_length", F.col("said"), "rule")))
     judged = met.groupBy("row", key, "host", "path").agg(best.alias("best"))
     return judged.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.said"), F.lit(default)).alias("verdict"))
