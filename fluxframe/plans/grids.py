@@ -61,8 +61,15 @@ def d1_rebin_shared_grid(spark, sf):
     return rounded(got.select("order_id", "exposure_id", "wavelength", "flux"))
 
 
-_DAYS = """SELECT series_id, (d + 0.5::DOUBLE)*86400 t, d*86400::DOUBLE lo, (d+1)*86400::DOUBLE hi
-    FROM (SELECT DISTINCT series_id FROM series_long), range(0, 30) r(d)"""
+def _step_numbers(size, first, last, closed):
+    """SQL of the step numbers of ``_steps``: one column i."""
+    low = f"least({first}, min(floor(x / {size}::DOUBLE)))"
+    high = f"greatest({last}, max(ceil(x / {size}::DOUBLE)) - {closed})"
+    return f"(SELECT unnest(range(CAST({low} AS BIGINT), CAST({high} AS BIGINT) + 1)) i FROM series_long)"
+
+
+_DAYS = f"""SELECT series_id, (i + 0.5::DOUBLE)*86400 t, i*86400::DOUBLE lo, (i+1)*86400::DOUBLE hi
+    FROM (SELECT DISTINCT series_id FROM series_long), {_step_numbers(86400, 0, 29, 1)}"""
 
 
 def _steps(df, size, first, last, closed):
@@ -92,7 +99,7 @@ SELECT g.series_id, g.x, CASE WHEN lo.x IS NULL THEN up.y WHEN up.x IS NULL THEN
    CASE WHEN lo.x = up.x THEN lo.y ELSE lo.y + (up.y-lo.y)/(up.x-lo.x)*(g.x-lo.x) END END y_inside
 FROM pts g ASOF LEFT JOIN series_long lo ON g.series_id = lo.series_id AND g.x >= lo.x
 ASOF LEFT JOIN series_long up ON g.series_id = up.series_id AND g.x <= up.x""", "series_id", "x, y_clamped, y_inside",
-    pts="""SELECT series_id, i*21600::DOUBLE x FROM (SELECT DISTINCT series_id FROM series_long), range(0, 121) r(i)"""))
+    pts=f"SELECT series_id, i*21600::DOUBLE x FROM (SELECT DISTINCT series_id FROM series_long), {_step_numbers(21600, 0, 120, 0)}"))
 def d2_interpolation_join(spark, sf):
     knots = views.series_long(spark, sf)
     points = _steps(knots, 21600.0, 0, 120, 0)
