@@ -39,7 +39,7 @@ def samples():
             "nan": [math.nan] * 2500, "shuffled": rng.permutation(6000).astype(float).tolist()}
 
 
-@pytest.mark.parametrize("limit", [20, 1_000_000])
+@pytest.mark.parametrize("limit", [4, 20, 1_000_000])
 def test_any_group_at_any_limit(spark, samples, limit):
     df = spark.createDataFrame([(k, v, "x") for k, vs in samples.items() for v in vs], "k string, v double, n string").repartition(7)
     got = {r[0]: tuple(r)[1:] for r in values_at_ranks(df, ["k"], "v", ranks(), limit).collect()}
