@@ -17,8 +17,8 @@ _CUT = re.compile(f"(?<=[{SAFE}])(?=[ \\n][{SAFE}])")
 _IS_SAFE = re.compile(f"[{SAFE}]").match
 #: Marks that may close a word; none of them begins an English contraction.
 MARKS = ".,;:!?#$%&*+=|\"()[]{}<>/-"
-#: Pieces and words that one encoder remembers before it forgets them all.
-PIECES, WORDS = 200_000, 400_000
+#: Words that one encoder remembers before it forgets them all; it remembers half as many pieces.
+WORDS = 400_000
 
 
 class PieceEncoder:
@@ -32,7 +32,7 @@ class PieceEncoder:
     The first texts of every encoder are compared with the tokenizer's result.
     """
 
-    def __init__(self, path: str, check: int = 6):
+    def __init__(self, path: str, check: int = 6, remember: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -41,7 +41,7 @@ class PieceEncoder:
         # Letters of a byte-level entry are its bytes.
         entries = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.sizes = np.array([len(e) for e in entries], dtype=np.int64) if "Ġ" in entries else None
-        self.check = check
+        self.check, self.remember = check, remember
         self._forget_words()
         self._forget_pieces()
 
@@ -144,10 +144,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more at the end)."""
-        if len(self.words) > WORDS:
+        if len(self.words) > self.remember:
             self._forget_words()
             self._forget_pieces()
-        elif len(self.pieces) > PIECES:
+        elif len(self.pieces) > self.remember // 2:
             self._forget_pieces()
         split = [("\0" + t.replace("\n", " \n")).split(" ") for t in texts]
         count = np.fromiter(map(len, split), dtype=np.int64, count=len(texts))
@@ -188,6 +188,6 @@ class PieceEncoder:
         return out, at + np.arange(n + 1)
 
 
-def worker_encoder(path: str) -> PieceEncoder:
+def worker_encoder(path: str, remember: int = WORDS) -> PieceEncoder:
     """The encoder of this Python worker, which outlives its tasks: words learned in one serve the next."""
-    return worker_state(("encoder", path), lambda: PieceEncoder(path))
+    return worker_state(("encoder", path, remember), lambda: PieceEncoder(path, remember=remember))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxframe.llm.encode import worker_encoder
+from fluxframe.llm.encode import WORDS, worker_encoder
 from fluxframe.llm.text import batches
 
 TIERS = (256, 512, 1024, 2048)
@@ -93,7 +93,8 @@ class Packer:
                     held.append((doc, start + take, n - take))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: Sequence[int] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: Sequence[int] = TIERS, step_tokens: int = STEP_TOKENS,
+                   remember: int = WORDS) -> DataFrame:
     """Pieces of all documents (doc_id, text) in full sequences, with their token ids (little-endian unsigned 32-bit).
 
     ``tokenizer`` is the path of a tokenizers file that executors can read. A
@@ -107,13 +108,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: Sequ
     result depends on how the input is split, a rerun of a task repeats its part.
     A NULL text is empty and holds ``end_id`` alone. NULL ids and repeated rows
     are packed like others. Other columns are not read.
+
+    A worker keeps the ids of ``remember`` words at most: fewer take less memory
+    and more time, and change no result.
     """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        encoder, packer = worker_encoder(tokenizer), Packer(tiers, step_tokens)
+        encoder, packer = worker_encoder(tokenizer, remember), Packer(tiers, step_tokens)
         for b in _groups(source):
             doc_ids = b.column("doc_id").cast(pa.int64())
             # A group is packed as one, but encoded a little at a time.

@@ -307,6 +307,15 @@ def test_piecewise_encoding_is_the_tokenizers_own(name, texts):
         assert ids[at[i] : at[i + 1]].tolist() == want[:-1].tolist()
 
 
+def test_an_encoder_that_forgets_gives_the_same_ids(texts):
+    sample = ODD + list(texts.values())[:60]
+    small, large = (encode.PieceEncoder(path("byte_bpe_50k.json"), remember=n) for n in (50, encode.WORDS))
+    for i in range(0, len(sample), 7):
+        got, want = small.encode_closed(sample[i : i + 7], 1), large.encode_closed(sample[i : i + 7], 1)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    assert len(small.words) < len(large.words)
+
+
 @pytest.mark.parametrize("table", ["given", "awkward"])
 def test_token_files_round_trip(spark, texts, awkward, table):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3) if table == "given" else awkward
