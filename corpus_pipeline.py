@@ -12,15 +12,26 @@ from public_tokenizers import path as tokenizer_path
 from fluxframe.llm import nearjoin, packing, pii, quality
 from fluxframe.session import shared_folder
 
+#: Rows that Spark hands to a Python worker at once, in bytes: documents are whole texts, 10,000 of which have no bound.
+BATCH_BYTES = "2m"
+#: Words whose ids a packing worker keeps.
+REMEMBER = 150_000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. All labels are trusted here; texts alone are scored."""
+    _bounded(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit_quality(docs, quality.trusted_ids(labels)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest id. Different texts under one id are judged apart; texts without words all stay."""
+    _bounded(spark)
     return nearjoin.one_per_class(docs)
 
 
@@ -31,7 +42,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in full sequences."""
-    pieces = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    _bounded(spark)
+    pieces = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), remember=REMEMBER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_id")
 
 
