@@ -112,7 +112,8 @@ def observed_models(
     points = models.select(*sample, F.col("model").alias("source"), "column_id", "column_weight", F.explode(F.arrays_zip("wavelength", "flux")).alias("point"))
     points = points.select(*sample, "source", "column_id", "column_weight", "point.wavelength", "point.flux")
     by = [*sample, "dataset", "column_id", "column_weight"]
-    spectra = points.join(options.select("dataset", "source", "kind", "resolving_power"), "source").drop("source")
+    # Spectra are far larger than Spark's estimate of a kernel's output; left alone, it may broadcast them and not the options.
+    spectra = points.join(F.broadcast(options.select("dataset", "source", "kind", "resolving_power")), "source").drop("source")
     if asked["convolved"]:
         apart = spectra.filter("resolving_power IS NULL")
         seen = smooth.convolve_to_resolution(spectra.filter("resolving_power IS NOT NULL"), by, "resolving_power")
@@ -120,7 +121,7 @@ def observed_models(
     parts = []
     for kind in sorted(asked["kinds"]):
         these = spectra.filter(F.col("kind") == kind).select(*by, "wavelength", "flux")
-        bins = data.join(options.filter(F.col("kind") == kind).select("dataset"), "dataset")
+        bins = data.join(F.broadcast(options.filter(F.col("kind") == kind).select("dataset")), "dataset")
         if kind == "spectrum":
             got = grids.rebin(these, bins, by, target_by=["dataset"], widths="bin_width", strict=strict).select(*by, "wavelength", "flux")
         elif kind == "photometry":
@@ -157,7 +158,7 @@ def score_models(
     observed = observed_models(models, data, datasets, sample, mixer, photometry, strict)
     index = ["i"] if covariances is not None else []
     rows = observed.join(data.select("dataset", "wavelength", "flux", "uncertainty", *index), ["dataset", "wavelength"])
-    rows = rows.join(options.select("dataset", "offset", "scaled", "scaled_uncertainty"), "dataset")
+    rows = rows.join(F.broadcast(options.select("dataset", "offset", "scaled", "scaled_uncertainty")), "dataset")
     factors = names.filter(F.col("name").endswith("_scale_factor")).select(*sample, F.regexp_replace("name", "_scale_factor$", "").alias("__scaled"), F.col("value").alias("__factor"))
     rows = rows.withColumn("__scaled", F.when(F.col("scaled") | F.col("scaled_uncertainty"), F.col("dataset").cast("string"))).join(factors, [*sample, "__scaled"], "left")
     scale, widen = (F.when(F.col(c), F.col("__factor")).otherwise(F.lit(1.0)) for c in ("scaled", "scaled_uncertainty"))
