@@ -165,18 +165,27 @@ def stepped(log_pressure: ColumnLike, nodes: Sequence[float], log_values: Sequen
 
 
 def three_region(df: DataFrame, points: Sequence[ColumnLike], t_set: ColumnLike, alpha: tuple[ColumnLike, ColumnLike],
-                 beta: tuple[float, float] = (0.5, 0.5), by: Sequence[str] = ("sample_id",), out: str = "temperature") -> DataFrame:
+                 beta: tuple[float, float] = (0.5, 0.5), by: Sequence[str] = ("sample_id",), out: str = "temperature",
+                 levels: Sequence[float] | None = None) -> DataFrame:
     """Three-region profile: two power-law regions over an isothermal one.
 
     ``points`` are log10 pressures: top, boundary 1-2, inversion, boundary 2-3,
     and the level at which ``t_set`` holds; the layer nearest to that level sets
-    the anchor in regions 1 and 2.
+    the anchor in regions 1 and 2. ``levels`` are the log10 pressures of all
+    samples where these share one grid: each row then finds the anchor among
+    them, and samples meet nothing.
     """
     top, p1, p2, p3, p_set = (col(p) for p in points)
     a1, a2 = (col(a) for a in alpha)
-    base = df.withColumn("__off", F.abs(F.col("pressure") - F.pow(F.lit(10.0), p_set)))
+    at = F.pow(F.lit(10.0), p_set)
+    base = df.withColumn("__off", F.abs(F.col("pressure") - at))
     # The first layer among equally near ones.
-    near = with_group_stats(base, by, {"__anchor": F.min_by("log_pressure", F.struct("__off", "pressure"))})
+    if levels is None:
+        near = with_group_stats(base, by, {"__anchor": F.min_by("log_pressure", F.struct("__off", "pressure"))})
+    else:
+        grid = [(F.lit(float(v)), F.pow(F.lit(10.0), F.lit(float(v)))) for v in levels]
+        places = [F.struct(F.abs(p - at).alias("off"), p.alias("p"), v.alias("at")) for v, p in grid]
+        near = base.withColumn("__anchor", F.array_min(F.array(*places))["at"])
 
     def bend(delta: Column, a: Column, b: float) -> Column:
         return F.pow(delta / a, 1 / b)

@@ -608,7 +608,8 @@ SELECT {PKEYS}, CASE WHEN lp < -4 THEN t0 + power((lp+6)/al,2) WHEN lp < 1 THEN
 def i6_three_region(spark, sf):
     df = profile_samples(spark, sf)
     at = F.when(F.col("sample_id") % 3 == 0, F.lit(2.0)).when(F.col("sample_id") % 3 == 1, F.lit(-2.0)).otherwise(F.lit(-5.0))
-    got = profiles.three_region(df, [-6.0, -4.0, -1.5, 1.0, at], F.lit(1000.0) + F.col("a"), (F.lit(0.7) + F.lit(0.0123) * F.col("b"), 0.3), by=["run_id", "sample_id"])
+    got = profiles.three_region(df, [-6.0, -4.0, -1.5, 1.0, at], F.lit(1000.0) + F.col("a"), (F.lit(0.7) + F.lit(0.0123) * F.col("b"), 0.3),
+                                by=["run_id", "sample_id"], levels=[-6.0 + i for i in range(N_LAYERS)])
     return rounded(got.select(*PCOLS, "temperature"), 6)
 
 

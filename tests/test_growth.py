@@ -37,3 +37,13 @@ def test_options_are_broadcast_and_spectra_are_not(spark, tmp_path):
     scored = plan(fitting.score_models(models, data, datasets, names))
     joins = re.findall(r"BroadcastHashJoin \[dataset#\w+\], \[dataset#[^\n]*", scored)
     assert joins and not any("BuildLeft" in j for j in joins if "Inner" in j)
+
+
+def test_three_region_on_a_shared_grid_meets_nothing(spark):
+    rows = [(s, p) for s, p in enumerate([2.0, -2.0, -5.0, -2.5, -9.0, 7.0, None])]
+    df = profiles.over_pressures(spark.createDataFrame(rows, "sample_id bigint, p double"), -6.0, 3.0, 10)
+    points, rest = [-6.0, -4.0, -1.5, 1.0, F.col("p")], (F.lit(1000.0), (0.7, 0.3))
+    apart = profiles.three_region(df, points, *rest, levels=[-6.0 + i for i in range(10)])
+    joined = profiles.three_region(df, points, *rest)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, joined.collect()))
+    assert "Join" not in plan(apart) and "Exchange" not in plan(apart)
