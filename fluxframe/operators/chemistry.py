@@ -82,7 +82,8 @@ def element_abundances(vmr: DataFrame, elements: DataFrame, by: Sequence[str] =
     if electron is not None:
         table = table.filter(F.col(species) != ELECTRON).unionByName(electron)
     n = F.coalesce(F.col("n"), F.raise_error(F.concat(F.lit("no elements of "), F.coalesce(F.col(species).cast("string"), F.lit("NULL")))).cast("bigint"))
-    return vmr.join(table, species, "left").groupBy(*by, "element").agg(F.sum(n * F.col(value)).alias("amount"))
+    # A list of species is short, which Spark does not see of a table made from rows; joined otherwise, layers would be dealt by species.
+    return vmr.join(F.broadcast(table), species, "left").groupBy(*by, "element").agg(F.sum(n * F.col(value)).alias("amount"))
 
 
 def hydrogen_ratios(abundance: DataFrame, solar: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
@@ -90,7 +91,7 @@ def hydrogen_ratios(abundance: DataFrame, solar: DataFrame, by: Sequence[str] =
     h = abundance.filter(F.col("element") == "H").select(*by, F.col("amount").alias("__h"))
     sun = with_scalars(solar, solar, {"__sh": F.max(F.when(F.col("element") == "H", F.col("abundance")))})
     sun = sun.select("element", (F.col("abundance") / F.col("__sh")).alias("__solar"))
-    got = abundance.filter(F.col("element") != "H").join(h, list(by)).join(sun, "element", "left")
+    got = abundance.filter(F.col("element") != "H").join(h, list(by)).join(F.broadcast(sun), "element", "left")
     ratio = F.col("amount") / F.col("__h")
     return got.select(*by, "element", ratio.alias("h_ratio"), (ratio / F.col("__solar")).alias("relative_to_solar"))
 

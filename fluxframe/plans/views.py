@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.functions import constants as k
+from fluxframe.session import in_parts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -111,18 +112,22 @@ def layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def abundances(spark: SparkSession, sf: str) -> DataFrame:
-    """Species shares per layer; they add up to 1."""
+    """Species shares per layer; they add up to 1.
+
+    Lines are dealt by layer once, in partitions of bounded size; sums, shares
+    and whatever is later grouped by layer stay where they are.
+    """
+    from pyspark.sql import Window
+
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("col_id"),
         F.col("l_linenumber").cast("bigint").alias("layer"),
         (F.col("l_suppkey") % 7).alias("species_id"),
         "l_quantity",
-    )
-    part = lines.groupBy("col_id", "layer", "species_id").agg(F.sum("l_quantity").alias("q"))
-    total = lines.groupBy("col_id", "layer").agg(F.sum("l_quantity").alias("t"))
-    return part.join(total, ["col_id", "layer"]).select(
-        "col_id", "layer", "species_id", (F.col("q") / F.col("t")).alias("mass_fraction")
-    )
+    ).filter("col_id IS NOT NULL AND layer IS NOT NULL")
+    part = in_parts(lines, ["col_id", "layer"], lines.count()).groupBy("col_id", "layer", "species_id").agg(F.sum("l_quantity").alias("q"))
+    total = F.sum("q").over(Window.partitionBy("col_id", "layer"))  # seven species at most
+    return part.select("col_id", "layer", "species_id", (F.col("q") / total).alias("mass_fraction"))
 
 
 def planets(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,3 +47,33 @@ def test_three_region_on_a_shared_grid_meets_nothing(spark):
     joined = profiles.three_region(df, points, *rest)
     assert sorted(map(str, apart.collect())) == sorted(map(str, joined.collect()))
     assert "Join" not in plan(apart) and "Exchange" not in plan(apart)
+
+
+def test_partitions_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    df = spark.range(1000)
+    assert session.in_parts(df, ["id"], 1000).rdd.getNumPartitions() == 100
+    assert session.in_parts(df, ["id"], 3).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.fixture
+def lines(spark, tmp_path):
+    rows = [(1, 1, 7, 3.0), (1, 1, 14, 5.0), (1, 1, 8, 2.0), (1, 2, 9, 4.0), (2, 1, 9, None), (None, 1, 7, 1.0), (3, None, 7, 1.0), (1, 1, 7, 3.0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_abundances_are_dealt_once(spark, lines):
+    df = views.abundances(spark, lines)
+    got = {(r.col_id, r.layer, r.species_id): r.mass_fraction for r in df.collect()}
+    assert got == {(1, 1, 0): 11 / 13, (1, 1, 1): 2 / 13, (1, 2, 2): 1.0, (2, 1, 2): None}
+    later = df.groupBy("col_id", "layer").agg(F.sum("mass_fraction"))
+    assert re.findall(r"REPARTITION_BY_\w+|ENSURE_REQUIREMENTS", plan(later)) == ["REPARTITION_BY_NUM"]
+
+
+def test_layers_are_not_dealt_by_species(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "H2O", 0.5), (1, 1, "e-", 0.5)], MASSES).write.parquet(f"{tmp_path}/v")
+    elements = spark.createDataFrame([("H2O", "H", 2), ("H2O", "O", 1)], "species string, element string, n bigint")
+    got = chemistry.element_abundances(spark.read.parquet(f"{tmp_path}/v"), elements)
+    assert {(r.element, r.amount) for r in got.collect()} == {("H", 1.5), ("O", 0.5)}
+    assert "hashpartitioning(species" not in plan(got)
