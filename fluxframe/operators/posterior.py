@@ -13,6 +13,7 @@ from fluxframe.functions.priors import CustomPrior, gamma_function, prior_value
 from fluxframe.functions.stats import bayes_factor_to_sigma, rounding_digits
 from fluxframe.operators.axis import running_total
 from fluxframe.operators.groups import order_statistics, quantiles, with_group_stats, with_scalars
+from fluxframe.session import in_parts
 
 RUN = ["run_id"]
 
@@ -43,7 +44,8 @@ def resolve_params(samples_long: DataFrame, parameters: DataFrame, ids: Sequence
         raise ValueError(f"sampled parameters without declaration: {strange}")
     free = samples_long.join(parameters.filter("is_free").select(F.col("name").alias("param")), "param", "left_semi")
     fixed = parameters.filter("NOT is_free").agg(F.collect_list(F.struct(F.col("name").alias("param"), "value"))).scalar()
-    rest = samples_long.select(*ids).distinct().select(*ids, F.inline(fixed))
+    every = samples_long.select(*ids)
+    rest = in_parts(every, ids, every.count()).distinct().select(*ids, F.inline(fixed))
     return free.select(*ids, "param", "value").unionByName(rest)
 
 

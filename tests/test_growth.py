@@ -77,3 +77,12 @@ def test_layers_are_not_dealt_by_species(spark, tmp_path):
     got = chemistry.element_abundances(spark.read.parquet(f"{tmp_path}/v"), elements)
     assert {(r.element, r.amount) for r in got.collect()} == {("H", 1.5), ("O", 0.5)}
     assert "hashpartitioning(species" not in plan(got)
+
+
+def test_fixed_parameters_by_bounded_parts(spark):
+    rows = [(s, p, 1.0) for s in (1, 1, 2, None) for p in ("a", "b")]
+    samples = spark.createDataFrame(rows, "sample_id bigint, param string, value double")
+    declared = spark.createDataFrame([("a", True, None), ("b", True, None), ("r", False, 4.0)], "name string, is_free boolean, value double")
+    got = posterior.resolve_params(samples, declared, ["sample_id"])
+    assert sorted((str(r.sample_id), r.value) for r in got.filter("param = 'r'").collect()) == [("1", 4.0), ("2", 4.0), ("None", 4.0)]
+    assert "REPARTITION_BY_NUM" in plan(got) and got.count() == 11
