@@ -90,7 +90,7 @@ def values_at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict[st
     if largest <= array_values:
         out = small(rows)
     else:
-        sizes = staged(sizes)
+        sizes, rows = staged(sizes), staged(rows)  # every round reads the rows, however they were made
         big = sizes.filter(F.col("n") > array_values)
         options = F.explode(F.array(*[F.struct(F.lit(c).alias("__name"), r.alias("r")) for c, r in whole.items()]))
         wanted = big.select(*keys, "n", "__known", options.alias("__o")).select(*keys, "n", "__known", "__o.__name", F.col("__o.r").alias("__r"))

@@ -86,3 +86,12 @@ def test_fixed_parameters_by_bounded_parts(spark):
     got = posterior.resolve_params(samples, declared, ["sample_id"])
     assert sorted((str(r.sample_id), r.value) for r in got.filter("param = 'r'").collect()) == [("1", 4.0), ("2", 4.0), ("None", 4.0)]
     assert "REPARTITION_BY_NUM" in plan(got) and got.count() == 11
+
+
+def test_rows_of_large_groups_are_made_once_for_all_rounds(spark, monkeypatch):
+    kept, real = [], ranks.staged
+    monkeypatch.setattr(ranks, "staged", lambda df: (kept.append(df.columns), real(df))[1])
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 5000).cast("double").alias("v"))
+    got = ranks.values_at_ranks(df, ["g"], "v", {"first": F.lit(0.0), "mid": F.col("n") / 2}, array_values=100)
+    assert {(r.g, r.first, r.mid, r.n) for r in got.collect()} == {(0, 0.0, 2500.0, 2500), (1, 1.0, 2501.0, 2500)}
+    assert kept.count(["g", "__v"]) == 1
