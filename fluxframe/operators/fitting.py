@@ -160,7 +160,7 @@ def score_models(
     rows = observed.join(data.select("dataset", "wavelength", "flux", "uncertainty", *index), ["dataset", "wavelength"])
     rows = rows.join(F.broadcast(options.select("dataset", "offset", "scaled", "scaled_uncertainty")), "dataset")
     factors = names.filter(F.col("name").endswith("_scale_factor")).select(*sample, F.regexp_replace("name", "_scale_factor$", "").alias("__scaled"), F.col("value").alias("__factor"))
-    rows = rows.withColumn("__scaled", F.when(F.col("scaled") | F.col("scaled_uncertainty"), F.col("dataset").cast("string"))).join(factors, [*sample, "__scaled"], "left")
+    rows = rows.withColumn("__scaled", F.when(F.col("scaled") | F.col("scaled_uncertainty"), F.col("dataset").cast("string"))).join(factors.hint("merge"), [*sample, "__scaled"], "left")
     scale, widen = (F.when(F.col(c), F.col("__factor")).otherwise(F.lit(1.0)) for c in ("scaled", "scaled_uncertainty"))
     rows = rows.withColumns({"d": score.residual(scale=scale, offset="offset"), "s": widen})
     rows = score.inflate_sigma(rows.withColumn("__zero", F.lit(0.0)), names, sigma="__zero", out="grown", by=sample)  # sqrt(10^b), 0 without b

@@ -123,7 +123,7 @@ def rebin(
     elif strict:
         # One row per spectrum drives the join, so a spectrum without any overlap fails too.
         covered = (F.col("__min") < F.col("__low")) & (F.col("__max") > F.col("__high")) & (F.col("__bins") >= 2)
-        checked = scope.select(*by, covered.alias("__ok")).join(sums, by, "left")
+        checked = scope.select(*by, covered.alias("__ok")).join(sums.hint("merge"), by, "left")  # both have rows of every spectrum
         value = F.when(F.col("__ok"), F.col("__v")).otherwise(F.raise_error(message).cast("double"))
         return checked.select(*by, F.col("__t").alias(x), "bin_low", "bin_high", value.alias(y))
     elif target_by:
@@ -136,7 +136,7 @@ def rebin(
     value = F.when(inside, F.col("__v"))
     if strict:
         value = F.when(inside, F.col("__v")).otherwise(F.raise_error(message).cast("double"))
-    return every.join(sums, [*by, "__t", "bin_low", "bin_high"], "left").select(
+    return every.join(sums.hint("merge"), [*by, "__t", "bin_low", "bin_high"], "left").select(
         *by, F.col("__t").alias(x), "bin_low", "bin_high", value.alias(y))
 
 

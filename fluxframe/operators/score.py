@@ -39,7 +39,8 @@ def inflate_sigma(df: DataFrame, params: DataFrame, dataset: str = "dataset", si
 
     ``params`` has name, value and the columns of ``by`` (for example a sample
     id). The prefix is the dataset name up to its last underscore. Only ``_b``
-    parameters take part, so the three lookups join a handful of names.
+    parameters take part, so the three lookups join a handful of names. Parameters
+    of samples grow with them and are exchanged, never broadcast.
     """
     by = list(by)
     b = params.filter(F.col("name").endswith("_b")).select(*by, "name", "value")
@@ -47,10 +48,11 @@ def inflate_sigma(df: DataFrame, params: DataFrame, dataset: str = "dataset", si
     got = df.withColumn("__own", F.concat(name, F.lit("_b"))).withColumn(
         "__prefix", F.concat(F.regexp_replace(name, r"_[^_]*$", ""), F.lit("_b")))
     for key, value in (("__own", "__b1"), ("__prefix", "__b2")):
-        got = got.join(b.select(*by, F.col("name").alias(key), F.col("value").alias(value)), [*by, key], "left")
+        found = b.select(*by, F.col("name").alias(key), F.col("value").alias(value))
+        got = got.join(found.hint("merge") if by else found, [*by, key], "left")
     shared = b.filter(F.col("name") == "uncertainty_scaling_b")
     if by:
-        got = got.join(shared.select(*by, F.col("value").alias("__b3")), by, "left")
+        got = got.join(shared.select(*by, F.col("value").alias("__b3")).hint("merge"), by, "left")
     else:
         got = with_scalars(got, shared, {"__b3": F.max("value")})
     power = F.coalesce("__b1", "__b2", "__b3")
@@ -103,7 +105,7 @@ def total_loglik(per_dataset: DataFrame, by: Sequence[str], extra: DataFrame | N
     got = per_dataset.groupBy(*by).agg(F.when(valid, F.sum(log_l)).alias("__l"))
     value = F.col("__l")
     if extra is not None:
-        got = got.join(extra.select(*by, F.col("log_prior").alias("__p")), list(by), "left")
+        got = got.join(extra.select(*by, F.col("log_prior").alias("__p")).hint("merge"), list(by), "left")
         value = value + F.coalesce("__p", F.lit(0.0))
     return got.select(*by, clean_loglik(value).alias(log_l))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxframe import session
-from fluxframe.operators import chemistry, fitting, posterior, profiles, ranks
+from fluxframe.operators import chemistry, fitting, grids, posterior, profiles, ranks, score
 from fluxframe.plans import views
 
 MASSES = "col_id bigint, layer bigint, species string, volume_mixing_ratio double"
@@ -39,6 +39,24 @@ def test_options_are_broadcast_and_spectra_are_not(spark, tmp_path):
     assert joins and not any("BuildLeft" in j for j in joins if "Inner" in j)
 
 
+def test_tables_of_samples_are_never_broadcast(spark, tmp_path):
+    spark.range(20).select(F.col("id").alias("sample_id"), (F.col("id") / 10).alias("v")).write.parquet(f"{tmp_path}/p")
+    samples = spark.read.parquet(f"{tmp_path}/p")  # a small file: left alone, Spark broadcasts whatever is made of it
+    rows = samples.select("sample_id", F.lit("a").alias("dataset"), F.lit(1.0).alias("uncertainty"), F.col("v").alias("log_l"))
+    names = samples.select("sample_id", F.explode(F.array(F.lit("a_b"), F.lit("uncertainty_scaling_b"))).alias("name"), F.col("v").alias("value"))
+    grown = score.inflate_sigma(rows, names, by=["sample_id"])
+    total = score.total_loglik(rows, ["sample_id"], samples.select("sample_id", F.col("v").alias("log_prior")))
+    line = samples.select("sample_id", F.explode(F.array(*[F.lit(1.0 + 0.1 * i) for i in range(8)])).alias("wavelength"), F.col("v").alias("flux"))
+    bins = spark.createDataFrame([(1.2, 0.1), (1.3, 0.1)], "wavelength double, bin_width double")
+    binned = [grids.rebin(line, bins, ["sample_id"], target_by=[], widths="bin_width", strict=strict) for strict in (True, False)]
+    for df in (grown, total, *binned):
+        assert "SortMergeJoin" in plan(df) and not re.search(r"BroadcastHashJoin \[sample_id", plan(df))
+    assert {(r.sample_id, round(r.uncertainty, 9)) for r in grown.collect()} == {(s, round((1 + 10 ** (s / 10)) ** 0.5, 9)) for s in range(20)}
+    assert {(r.sample_id, round(r.log_l, 9)) for r in total.collect()} == {(s, round(s / 5, 9)) for s in range(20)}
+    for df in binned:
+        assert sorted((r.sample_id, round(r.flux, 9)) for r in df.collect()) == sorted((s, s / 10) for s in range(20) for _ in range(2))
+
+
 def test_three_region_on_a_shared_grid_meets_nothing(spark):
     rows = [(s, p) for s, p in enumerate([2.0, -2.0, -5.0, -2.5, -9.0, 7.0, None])]
     df = profiles.over_pressures(spark.createDataFrame(rows, "sample_id bigint, p double"), -6.0, 3.0, 10)
