@@ -316,6 +316,26 @@ def test_an_encoder_that_forgets_gives_the_same_ids(texts):
     assert len(small.words) < len(large.words)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_an_encoder_keeps_the_pieces_that_recur(name):
+    encoder, learned = encode.PieceEncoder(path(name), remember=80), []
+    learn = encoder._learn_pieces
+    encoder._learn_pieces = lambda keys: (learned.extend(keys), learn(keys))[1]
+    sample = [f"The common words, the common Größe. {' '.join('abcdefghij'[j] * (i + 1) for j in range(10))}\nthe common" for i in range(40)]
+    for text, want in zip(sample, whole_ids(name, sample, 1)):
+        assert encoder.encode_closed([text], 1)[0].tolist() == want.tolist()
+    assert learned.count("common") == 1 and len(encoder.pieces) < 80
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_all_latin_letters(name):
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    sample = [" ".join(f"x{c}y {c}{c}, a{c}\n{c}b {c}" for c in letters[i : i + 40]) for i in range(0, len(letters), 40)]
+    ids, at = encode.PieceEncoder(path(name), check=0).encode(sample)
+    for i, want in enumerate(whole_ids(name, sample, 1)):
+        assert ids[at[i] : at[i + 1]].tolist() == want[:-1].tolist()
+
+
 @pytest.mark.parametrize("table", ["given", "awkward"])
 def test_token_files_round_trip(spark, texts, awkward, table):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3) if table == "given" else awkward
