@@ -13,6 +13,7 @@ bit sketch, whose Hamming distance bounds d from below, then by the sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SALTS = 64
 FEW = 1
 #: Sets that one task remembers to send repeated ones once.
 REMEMBER = 50_000
+#: Parts in which segments are exchanged, one after the other: the documents are hashed once for each, and only one part's shuffle files exist at a time.
+PASSES = 2
 #: Bytes of text that a task hashes at a time.
 SLICE = 1 << 20
 
@@ -99,8 +102,11 @@ def _bands(n: int) -> list[int]:
 ROWS = "kind int, key bigint, salt int, node bigint, n int, band int, filled int, doc_id bigint, sketch array<bigint>"
 
 
-def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Rows of kind 0 for documents (node 0: no words) and of kind 1 for the filled segments of their sets, the latter once per task and set."""
+def _rows(docs: DataFrame, heavy: np.ndarray, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Rows of kind 0 for documents (node 0: no words) and of kind 1 for the filled segments of their sets, the latter once per task and set.
+
+    Of ``turns`` calls each gives the segments of its own keys, and the first one the documents.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(None)
@@ -112,7 +118,9 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             for i, s in enumerate(shingle_sets(b.column("text").to_pylist())):
                 if not len(s):
                     continue
-                nodes[i], sizes[i], sketches[i] = _identity(s), len(s), bit_sketch(s)
+                nodes[i], sizes[i] = _identity(s), len(s)
+                if not turn:
+                    sketches[i] = bit_sketch(s)
                 if (nodes[i], sizes[i]) in known:
                     continue
                 if len(known) >= REMEMBER:
@@ -123,14 +131,17 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                     if len(keys) <= int(_most_apart(len(s), band)):
                         # Too few filled segments for the pigeonhole; such sets meet each other under a key of their band.
                         keys = np.append(keys, mix(np.array([band], dtype=np.uint64)))
-                    out.append((keys, nodes[i], len(s), band))
+                    mine = keys if turns == 1 else keys[(keys >> np.uint64(32)) % np.uint64(turns) == turn]
+                    out.append((mine, nodes[i], len(s), band, len(keys)))
             lengths = [len(k) for k, *_ in out]
             keys = np.concatenate([k for k, *_ in out]) if out else np.zeros(0, dtype=np.uint64)
-            node, n, band = (np.repeat(np.array([o[j] for o in out], dtype=t), lengths) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32)))
+            node, n, band, filled = (np.repeat(np.array([o[j] for o in out], dtype=t), lengths) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
             salt = np.zeros(len(keys), dtype=np.int32)
             if len(heavy) and len(keys):
                 at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
                 salt = np.where(heavy[at] == keys, 1 + (mix(node.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+            if turn:
+                b, ids, nodes, sizes, sketches = b.slice(0, 0), [], nodes[:0], sizes[:0], []
             d, k = len(ids), len(keys)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(np.array([0, 1], dtype=np.int32), [d, k])),
@@ -138,7 +149,7 @@ def _rows(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 pa.array(np.concatenate([np.full(d, -1, dtype=np.int32), salt])),
                 pa.array(np.concatenate([nodes, node])), pa.array(np.concatenate([sizes, n])),
                 pa.array(np.concatenate([np.zeros(d, dtype=np.int32), band])),
-                pa.array(np.concatenate([np.zeros(d, dtype=np.int32), np.repeat(np.array(lengths, dtype=np.int32), lengths)])),
+                pa.array(np.concatenate([np.zeros(d, dtype=np.int32), filled])),
                 pa.concat_arrays([b.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())]),
                 pa.concat_arrays([pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))]),
             ], ["kind", "key", "salt", "node", "n", "band", "filled", "doc_id", "sketch"])
@@ -304,13 +315,13 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> Da
     ways are exact.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = _rows(docs, _heavy_keys(docs, sample))
-    # One exchange: how many sets have the segment. Salted groups are known to be shared, so their parts need not meet.
+    heavy = _heavy_keys(docs, sample)
+    # One exchange, in turns: how many sets have the segment. Salted groups are known to be shared, so their parts need not meet.
     group = Window.partitionBy("key", "salt")
-    kept = staged(
-        rows.withColumn("sets", F.count(F.lit(1)).over(group)).withColumn("other", F.min("node").over(group) != F.max("node").over(group))
+    kept = reduce(DataFrame.union, [staged(
+        _rows(docs, heavy, turn, PASSES).withColumn("sets", F.count(F.lit(1)).over(group)).withColumn("other", F.min("node").over(group) != F.max("node").over(group))
         .filter("kind = 0 OR salt > 0 OR other")
-    )
+    ) for turn in range(PASSES)])
     documents = kept.filter("kind = 0").select("doc_id", "node", "n")
     shared = kept.filter("kind = 1").groupBy("key", "node", "n", "band", "filled").agg(
         F.max(F.when(F.col("salt") > 0, F.lit(1 << 40)).otherwise(F.col("sets"))).alias("sets"))
