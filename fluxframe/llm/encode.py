@@ -18,8 +18,8 @@ _CUT = re.compile(f"(?<=[{SAFE}])(?=[ \\n][{SAFE}])")
 _IS_SAFE = re.compile(f"[{SAFE}]").match
 #: Marks that may close a word; none of them begins an English contraction.
 MARKS = ".,;:!?#$%&*+=|\"()[]{}<>/-"
-#: Words that one encoder remembers before it forgets those that did not recur; it remembers half as many pieces.
-WORDS = 400_000
+#: Words, and as many pieces, that one encoder remembers before it forgets those that did not recur.
+WORDS = 600_000
 #: Words that are encoded in one text.
 LINES = 400
 #: What some vocabularies put behind the last letter of a word.
@@ -213,7 +213,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more at the end)."""
-        if len(self.words) > self.remember or len(self.pieces) > self.remember // 2:
+        if max(len(self.words), len(self.pieces)) > self.remember:
             self._keep_used(len(self.words) > self.remember)
         split = [("\0" + t.replace("\n", " \n")).split(" ") for t in texts]
         count = np.fromiter(map(len, split), dtype=np.int64, count=len(texts))
