@@ -27,11 +27,10 @@ WIDTH = 5  # words in a shingle
 #: Linked: PARTS * intersection >= SHARE * union.
 SHARE, PARTS = 80, 100
 SKETCH_BITS = 512  # at least; a sketch has more bits than its set has members
-#: Documents drawn to find segments that a large share of all documents has. It decides which rows are salted, never a result.
+#: Documents drawn to find segments that a large share of all documents has. It decides where rows are dealt to, never a result.
 SAMPLE = 4_000
-#: A segment value in so many of the drawn documents is salted.
+#: A segment value in so many of the drawn sets is dealt over all partitions.
 OFTEN = 24
-SALTS = 64
 #: Sets far from a group's leader that are compared with all of the group; with more of them, differences from the leader are joined. Never decides a result.
 FEW = 1
 #: Sets that one task remembers to send repeated ones once.
@@ -40,6 +39,12 @@ REMEMBER = 50_000
 PASSES = 2
 #: Bytes of text that a task hashes at a time.
 SLICE = 1 << 20
+#: Segments that a task packs into rows at a time.
+PACK = 1 << 19
+#: Bytes of text whose segments meet in one partition, in PASSES turns: about a million segments a turn.
+MEETING = 16 << 20
+#: What a segment that is dealt over all partitions counts for: more sets than any other one has.
+MANY = 1 << 40
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -99,22 +104,66 @@ def _bands(n: int) -> list[int]:
     return [k, k - 1] if k and PARTS * ((1 << k) - 1) >= SHARE * n else [k]
 
 
-ROWS = "kind int, key bigint, salt int, node bigint, n int, band int, filled int, doc_id bigint, sketch array<bigint>"
+def segment_names(s: np.ndarray, band: int, places: int) -> np.ndarray:
+    """Sorted distinct names of the filled segments: the place, of ``places``, where a key's sets meet, then 31 bits of the key and the band's last bit.
 
+    Keys that share a name merge in all sets alike, so two sets' names differ in no more places than their keys do.
+    """
+
+    def named(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(32)) % np.uint64(places) << np.uint64(32) | keys & np.uint64(0xFFFFFFFE) | np.uint64(band & 1)
+
+    names = np.unique(named(segment_keys(s, band)))
+    if len(names) <= int(_most_apart(len(s), band)):
+        # Too few filled segments for the pigeonhole; such sets meet each other under a name of their band.
+        names = np.union1d(names, named(mix(np.array([band], dtype=np.uint64))))
+    return names
+
+
+ROWS = "kind int, place int, node bigint, n int, filled int, below int, doc_id bigint, sketch array<bigint>, names binary, nodes binary"
+
+
+def _blocks(kind: int, place: np.ndarray, names: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """One row per place, which ascends, with its names and their sets' nodes side by side."""
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
 
-def _rows(docs: DataFrame, heavy: np.ndarray, turn: int = 0, turns: int = 1) -> DataFrame:
-    """Rows of kind 0 for documents (node 0: no words) and of kind 1 for the filled segments of their sets, the latter once per task and set.
+    def binary(values: np.ndarray) -> pa.Array:
+        ends = (np.append(starts, len(place)) * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
-    Of ``turns`` calls each gives the segments of its own keys, and the first one the documents.
+    none = [pa.nulls(len(starts), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
+    columns = [pa.array(np.full(len(starts), kind, dtype=np.int32)), pa.array(place[starts].astype(np.int32)), *none, binary(names), binary(nodes)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ROWS.split(", ")])
+
+
+def _rows(docs: DataFrame, heavy: np.ndarray, turn: int = 0, turns: int = 1, places: int = 64) -> DataFrame:
+    """Rows of kind 0 for documents (node 0: no words), and the filled segments of their sets, once per task and set, packed by the place where they meet.
+
+    A row of kind 1 holds names without the place, which it has beside them; one
+    of kind 2 whole names that are in ``heavy``, which the sets' nodes deal over
+    all places. Of ``turns`` calls each gives the segments of its own places, and
+    the first one the documents. Documents have how many segments their set
+    fills in its own band and in the one below, but for copies within a task.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(None)
         known: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            names, nodes, place, often = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            for kind in (1, 2):
+                at = np.flatnonzero(often == (kind == 2))
+                if len(at):
+                    at = at[np.argsort(names[at] if kind == 1 else place[at], kind="stable")]
+                    yield _blocks(kind, place[at], names[at].astype(np.uint32 if kind == 1 else np.uint64), nodes[at])
+
         for b in batches(source, most=SLICE):
-            ids, out = b.column("doc_id").to_pylist(), []
-            nodes, sizes = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int32)
-            sketches = [None] * len(ids)
+            d, out = b.num_rows, []
+            nodes, sizes = np.zeros(d, dtype=np.int64), np.zeros(d, dtype=np.int32)
+            sketches, filled = [None] * d, [[None] * d, [None] * d]
             for i, s in enumerate(shingle_sets(b.column("text").to_pylist())):
                 if not len(s):
                     continue
@@ -126,39 +175,97 @@ def _rows(docs: DataFrame, heavy: np.ndarray, turn: int = 0, turns: int = 1) ->
                 if len(known) >= REMEMBER:
                     known.clear()
                 known.add((nodes[i], sizes[i]))
-                for band in _bands(len(s)):
-                    keys = segment_keys(s, band)
-                    if len(keys) <= int(_most_apart(len(s), band)):
-                        # Too few filled segments for the pigeonhole; such sets meet each other under a key of their band.
-                        keys = np.append(keys, mix(np.array([band], dtype=np.uint64)))
-                    mine = keys if turns == 1 else keys[(keys >> np.uint64(32)) % np.uint64(turns) == turn]
-                    out.append((mine, nodes[i], len(s), band, len(keys)))
-            lengths = [len(k) for k, *_ in out]
-            keys = np.concatenate([k for k, *_ in out]) if out else np.zeros(0, dtype=np.uint64)
-            node, n, band, filled = (np.repeat(np.array([o[j] for o in out], dtype=t), lengths) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
-            salt = np.zeros(len(keys), dtype=np.int32)
-            if len(heavy) and len(keys):
-                at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
-                salt = np.where(heavy[at] == keys, 1 + (mix(node.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
-            if turn:
-                b, ids, nodes, sizes, sketches = b.slice(0, 0), [], nodes[:0], sizes[:0], []
-            d, k = len(ids), len(keys)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.array([0, 1], dtype=np.int32), [d, k])),
-                pa.array(np.concatenate([mix(np.arange(d, dtype=np.uint64) + nodes.view(np.uint64)), keys]).view(np.int64)),
-                pa.array(np.concatenate([np.full(d, -1, dtype=np.int32), salt])),
-                pa.array(np.concatenate([nodes, node])), pa.array(np.concatenate([sizes, n])),
-                pa.array(np.concatenate([np.zeros(d, dtype=np.int32), band])),
-                pa.array(np.concatenate([np.zeros(d, dtype=np.int32), filled])),
-                pa.concat_arrays([b.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())]),
-                pa.concat_arrays([pa.array(sketches, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))]),
-            ], ["kind", "key", "salt", "node", "n", "band", "filled", "doc_id", "sketch"])
+                for j, band in enumerate(_bands(len(s))):
+                    out.append((nodes[i], segment_names(s, band, places)))
+                    filled[j][i] = len(out[-1][1])
+            if out:
+                names = np.concatenate([k for _, k in out])
+                node = np.repeat(np.array([i for i, _ in out], dtype=np.int64), [len(k) for _, k in out])
+                place, often = (names >> np.uint64(32)).astype(np.int64), np.zeros(len(names), dtype=bool)
+                if len(heavy):
+                    often = heavy[np.minimum(np.searchsorted(heavy, names), len(heavy) - 1)] == names
+                    place[often] = (mix(node[often].view(np.uint64)) % np.uint64(places)).astype(np.int64)
+                mine = place % turns == turn
+                held.append((names[mine], node[mine], place[mine], often[mine]))
+            if sum(len(h[0]) for h in held) >= PACK:
+                yield from packed()
+            if not turn:
+                spread = mix(np.arange(d, dtype=np.uint64) + nodes.view(np.uint64)) % np.uint64(places)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.zeros(d, dtype=np.int32)), pa.array(spread.astype(np.int32)), pa.array(nodes), pa.array(sizes),
+                    *(pa.array(f, pa.int32()) for f in filled), b.column("doc_id").cast(pa.int64()), pa.array(sketches, pa.list_(pa.int64())),
+                    pa.nulls(d, pa.binary()), pa.nulls(d, pa.binary()),
+                ], [c.split()[0] for c in ROWS.split(", ")])
+        if held:
+            yield from packed()
         known.clear()
         released()
 
     return docs.mapInArrow(run, ROWS)
 
 
+MET = "kind int, key bigint, node bigint, sets bigint, n int, filled int, below int, doc_id bigint, sketch array<bigint>"
+
+
+def shared_names(names: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of names and nodes, and how many nodes have the name; names of one node are left out."""
+    order = np.argsort(names)
+    names, nodes = names[order], nodes[order]
+    again = names[1:] == names[:-1]
+    more = np.append(again, False) | np.insert(again, 0, False)  # most names have one node, so they go before the finer order
+    names, nodes = names[more], nodes[more]
+    order = np.lexsort((nodes, names))
+    names, nodes = names[order], nodes[order]
+    first = np.append(True, (names[1:] != names[:-1]) | (nodes[1:] != nodes[:-1]))[: len(names)]
+    names, nodes = names[first], nodes[first]
+    times = np.diff(np.flatnonzero(np.append(np.diff(names, prepend=~names[:1]) != 0, True)))
+    sets = np.repeat(times, times)
+    return names[sets > 1], nodes[sets > 1], sets[sets > 1]
+
+
+def _met(rows: DataFrame, tasks: int, turns: int = 1) -> DataFrame:
+    """Documents of ``rows`` as they are, and a row (kind 1, key, node, sets) for each set and segment of it that others have too, or may have if it is dealt over all places.
+
+    A partition holds the names of its places, as many as MEETING bytes of text have.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+        for b in source:
+            kind, place = b.column("kind").to_numpy(), b.column("place").to_numpy()
+            for i in np.flatnonzero(kind):
+                names, nodes = (np.frombuffer(b.column(c)[i].as_buffer(), dtype=t) for c, t in (("names", np.uint32 if kind[i] == 1 else np.uint64), ("nodes", np.int64)))
+                found[kind[i]].append((names | np.uint64(place[i]) << np.uint64(32) if kind[i] == 1 else names.copy(), nodes.copy()))
+            docs = b.filter(pa.array(kind == 0))
+            if docs.num_rows:
+                none = pa.nulls(docs.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [docs.column("kind"), none, docs.column("node"), none, *(docs.column(c) for c in ("n", "filled", "below", "doc_id", "sketch"))], [c.split()[0] for c in MET.split(", ")])
+        for kind, blocks in found.items():
+            if not blocks:
+                continue
+            names, nodes = (np.concatenate(c) for c in zip(*blocks))
+            blocks.clear()
+            if kind == 1:
+                names, nodes, sets = shared_names(names, nodes)
+            else:
+                order = np.lexsort((nodes, names))
+                names, nodes = names[order], nodes[order]
+                first = np.append(True, (names[1:] != names[:-1]) | (nodes[1:] != nodes[:-1]))
+                names, nodes, sets = names[first], nodes[first], np.full(int(first.sum()), MANY)
+            for at in range(0, len(names), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                k = len(names[part])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.ones(k, dtype=np.int32)), pa.array(names[part].view(np.int64)), pa.array(nodes[part]), pa.array(sets[part].astype(np.int64)),
+                    *(pa.nulls(k, pa.int32()) for _ in range(3)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())),
+                ], [c.split()[0] for c in MET.split(", ")])
+        released()
+
+    return rows.repartitionById(tasks, F.expr(f"place div {turns}").cast("int")).mapInArrow(run, MET)
+
+
 def _most_apart(n, band=None):
     """Largest symmetric difference of a set of ``n`` with a linked one; numbers or Columns.
 
@@ -174,12 +281,11 @@ def _most_apart(n, band=None):
     return floor((n + most) * ((PARTS - SHARE) / (PARTS + SHARE)) + 1e-9)
 
 
-def _heavy_keys(docs: DataFrame, sample: int) -> np.ndarray:
-    """Segment values that many of about ``sample`` drawn documents share: bounded, as a drawn set has few segments."""
-    total = max(1, docs.select("doc_id").count())
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / total) * (1 << 30))))
-    found = _rows(drawn, np.zeros(0, dtype=np.uint64)).filter("kind = 1").groupBy("key").count().filter(F.col("count") >= OFTEN)
-    return np.sort(found.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+def _heavy_names(docs: DataFrame, sample: int, total: int, places: int) -> np.ndarray:
+    """Names of segments that many of about ``sample`` drawn documents share: bounded, as a drawn set has few segments."""
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, total)) * (1 << 30))))
+    met = _met(_rows(drawn, np.zeros(0, dtype=np.uint64), places=places), docs.sparkSession.sparkContext.defaultParallelism)
+    return np.sort(met.filter((F.col("kind") == 1) & (F.col("sets") >= OFTEN)).select("key").distinct().toArrow()["key"].to_numpy().view(np.uint64))
 
 
 #: Slots that ids are hashed to before a join; a broadcast table of them has so many rows at most.
@@ -315,28 +421,29 @@ def shingle_classes(docs: DataFrame, sample: int = SAMPLE, few: int = FEW) -> Da
     ways are exact.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    heavy = _heavy_keys(docs, sample)
-    # One exchange, in turns: how many sets have the segment. Salted groups are known to be shared, so their parts need not meet.
-    group = Window.partitionBy("key", "salt")
-    kept = reduce(DataFrame.union, [staged(
-        _rows(docs, heavy, turn, PASSES).withColumn("sets", F.count(F.lit(1)).over(group)).withColumn("other", F.min("node").over(group) != F.max("node").over(group))
-        .filter("kind = 0 OR salt > 0 OR other")
-    ) for turn in range(PASSES)])
+    total, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("bigint"))).first()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // MEETING))
+    heavy = _heavy_names(docs, sample, total, tasks * PASSES)
+    # One exchange, in turns: how many sets have the segment. Names and nodes travel packed, so that a segment takes as many bytes in a table of any size.
+    kept = reduce(DataFrame.union, [staged(_met(_rows(docs, heavy, turn, PASSES, tasks * PASSES), tasks, PASSES)) for turn in range(PASSES)])
     documents = kept.filter("kind = 0").select("doc_id", "node", "n")
-    shared = kept.filter("kind = 1").groupBy("key", "node", "n", "band", "filled").agg(
-        F.max(F.when(F.col("salt") > 0, F.lit(1 << 40)).otherwise(F.col("sets"))).alias("sets"))
+    # Copies of a text are added up before they meet, so a text that a third of all documents has is one row per task.
+    carriers = kept.filter("kind = 0 AND n > 0").groupBy("node", "n").agg(
+        F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"), F.max("filled").alias("filled"), F.max("below").alias("below"))
+    highest = F.length(F.bin("n")) - 1  # band_of(n)
+    band = F.when(F.col("key") % 2 == highest % 2, highest).otherwise(highest - 1)
+    shared = kept.filter("kind = 1").select("key", "node", "sets").join(carriers.select("node", "n", "filled", "below"), "node").select(
+        "key", "node", "n", band.alias("band"), F.when(band == highest, F.col("filled")).otherwise(F.col("below")).alias("filled"), "sets")
 
     # Pigeonhole: of a set's filled segments, the d + 1 rarest. Those that no other set has are the rarest of all and need no row.
-    own = Window.partitionBy("node", "n", "band")
+    own = Window.partitionBy("node", "band")
     ranked = shared.withColumn("live", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("sets", "key")))
     unique = F.col("filled") - F.col("live")
     chosen = ranked.filter(F.col("rank") <= _most_apart(F.col("n"), F.col("band")) + 1 - unique).select("key", "node", "n", unique.alias("unique"))
     sizes = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("unique", "node", "n")).alias("leader"))
     chosen = staged(chosen.join(sizes.filter("sets > 1"), "key").select("key", "unique", "node", "n", "leader"))
 
-    # Copies of a text are added up before they meet, so a text that a third of all documents has is one row per task.
-    carriers = kept.filter("kind = 0 AND n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
-    nodes = staged(carriers.join(chosen.select("node").distinct(), "node", "left_semi"))
+    nodes = staged(carriers.select("node", "n", "doc_id", "sketch").join(chosen.select("node").distinct(), "node", "left_semi"))
 
     links = _verified(_stars(chosen.withColumnRenamed("leader", "head")), nodes, docs)
     # Sets far from the leader, that is, not of its component, meet around one of them: all of the group is compared with that one too.

@@ -164,6 +164,30 @@ def test_segments_are_exchanged_in_turns(spark, texts):
     assert max(segments) < 0.6 * sum(segments) and [len(p) - k for p, k in zip(parts, segments)] == [len(texts) + 2, *[0] * (n - 1)]
 
 
+def test_segments_travel_packed(spark, texts):
+    """Twelve bytes a segment whatever the number of partitions, and those of several sets come out with exact counts."""
+    first = texts[min(texts)]
+    rows = [*texts.items(), (-1, None), (-2, first), (-3, first + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    sets = {nearjoin._identity(s): s for s in nearjoin.shingle_sets([t for _, t in rows]) if len(s)}
+    for places in (4, 64):
+        want = collections.defaultdict(set)
+        for node, s in sets.items():
+            for band in nearjoin._bands(len(s)):
+                for name in nearjoin.segment_names(s, band, places).tolist():
+                    want[name].add(node)
+        often = max(want, key=lambda name: len(want[name]))
+        single = next(name for name in want if len(want[name]) == 1)
+        for heavy in ([], sorted([often, single])):
+            sent = nearjoin._rows(docs, np.array(heavy, dtype=np.uint64), places=places)
+            blocks = sent.filter("kind = 1").selectExpr("octet_length(names) AS names", "octet_length(nodes) AS nodes").collect()
+            assert len(blocks) <= 2 * places and all(2 * b.names == b.nodes for b in blocks)
+            assert sum(b.names for b in blocks) // 4 >= sum(len(v) for k, v in want.items() if k not in heavy)
+            got = {(r.key, r.node): r.sets for r in nearjoin._met(sent, 3).filter("kind = 1").collect()}
+            counts = {k: nearjoin.MANY if k in heavy else len(v) for k, v in want.items()}
+            assert got == {(k, n): counts[k] for k, v in want.items() for n in v if counts[k] > 1} and len(got) > 2
+
+
 def test_sets_of_all_sizes_have_segments_enough():
     """Beyond very short ones, no set needs the key that all sets of its band share."""
     rng = np.random.default_rng(1)
