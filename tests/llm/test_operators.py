@@ -541,6 +541,50 @@ def test_branch_and_bound_by_brute_force():
         assert found.tolist() == ids[order].tolist() and score.tolist() == every[i][order].tolist()
 
 
+@pytest.mark.parametrize("scale", [1, 300, 1e6])
+@pytest.mark.parametrize("groups", [None, 3])
+def test_blocks_are_read_in_the_tasks(spark, monkeypatch, scale, groups):
+    """Scores within 2^23, 2^52 and beyond; blocks are neither joined nor broadcast, as copies of all queries for each group would be."""
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "LEAST_PAIRS", 4, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, n) * scale / 2]) for i, n in zip(rng.integers(0, 120, 150), rng.integers(0, 41, 150))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df["vec_id"] % 3 == 0, 5, groups=groups)
+    plan = got._jdf.queryExecution().toString()
+    assert not re.search("Join|Broadcast|Generate|Cartesian", plan)
+    cells = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in cells if i % 3 == 0}):
+        vector = min(v for i, v in cells if i == q)
+        every = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in cells if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(every[:5])]
+    assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == want
+
+
+def test_every_pair_of_blocks_has_a_task_of_bounded_size():
+    for candidates, queries, cores in itertools.product([0, 1, 2, 51, 703, 14_600, 1_460_000], [0, 1, 5, 57, 1_172, 117_000], [1, 6, 1000]):
+        groups, parts = topk._shares(candidates, queries, cores)
+        assert 1 <= groups <= max(1, candidates) and 1 <= parts <= max(1, queries) and groups * parts <= 2 * max(4 * cores, topk.TASKS)
+        assert candidates * queries / (groups * parts) <= 2 * topk.PAIRS or groups * parts >= topk.TASKS
+    sides = [topk.Side(np.arange(256), np.zeros((4096, 256), dtype=np.int16)) for _ in range(7)]
+    assert [len(t) for t in topk._turns(iter(sides))] == [2, 2, 2, 1]
+
+
+def test_branch_and_bound_keeps_ties_at_the_floor():
+    rng = np.random.default_rng(3)
+    c, q = rng.integers(-2, 3, (64, 400)), rng.integers(-2, 3, (20, 64))
+    ids, every = rng.permutation(400), q @ c
+    floor = np.sort(every, axis=1)[:, -9].astype(np.float64)
+    for scale in (1, 1 << 16, 1 << 26):
+        for i, (found, score) in enumerate(topk.branch_and_bound(q * scale, -1 - np.arange(20), c * scale, ids, 5, floor * scale * scale)):
+            order = np.lexsort((ids, -every[i]))[:5]
+            assert found.tolist() == ids[order].tolist() and score.tolist() == (every[i][order] * scale * scale).tolist()
+    above = topk.branch_and_bound(q, -1 - np.arange(20), c, ids, 5, every.max(axis=1) + 1.0)
+    assert not any(len(found) for found, _ in above)
+
+
 def test_operators_on_awkward_rows(spark, awkward, empty):
     model = quality.fit_quality(awkward, awkward.select("doc_id"))
     assert quality.score_quality(awkward, model).count() == awkward.count() and quality.keep_good(awkward, model).columns == awkward.columns
