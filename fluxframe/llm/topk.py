@@ -21,8 +21,8 @@ CANDIDATES, QUERIES, DIMENSIONS = 1024, 256, 16
 HELD, LEAST_PAIRS, PAIRS, TASKS = 16 << 20, 64, 1 << 16, 10_000
 #: Blocks of queries in a part at least and at most, and blocks of candidates in a file.
 PART, FILE = (8, 64), 64
-#: Share of pairs from which on they are followed one by one.
-THIN = 0.03
+#: Share of pairs from which on they are followed one by one, and share of queries x candidates from which on they are closed up.
+THIN, CLOSE = 0.03, 0.4
 #: Products of norms from here on are an error: their score could overflow a 64-bit integer.
 LARGEST = 2.0**63 * (1 - 1e-9)
 
@@ -61,7 +61,7 @@ class Side:
     """Vectors, ``cells`` being dimension by vector, and the norms that remain behind every ``step`` dimensions."""
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray, step: int = DIMENSIONS):
-        self.ids, self.cells, self.step, self.cast = ids, cells, step, {}
+        self.ids, self.cells, self.step, self.cast, self.spaces = ids, cells, step, {}, {}
         squares = [np.square(cells[s : s + step].astype(np.float64)).sum(axis=0) for s in range(0, len(cells), step)]
         self.norms = np.sqrt(np.cumsum([np.zeros(len(ids)), *squares[::-1]], axis=0)[::-1])
         self.order = np.argsort(ids, kind="stable")
@@ -75,6 +75,13 @@ class Side:
             self.cast[kind] = self.cells.astype(kind)
         return self.cast[kind][i * self.step : min((i + 1) * self.step, most)]
 
+    def space(self, use: str, rows: int, kind: type) -> np.ndarray:
+        """A matrix to write into, the same one for as many rows: new memory costs more than the sums in it."""
+        key = use, rows, kind
+        if key not in self.spaces:
+            self.spaces[key] = np.empty((rows, len(self.ids)), dtype=kind)
+        return self.spaces[key]
+
 
 def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, step: int = DIMENSIONS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per query (row of ``queries``): ids and scores of the k best candidates of one block that reach the query's ``floor``.
@@ -109,12 +116,14 @@ def bounded(q: Side, c: Side, k: int, floor: np.ndarray) -> list[tuple[np.ndarra
     low, free = floor.astype(real), floor < -LARGEST
     slack = lambda a, b: 1 + rounding * q.rest(0)[a] * c.rest(0)[b] if kind is np.int64 else 1
     rows, cols, i = np.arange(len(q.ids)), np.arange(len(c.ids)), 1
-    score = q.slab(0, kind, width).T @ c.slab(0, kind, width)
+    score, rest, more, alive = (c.space(use, len(q.ids), t) for use, t in (("score", kind), ("rest", real), ("more", kind), ("alive", bool)))
+    np.matmul(q.slab(0, kind, width).T, c.slab(0, kind, width), out=score)
     while True:
-        rest = np.zeros((len(rows), len(cols)), dtype=real)
         if i < steps:
             np.multiply.outer((q.rest(i)[rows] * (1 + rounding)).astype(real), c.rest(i)[cols].astype(real), out=rest)
             rest += slack(rows[:, None], cols)
+        else:
+            rest.fill(0)
         lift = np.flatnonzero(free[rows])
         if len(lift) and len(cols) >= k:
             certain = score[lift] - rest[lift]
@@ -122,20 +131,22 @@ def bounded(q: Side, c: Side, k: int, floor: np.ndarray) -> list[tuple[np.ndarra
                 certain[own[lift]] = -np.inf
             low[rows[lift]] = np.maximum(low[rows[lift]], np.partition(certain, len(cols) - k, axis=1)[:, len(cols) - k])
         rest += score
-        alive = rest >= low[rows, None]
+        np.greater_equal(rest, low[rows, None], out=alive)
         if own is not None:
             alive &= ~own
         left = np.count_nonzero(alive)
         if i >= steps or left <= THIN * alive.size:
             break
         some, any_of = alive.any(axis=1), alive.any(axis=0)
-        if some.sum() * any_of.sum() < 0.8 * alive.size:
+        if np.count_nonzero(some) * np.count_nonzero(any_of) < CLOSE * alive.size:
             rows, cols, score = rows[some], cols[any_of], score[some][:, any_of]
             own = None if own is None else own[some][:, any_of]
+            rest, more, alive = (np.empty(score.shape, dtype=t) for t in (real, kind, bool))
         a, b = q.slab(i, kind, width), c.slab(i, kind, width)
-        score += (a if len(rows) == len(q.ids) else a[:, rows]).T @ (b if len(cols) == len(c.ids) else b[:, cols])
+        np.matmul((a if len(rows) == len(q.ids) else a[:, rows]).T, b if len(cols) == len(c.ids) else b[:, cols], out=more)
+        score += more
         i += 1
-    a, b = np.nonzero(alive)
+    a, b = np.divmod(np.flatnonzero(alive), max(1, len(cols)))  # nonzero() of two dimensions is far slower
     score, a, b = score[a, b], rows[a], cols[b]
     for i in range(i, steps):
         score = score + (q.slab(i, kind, width)[:, a] * c.slab(i, kind, width)[:, b]).sum(axis=0, dtype=kind)
@@ -145,7 +156,8 @@ def bounded(q: Side, c: Side, k: int, floor: np.ndarray) -> list[tuple[np.ndarra
     order = np.lexsort((ids, -score, a))
     a, ids, score = a[order], ids[order], score[order]
     ends = np.searchsorted(a, np.arange(len(q.ids) + 1))
-    return [(ids[s : min(s + k, e)], score[s : min(s + k, e)]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    none = ids[:0], score[:0]
+    return [(ids[s : min(s + k, e)], score[s : min(s + k, e)]) if s < e else none for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
